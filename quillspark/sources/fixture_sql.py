@@ -66,6 +66,15 @@ GROUP BY conv_id""",
 SELECT r.id, r.keyword, p.paa AS paa_questions, r.content, r.created_at
 FROM results_v r LEFT JOIN paa_v p ON p.conv_id = r.paa_conv_id""",
     "snapshot_full_v": "SELECT * FROM results_full_v WHERE created_at < TIMESTAMP '2024-01-16 00:00:00'",
+    "keyword_adds_v": """
+SELECT e.event_id AS add_id, CASE WHEN e.event_id % 30 = 0 THEN NULL ELSE e.user_id END AS user_id, e.ts,
+       CASE e.event_id % 6 WHEN 0 THEN p.p_name
+                           WHEN 1 THEN '  ' || p.p_name || chr(12288)
+                           WHEN 2 THEN chr(9) || ' '
+                           WHEN 3 THEN repeat(p.p_name, 5)
+                           ELSE e.event_type || '-' || CAST(e.user_id % 40 AS VARCHAR) END AS keyword
+FROM events e LEFT JOIN part p ON p.p_partkey = e.user_id""",
+    "live_users_v": "SELECT * FROM users_v WHERE id % 17 <> 0",
 }
 
 VIEWS["paa_v"] = VIEWS["paa_v"].replace("__BLANK__", JS_BLANK_PATTERN)
@@ -78,6 +87,7 @@ DEPENDS: dict[str, tuple[str, ...]] = {
     "paa_v": ("serp_items_v",),
     "results_full_v": ("results_v", "paa_v"),
     "snapshot_full_v": ("results_full_v",),
+    "live_users_v": ("users_v",),
 }
 
 

@@ -152,3 +152,27 @@ def results_full(t: Tables) -> DataFrame:
 
 def snapshot_full(t: Tables) -> DataFrame:
     return results_full(t).filter(F.col("created_at") < request_start())
+
+
+def keyword_adds(t: Tables) -> DataFrame:
+    """Keyword add / delete requests: exact names, padded names (U+3000), blanks,
+    over-long names and result keywords; every 30th has no signed-in user."""
+    e = t.events.select("event_id", "ts", "user_id", "event_type")
+    p = t.part.select("p_partkey", "p_name")
+    j = e.join(p, p.p_partkey == e.user_id, "left")
+    m = F.col("event_id") % 6
+    name = F.col("p_name")
+    kw = (F.when(m == 0, name)
+          .when(m == 1, F.concat(F.lit("  "), name, F.lit("　")))
+          .when(m == 2, F.lit("\t "))
+          .when(m == 3, F.repeat(name, 5))
+          .otherwise(F.concat(F.col("event_type"), F.lit("-"), (F.col("user_id") % 40).cast("string"))))
+    return j.select(
+        F.col("event_id").alias("add_id"),
+        F.when(F.col("event_id") % 30 == 0, F.lit(None).cast("long")).otherwise(F.col("user_id")).alias("user_id"),
+        "ts", kw.alias("keyword"))
+
+
+def live_users(t: Tables) -> DataFrame:
+    """Users that still exist (every 17th account was deleted)."""
+    return users(t).filter(F.col("id") % 17 != 0)
