@@ -17,6 +17,7 @@ JS_WS_CLASS = (r"[\x{0009}-\x{000D}\x{0020}\x{00A0}\x{1680}\x{2000}-\x{200A}"
                r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]")
 JS_TRIM_PATTERN = rf"^{JS_WS_CLASS}+|{JS_WS_CLASS}+$"
 JS_BLANK_PATTERN = rf"^{JS_WS_CLASS}*$"
+JS_LEADING_INT_PATTERN = rf"^{JS_WS_CLASS}*([+-]?[0-9]+)"
 ASTRAL_PATTERN = r"[^\x{10000}-\x{10FFFF}]"
 
 
@@ -64,7 +65,7 @@ def prefix(x, n: int) -> Column:
 
 def parse_int_or_zero(x) -> Column:
     """``parseInt(x) || 0`` — leading (signed) integer, else 0."""
-    digits = F.regexp_extract(_c(x), rf"^{JS_WS_CLASS}*([+-]?[0-9]+)", 1)
+    digits = F.regexp_extract(_c(x), JS_LEADING_INT_PATTERN, 1)
     v = F.when(digits != "", digits.try_cast("int")).otherwise(F.lit(None).cast("int"))
     return F.coalesce(v, F.lit(0))
 

@@ -7,7 +7,7 @@ prefix holding those views and their dependencies.
 
 from __future__ import annotations
 
-from quillspark.functions.strings import JS_BLANK_PATTERN
+from quillspark.functions.strings import JS_BLANK_PATTERN, JS_LEADING_INT_PATTERN
 
 VIEWS: dict[str, str] = {
     "users_v": """
@@ -75,9 +75,22 @@ SELECT e.event_id AS add_id, CASE WHEN e.event_id % 30 = 0 THEN NULL ELSE e.user
                            ELSE e.event_type || '-' || CAST(e.user_id % 40 AS VARCHAR) END AS keyword
 FROM events e LEFT JOIN part p ON p.p_partkey = e.user_id""",
     "live_users_v": "SELECT * FROM users_v WHERE id % 17 <> 0",
+    "limit_inputs_v": """
+SELECT event_id, user_id, ts, event_type, value, props,
+       CASE event_id % 3 WHEN 0 THEN substring(props, 6) WHEN 1 THEN props ELSE substring(props, 7) END AS raw_limit
+FROM events""",
+    "limit_changes_v": """
+SELECT event_id AS change_id, user_id, ts,
+       coalesce(TRY_CAST(nullif(regexp_extract(raw_limit, '__INT__', 1), '') AS INTEGER), 0) AS max_usage,
+       value > 50 AS is_premium
+FROM limit_inputs_v WHERE event_type = 'purchase'""",
+    "signups_v": """
+SELECT id, CASE WHEN id % 3 = 0 THEN 'new-' || email ELSE email END AS email
+FROM users_v WHERE id IN (SELECT user_id FROM events WHERE event_type = 'signup')""",
 }
 
 VIEWS["paa_v"] = VIEWS["paa_v"].replace("__BLANK__", JS_BLANK_PATTERN)
+VIEWS["limit_changes_v"] = VIEWS["limit_changes_v"].replace("__INT__", JS_LEADING_INT_PATTERN)
 
 DEPENDS: dict[str, tuple[str, ...]] = {
     "admins_v": ("users_v",),
@@ -88,6 +101,8 @@ DEPENDS: dict[str, tuple[str, ...]] = {
     "results_full_v": ("results_v", "paa_v"),
     "snapshot_full_v": ("results_full_v",),
     "live_users_v": ("users_v",),
+    "limit_changes_v": ("limit_inputs_v",),
+    "signups_v": ("users_v",),
 }
 
 

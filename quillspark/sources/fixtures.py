@@ -176,3 +176,33 @@ def keyword_adds(t: Tables) -> DataFrame:
 def live_users(t: Tables) -> DataFrame:
     """Users that still exist (every 17th account was deleted)."""
     return users(t).filter(F.col("id") % 17 != 0)
+
+
+def limit_inputs(t: Tables) -> DataFrame:
+    """Text typed into the max-usage field: ' 69}', '69}' or '{"k": 69}'."""
+    e = t.events.select("event_id", "user_id", "ts", "event_type", "value", "props")
+    m = F.col("event_id") % 3
+    raw = (F.when(m == 0, F.substring("props", 6, 1 << 20))
+           .when(m == 1, F.col("props")).otherwise(F.substring("props", 7, 1 << 20)))
+    return e.withColumn("raw_limit", raw)
+
+
+def limit_changes(t: Tables) -> DataFrame:
+    """Admin edits of (max_usage, is_premium), one per purchase event."""
+    from quillspark.functions.strings import parse_int_or_zero
+    e = limit_inputs(t).filter(F.col("event_type") == "purchase")
+    return e.select(F.col("event_id").alias("change_id"), "user_id", "ts",
+                    parse_int_or_zero(F.col("raw_limit")).alias("max_usage"),
+                    (F.col("value") > 50).alias("is_premium"))
+
+
+def signup_user_ids(t: Tables) -> DataFrame:
+    return t.events.filter(F.col("event_type") == "signup").select("user_id").distinct()
+
+
+def signups(t: Tables) -> DataFrame:
+    """New accounts (users with a signup event); every third signs up with a new email."""
+    ids = signup_user_ids(t).withColumnRenamed("user_id", "id")
+    u = users(t).join(ids, "id", "left_semi")
+    return u.select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("new-"), F.col("email")))
+                    .otherwise(F.col("email")).alias("email"))

@@ -78,9 +78,9 @@ def check(spark, sf_dir, names=None, verbose=True):
             s_cols = df.columns
             s_rows = [tuple(r) for r in df.collect()]
         except Exception as e:  # noqa: BLE001
-            report[name] = ("SPARK-ERROR", repr(e)[:800])
+            report[name] = ("SPARK-ERROR", str(e)[:800])
             if verbose:
-                print(f"{name:34s} SPARK-ERROR {repr(e)[:800]}")
+                print(f"{name:34s} SPARK-ERROR {str(e)[:800]}")
             continue
         ts = time.time() - t0
         if name not in sqls:
