@@ -38,19 +38,21 @@ def keyed_row_number(df: DataFrame, keys: list[str], order: list[Column], ts: st
     """``row_number() over (partition by keys order by order)`` without a per-key task.
 
     ``order`` must start with the timestamp ``ts`` (ascending, NULLs first)
-    and end with a unique tiebreak.
+    and end with a unique tiebreak.  Keys may be NULL (a NULL key is a
+    group, as in a window): ``struct(keys, bucket)`` is one null-safe join
+    key, so the big side keeps a single hash partitioning through the local
+    window and the offset join; only the per-bucket counts move again.
     """
-    b = df.withColumn("_b", time_bucket(F.col(ts), width_seconds))
-    local = b.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)))
-    counts = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_b").alias("_o_b"),
-                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    cond = reduce(lambda a, c: a & c,
-                  [local[k].eqNullSafe(offs[f"_o_{k}"]) for k in keys], local["_b"] == offs["_o_b"])
-    j = local.join(offs, cond, "inner")
-    return j.withColumn(out, (F.col("_off") + F.col("_rn")).cast("long")).drop(
-        "_b", "_rn", "_off", "_o_b", *[f"_o_{k}" for k in keys])
+    kb = F.struct(*[F.col(k).alias(k) for k in keys], time_bucket(F.col(ts), width_seconds).alias("__b"))
+    b = df.withColumn("__kb", kb)
+    local = b.withColumn("__lrn", F.row_number().over(Window.partitionBy("__kb").orderBy(*order)))
+    counts = b.groupBy("__kb").agg(F.count(F.lit(1)).alias("__n"))
+    key_only = F.struct(*[F.col("__kb")[k].alias(k) for k in keys])
+    before = (Window.partitionBy(key_only).orderBy(F.col("__kb")["__b"])
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offs = counts.select("__kb", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    j = local.join(offs, "__kb", "inner")
+    return j.withColumn(out, (F.col("__off") + F.col("__lrn")).cast("long")).drop("__kb", "__lrn", "__off")
 
 
 def asof_last_id(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
