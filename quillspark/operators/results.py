@@ -60,7 +60,7 @@ def to_cached_result(df: DataFrame) -> DataFrame:
 
 
 def cache_lookup(requests: DataFrame, results: DataFrame, ts: str = "ts",
-                 width_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                 width_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """J6 batch form: each request gets the newest result of its keyword written
     strictly before the request (``hit_id`` NULL on a miss)."""
     return asof_last_id(requests, results.select("keyword", "created_at", "id"), ["keyword"],

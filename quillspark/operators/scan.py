@@ -11,8 +11,13 @@ These helpers split each key's timeline into time buckets:
 * the two are joined back on ``(key, bucket)``.
 
 The result equals the plain window exactly; only the task sizes change.
-Bucket width is a parameter (seconds); the default of one hour keeps even a
-single hot key spread over as many tasks as its data spans hours.
+
+Bucket width: by default the data's time span divided by the session's
+shuffle parallelism (``spark.sql.shuffle.partitions``), computed as a lazy
+scalar subquery (min/max of the time column) — so a key holding a third of
+a 100 TB table is still cut into about as many pieces as the cluster has
+shuffle partitions, while a 30-day test fixture is not shredded into
+thousands of tiny groups.  A fixed width in seconds can be passed instead.
 """
 
 from __future__ import annotations
@@ -22,19 +27,39 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET_SECONDS = 3600
+DEFAULT_BUCKET_SECONDS: int | None = None   # None: adaptive (span / shuffle partitions)
 _MIN_BUCKET = -(2 ** 62)
 
 
-def time_bucket(ts: Column, width_seconds: int = DEFAULT_BUCKET_SECONDS) -> Column:
+def _micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
+
+
+def bucket_spec(df: DataFrame, ts: str, width_seconds: int | None = DEFAULT_BUCKET_SECONDS,
+                target: int | None = None) -> tuple[Column, Column]:
+    """(origin, width) in microseconds for ``time_bucket``.
+
+    With a fixed ``width_seconds`` the origin is 0.  Otherwise both come from
+    one merged scalar subquery over ``df[ts]`` (evaluated at run time, not on
+    the driver at plan time).
+    """
+    if width_seconds is not None:
+        return F.lit(0).cast("long"), F.lit(int(width_seconds) * 1_000_000).cast("long")
+    n = target or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lo = df.select(F.min(_micros(F.col(ts)))).scalar()
+    hi = df.select(F.max(_micros(F.col(ts)))).scalar()
+    width = F.greatest(F.lit(1).cast("long"),
+                       F.ceil((F.coalesce(hi - lo, F.lit(0)) + 1) / F.lit(max(1, n))).cast("long"))
+    return F.coalesce(lo, F.lit(0).cast("long")), width
+
+
+def time_bucket(ts: Column, origin: Column, width: Column) -> Column:
     """Integer bucket of a timestamp; NULL times form the first bucket."""
-    micros = F.unix_micros(ts.cast("timestamp"))
-    return F.coalesce(F.floor(micros / F.lit(width_seconds * 1_000_000)).cast("long"),
-                      F.lit(_MIN_BUCKET))
+    return F.coalesce(F.floor((_micros(ts) - origin) / width).cast("long"), F.lit(_MIN_BUCKET))
 
 
 def keyed_row_number(df: DataFrame, keys: list[str], order: list[Column], ts: str,
-                     out: str = "rn", width_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                     out: str = "rn", width_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` without a per-key task.
 
     ``order`` must start with the timestamp ``ts`` (ascending, NULLs first)
@@ -43,9 +68,13 @@ def keyed_row_number(df: DataFrame, keys: list[str], order: list[Column], ts: st
     key, so the big side keeps a single hash partitioning through the local
     window and the offset join; only the per-bucket counts move again.
     """
-    kb = F.struct(*[F.col(k).alias(k) for k in keys], time_bucket(F.col(ts), width_seconds).alias("__b"))
+    origin, width = bucket_spec(df, ts, width_seconds)
+    kb = F.struct(*[F.col(k).alias(k) for k in keys], time_bucket(F.col(ts), origin, width).alias("__b"))
     b = df.withColumn("__kb", kb)
     local = b.withColumn("__lrn", F.row_number().over(Window.partitionBy("__kb").orderBy(*order)))
+    # Bucket sizes by a partial (map-side) count: only one row per bucket and
+    # input partition is shuffled.  ``df`` is read twice, so callers hand in
+    # a cheap-to-recompute or materialized input.
     counts = b.groupBy("__kb").agg(F.count(F.lit(1)).alias("__n"))
     key_only = F.struct(*[F.col("__kb")[k].alias(k) for k in keys])
     before = (Window.partitionBy(key_only).orderBy(F.col("__kb")["__b"])
@@ -57,38 +86,42 @@ def keyed_row_number(df: DataFrame, keys: list[str], order: list[Column], ts: st
 
 def asof_last_id(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
                  right_ts: str, right_id: str, out: str = "match_id", strict: bool = True,
-                 width_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                 width_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """As-of join returning only the matched id.
 
     For every ``left`` row: the ``right_id`` of the newest ``right`` row with
     the same keys and ``right_ts < left_ts`` (``<=`` when not strict); ties on
     time go to the larger id.  Left rows keep all their columns; NULL keys or
     times never match.  Carry only the id and join payload back by id.
+
+    Plan: one shuffle of left ∪ right on (keys, bucket) and one window over
+    it.  The newest right row per (keys, bucket) comes from the inputs by a
+    partial (map-side) aggregate, so only one row per bucket and partition
+    moves; a small window per key carries it over later buckets, and a join
+    on (keys, bucket) brings it to rows whose own bucket had no match.
     """
     kind_left = 0 if strict else 2
     lcols = left.columns
-    r = (right.filter(F.col(right_ts).isNotNull())
-         .select(*keys, F.col(right_ts).alias("_t"), F.col(right_id).alias("_rid")))
-    r = r.withColumn("_b", time_bucket(F.col("_t"), width_seconds)).withColumn("_k", F.lit(1))
-    lft = (left.withColumn("_t", F.col(left_ts))
-           .withColumn("_b", time_bucket(F.col("_t"), width_seconds))
-           .withColumn("_k", F.lit(kind_left)))
-    u = lft.unionByName(r, allowMissingColumns=True)
+    not_null = reduce(lambda a, c: a & c, [F.col(k).isNotNull() for k in keys], F.col(right_ts).isNotNull())
+    r = (right.filter(not_null)
+         .select(*keys, F.col(right_ts).alias("_t"), F.col(right_id).alias("_rid"), F.lit(1).alias("_k")))
+    lft = left.withColumn("_t", F.col(left_ts)).withColumn("_k", F.lit(kind_left))
+    origin, width = bucket_spec(lft.select("_t").unionByName(r.select("_t")), "_t", width_seconds)
+    u = lft.unionByName(r, allowMissingColumns=True).withColumn("_b", time_bucket(F.col("_t"), origin, width))
     w = (Window.partitionBy(*keys, "_b").orderBy("_t", "_k", "_rid")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    scanned = (u.withColumn("_in", F.last("_rid", ignorenulls=True).over(w))
-               .filter(F.col("_k") == kind_left))
-    # Carry-in: newest right row of every earlier bucket of the same key.
-    last_in_bucket = r.groupBy(*keys, "_b").agg(
-        F.max_by("_rid", F.struct("_t", "_rid")).alias("_last"))
-    left_buckets = lft.select(*keys, "_b").distinct().withColumn("_last", F.lit(None).cast(
-        last_in_bucket.schema["_last"].dataType))
-    both = last_in_bucket.unionByName(left_buckets)
-    carry = (both.groupBy(*keys, "_b").agg(F.max("_last").alias("_last"))
-             .withColumn("_carry", F.last("_last", ignorenulls=True).over(
-                 Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
-             .select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_b").alias("_c_b"), "_carry"))
-    cond = reduce(lambda a, c: a & c, [scanned[k] == carry[f"_c_{k}"] for k in keys],
-                  scanned["_b"] == carry["_c_b"])
-    j = scanned.join(carry, cond, "left")
+    scanned = u.withColumn("_in", F.last("_rid", ignorenulls=True).over(w))
+    rb = r.withColumn("_b", time_bucket(F.col("_t"), origin, width))
+    lb = lft.select(*keys, F.col("_t")).withColumn("_b", time_bucket(F.col("_t"), origin, width))
+    newest = rb.groupBy(*keys, "_b").agg(F.max(F.struct("_t", "_rid"))["_rid"].alias("_last"))
+    present = lb.groupBy(*keys, "_b").agg(F.lit(None).cast("long").alias("_none"))
+    summary = (newest.unionByName(present.withColumnRenamed("_none", "_last"))
+               .groupBy(*keys, "_b").agg(F.max("_last").alias("_last")))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_b").alias("_c_b"),
+                           F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+    hits = scanned.filter(F.col("_k") == kind_left)
+    cond = reduce(lambda a, c: a & c, [hits[k] == carry[f"_c_{k}"] for k in keys],
+                  hits["_b"] == carry["_c_b"])
+    j = hits.join(carry, cond, "left")
     return j.select(*lcols, F.coalesce("_in", "_carry").alias(out))

@@ -98,7 +98,7 @@ def entitle(requests: DataFrame, usage: DataFrame) -> DataFrame:
 
 
 def admit(requests: DataFrame, usage: DataFrame, ts: str = "ts", tiebreak: str = "request_id",
-          width_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+          width_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Sequential quota admission per user, in (ts, id) order, in closed form.
 
     Requests of users with a usage row are numbered per user (skew-safe
