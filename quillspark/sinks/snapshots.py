@@ -10,8 +10,6 @@ a machine-local path, so a lost executor only costs a task retry.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.session import shared_path
@@ -40,12 +38,17 @@ def write_snapshot(df: DataFrame, base: str, version: int, partition_by: list[st
 
 
 def latest_version(spark: SparkSession, base: str) -> int | None:
-    """Newest committed version under ``base`` (local or mounted shared paths)."""
-    local = base[len("file:"):] if base.startswith("file:") else base
-    if not os.path.isdir(local):
+    """Newest committed version under ``base`` (any Hadoop file system)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
         return None
-    vs = [int(d[2:]) for d in os.listdir(local)
-          if d.startswith("v=") and os.path.exists(os.path.join(local, d, "_SUCCESS"))]
+    vs = []
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            vs.append(int(name[2:]))
     return max(vs) if vs else None
 
 

@@ -128,10 +128,11 @@ def chunks(t: Tables, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """documents.text cut into numbered pieces of its UTF-8 bytes."""
     d = t.documents.select("doc_id", F.encode("text", "UTF-8").alias("b"))
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("b") / F.lit(chunk_bytes)).cast("int"))
-    x = d.select("doc_id", "b", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    x = d.select("doc_id", "b", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
     return x.select(
-        F.col("doc_id").alias("request_id"), "chunk_no",
-        F.substring("b", F.col("chunk_no") * chunk_bytes + 1, chunk_bytes).alias("chunk"))
+        F.col("doc_id").alias("request_id"), F.col("chunk_no").cast("long").alias("chunk_no"),
+        F.substring("b", F.col("chunk_no") * chunk_bytes + 1, chunk_bytes).alias("chunk"),
+        (F.col("chunk_no") == F.col("n") - 1).alias("is_last"))
 
 
 def paa_runs(t: Tables) -> DataFrame:
