@@ -78,3 +78,15 @@ def ratio_label(n, d) -> Column:
 def contains_text(x, needle: str) -> Column:
     """Substring test with literal semantics (no LIKE wildcards)."""
     return F.contains(_c(x), F.lit(needle))
+
+
+# The markers that colour an activity-log line.
+LOG_OK_MARK = "✅"
+LOG_ERROR_MARK = "❌"
+
+
+def log_severity(msg) -> Column:
+    """Ok when the line has the ok marker (tested first), else error, else info."""
+    c = _c(msg)
+    return (F.when(F.contains(c, F.lit(LOG_OK_MARK)), "ok")
+            .when(F.contains(c, F.lit(LOG_ERROR_MARK)), "error").otherwise("info"))
