@@ -13,8 +13,8 @@ These helpers split each key's timeline into time buckets:
 The result equals the plain window exactly; only the task sizes change.
 
 Bucket width: by default the data's time span divided by the session's
-shuffle parallelism (``spark.sql.shuffle.partitions``), computed as a lazy
-scalar subquery (min/max of the time column) — so a key holding a third of
+shuffle parallelism (``spark.sql.shuffle.partitions``), from one min/max
+aggregate of the time column — so a key holding a third of
 a 100 TB table is still cut into about as many pieces as the cluster has
 shuffle partitions, while a 30-day test fixture is not shredded into
 thousands of tiny groups.  A fixed width in seconds can be passed instead.
@@ -39,18 +39,20 @@ def bucket_spec(df: DataFrame, ts: str, width_seconds: int | None = DEFAULT_BUCK
                 target: int | None = None) -> tuple[Column, Column]:
     """(origin, width) in microseconds for ``time_bucket``.
 
-    With a fixed ``width_seconds`` the origin is 0.  Otherwise both come from
-    one merged scalar subquery over ``df[ts]`` (evaluated at run time, not on
-    the driver at plan time).
+    With a fixed ``width_seconds`` the origin is 0.  Otherwise one small job
+    reads min/max of ``df[ts]`` (a partial aggregate; two numbers reach the
+    driver) and the span is cut into ``target`` buckets — Spark's range
+    partitioner samples its input the same way.  Literals, not scalar
+    subqueries: a subquery would be re-planned and re-run at every use.
     """
     if width_seconds is not None:
         return F.lit(0).cast("long"), F.lit(int(width_seconds) * 1_000_000).cast("long")
-    n = target or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lo = df.select(F.min(_micros(F.col(ts)))).scalar()
-    hi = df.select(F.max(_micros(F.col(ts)))).scalar()
-    width = F.greatest(F.lit(1).cast("long"),
-                       F.ceil((F.coalesce(hi - lo, F.lit(0)) + 1) / F.lit(max(1, n))).cast("long"))
-    return F.coalesce(lo, F.lit(0).cast("long")), width
+    n = max(1, target or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    row = df.select(F.min(_micros(F.col(ts))).alias("lo"), F.max(_micros(F.col(ts))).alias("hi")).first()
+    lo = row.lo if row is not None and row.lo is not None else 0
+    hi = row.hi if row is not None and row.hi is not None else lo
+    width = max(1, -(-(hi - lo + 1) // n))
+    return F.lit(lo).cast("long"), F.lit(width).cast("long")
 
 
 def time_bucket(ts: Column, origin: Column, width: Column) -> Column:
