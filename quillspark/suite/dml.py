@@ -12,7 +12,7 @@ from quillspark.session import shared_path
 from quillspark.sinks.snapshots import append
 from quillspark.sources import fixtures as fx
 from quillspark.sources.tables import Tables
-from quillspark.suite.plans import _crawled
+from quillspark.suite.plans import CRAWL_RUNS, _runs
 
 log = logging.getLogger(__name__)
 
@@ -36,7 +36,7 @@ def result_append(spark, sf):
     t = Tables(spark, sf)
     res = fx.results_full(t)
     plan = P.plan_pipeline(P.with_hits(fx.requests(t), res), fx.usage(t))
-    rec = P.run_pipeline(plan, _crawled(t), res).join(
+    rec = P.run_pipeline(plan, _runs(t), F.col("request_id") % CRAWL_RUNS, res).join(
         fx.requests(t).select("request_id", "keyword", F.col("ts").alias("created_at")), "request_id")
     path = shared_path(spark, "tables", "analysis_results_log")
     append_results(rec, path)
