@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark import schemas as S
+from quillspark.functions.ids import key_uuid
 from quillspark.functions.strings import js_is_blank, js_trim, utf16_length
 
 
@@ -153,10 +154,12 @@ def validate_adds(adds: DataFrame, usage: DataFrame, existing: DataFrame) -> Dat
 
 
 def insert_keywords(existing: DataFrame, validated: DataFrame) -> DataFrame:
-    """D3: next snapshot = existing rows + accepted adds (created_at = add time)."""
+    """D3: next snapshot = existing rows + accepted adds (created_at = add time).
+    Row ids come from the (user_id, keyword) key, so a retried write repeats them."""
     new = validated.filter(F.col("outcome") == "ok").select(
         "user_id", F.col("keyword_trimmed").alias("keyword"), F.col("ts").alias("created_at"))
-    return existing.select("user_id", "keyword", "created_at").unionByName(new)
+    rows = existing.select("user_id", "keyword", "created_at").unionByName(new)
+    return rows.select(key_uuid("user_id", "keyword").alias("id"), "user_id", "keyword", "created_at")
 
 
 def delete_keywords(existing: DataFrame, deletes: DataFrame) -> DataFrame:

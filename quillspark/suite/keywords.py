@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark import schemas as S
+from quillspark.functions.ids import key_uuid_sql
 from quillspark.functions.strings import ASTRAL_PATTERN, JS_TRIM_PATTERN
 from quillspark.functions.templates import sql_literal
 from quillspark.operators import keywords as K
@@ -168,10 +169,11 @@ def keyword_add_validate(spark, sf):
     return v.select("add_id", "user_id", "keyword_trimmed", "outcome", "message")
 
 
-@query("keyword_insert_dedup", with_views("keyword_adds_v", "usage_v", "keywords_v", extra=_VALIDATE_CTE) + """
-SELECT user_id, keyword, created_at FROM keywords_v
-UNION ALL
-SELECT user_id, keyword_trimmed, ts FROM validated WHERE outcome = 'ok'""")
+@query("keyword_insert_dedup", with_views("keyword_adds_v", "usage_v", "keywords_v", extra=_VALIDATE_CTE) + f"""
+SELECT {key_uuid_sql("user_id", "keyword")} AS id, user_id, keyword, created_at FROM (
+  SELECT user_id, keyword, created_at FROM keywords_v
+  UNION ALL
+  SELECT user_id, keyword_trimmed, ts FROM validated WHERE outcome = 'ok')""")
 def keyword_insert_dedup(spark, sf):
     t = Tables(spark, sf)
     kw = fx.keywords(t)
