@@ -28,8 +28,8 @@ def read_keyword_file(spark: SparkSession, path: str, fmt: str = "csv",
     """
     r = spark.read.option("header", True)
     if fmt == "csv":
-        df = r.schema(T.StructType([T.StructField(column, T.StringType())])).option(
-            "enforceSchema", False).csv(path)
+        # Header names the columns; every cell stays a string (no inference pass).
+        df = r.option("inferSchema", False).csv(path).select(column)
     else:
         df = r.format(fmt).load(path).select(column)
     return keyword_list(df.withColumn("pos", F.monotonically_increasing_id()), column, "pos")
