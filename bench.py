@@ -32,7 +32,8 @@ def main() -> None:
     from quillspark import registry
     from quillspark.session import build_session
 
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2))
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=parts)
     qs = registry.queries()
     names = sys.argv[1:] or [n for n in HEADLINE if n in qs]
 
