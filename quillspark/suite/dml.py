@@ -12,7 +12,9 @@ from quillspark.session import shared_path
 from quillspark.sinks.snapshots import append
 from quillspark.sources import fixtures as fx
 from quillspark.sources.tables import Tables
-from quillspark.suite.plans import CRAWL_RUNS, _runs
+from quillspark.plans.generate import stub_sql
+from quillspark.sources.fixture_sql import with_views
+from quillspark.suite.plans import CRAWL_RUNS, STATUS_CTES, _runs
 
 log = logging.getLogger(__name__)
 
@@ -30,9 +32,12 @@ def append_results(records, path: str) -> bool:
         return False
 
 
-@query("result_append")
+@query("result_append", with_views("requests_v", "results_full_v", "usage_v", "paa_v", extra=STATUS_CTES) + f"""
+SELECT request_id AS id, keyword, crawl_paa AS paa_questions, {stub_sql('rp', 'used_model')} AS content,
+       ts AS created_at
+FROM g3 WHERE crawl_ok AND NOT starts_with(keyword, 'error-')""")
 def result_append(spark, sf):
-    """D1 (rows-only): successful new results of the pipeline, appended and read back."""
+    """Successful new results of the pipeline, appended and read back."""
     t = Tables(spark, sf)
     res = fx.results_full(t)
     plan = P.plan_pipeline(P.with_hits(fx.requests(t), res), fx.usage(t))
