@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from quillspark import schemas as S
 from quillspark.functions.ids import key_uuid
 from quillspark.functions.strings import js_is_blank, js_trim, utf16_length
+from quillspark.operators.scan import id_of, order_key
 
 
 # --------------------------------------------------------------------- sources
@@ -115,8 +116,10 @@ def first_per_key(batch: DataFrame, keys: list[str], ts: str, tiebreak: str,
     ``min_by`` per key is a partial hash aggregate (skew-safe); the winner id
     is joined back on the key, so no per-key window sorts a hot key's rows.
     """
+    # Packed (ts, id) key: a hash aggregate, map-side combined.  NULL times
+    # first, as an ascending window would order them.
     win = batch.groupBy(*keys).agg(
-        F.min_by(F.col(tiebreak), F.struct(F.col(ts), F.col(tiebreak))).alias("_win"))
+        id_of(F.min(order_key(F.col(ts), F.col(tiebreak), nulls_last=False))).alias("_win"))
     win = win.select(*[F.col(k).alias(f"_w_{k}") for k in keys], "_win")
     cond = reduce(lambda a, c: a & c, [batch[k].eqNullSafe(win[f"_w_{k}"]) for k in keys])
     j = batch.join(win, cond, "left").drop(*[f"_w_{k}" for k in keys])

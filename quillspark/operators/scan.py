@@ -55,6 +55,32 @@ def bucket_spec(df: DataFrame, ts: str, width_seconds: int | None = DEFAULT_BUCK
     return F.lit(lo).cast("long"), F.lit(width).cast("long")
 
 
+# Fixed-width ordering key for "newest/oldest (ts, id)" aggregates: the
+# timestamp (shifted to be non-negative, NULL mapped to an end) in the high
+# bits and the id (shifted by 2**63) in the low 64 bits of a decimal(38,0).
+# max/min over it plan as hash aggregates (a struct ordering forces a sort
+# aggregate) and keep the exact (ts, id) order and tie-break.
+_TS_OFFSET = 2 ** 60          # covers +/- 36,000 years in microseconds
+_ID_OFFSET = 2 ** 63
+_SHIFT = 2 ** 64
+_DEC = "decimal(38,0)"
+
+
+def _d(n: int) -> Column:
+    return F.lit(str(n)).cast(_DEC)
+
+
+def order_key(ts: Column, id_: Column, nulls_last: bool) -> Column:
+    """Packed (ts, id) key; NULL ts sorts after (``nulls_last``) or before all times."""
+    t = F.coalesce(_micros(ts).cast(_DEC) + _d(_TS_OFFSET), _d(2 * _TS_OFFSET if nulls_last else 0))
+    return (t * _d(_SHIFT) + (id_.cast(_DEC) + _d(_ID_OFFSET))).cast(_DEC)
+
+
+def id_of(key: Column) -> Column:
+    """The id packed in ``order_key``."""
+    return (F.pmod(key, _d(_SHIFT)) - _d(_ID_OFFSET)).cast("long")
+
+
 def time_bucket(ts: Column, origin: Column, width: Column) -> Column:
     """Integer bucket of a timestamp; NULL times form the first bucket."""
     return F.coalesce(F.floor((_micros(ts) - origin) / width).cast("long"), F.lit(_MIN_BUCKET))
@@ -115,7 +141,8 @@ def asof_last_id(left: DataFrame, right: DataFrame, keys: list[str], left_ts: st
     scanned = u.withColumn("_in", F.last("_rid", ignorenulls=True).over(w))
     rb = r.withColumn("_b", time_bucket(F.col("_t"), origin, width))
     lb = lft.select(*keys, F.col("_t")).withColumn("_b", time_bucket(F.col("_t"), origin, width))
-    newest = rb.groupBy(*keys, "_b").agg(F.max(F.struct("_t", "_rid"))["_rid"].alias("_last"))
+    newest = rb.groupBy(*keys, "_b").agg(
+        id_of(F.max(order_key(F.col("_t"), F.col("_rid"), nulls_last=False))).alias("_last"))
     present = lb.groupBy(*keys, "_b").agg(F.lit(None).cast("long").alias("_none"))
     summary = (newest.unionByName(present.withColumnRenamed("_none", "_last"))
                .groupBy(*keys, "_b").agg(F.max("_last").alias("_last")))

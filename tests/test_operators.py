@@ -87,3 +87,24 @@ def test_admission_matches_sequential_fold(spark):
         if ok:
             count[r.user_id] += 1
         assert got[r.request_id] == (ok, before)
+
+
+def test_packed_order_key_matches_struct_order(spark):
+    import datetime as dt
+    import random
+
+    from quillspark.operators.scan import id_of, order_key
+    rnd = random.Random(11)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(base + dt.timedelta(microseconds=rnd.randint(-10**12, 10**12)) if rnd.random() > 0.1 else None,
+             rnd.choice([rnd.randint(-2**63, 2**63 - 1), rnd.randint(0, 50)]), rnd.randint(0, 3))
+            for _ in range(300)]
+    df = spark.createDataFrame(rows, "ts timestamp, id long, g int")
+    got = df.groupBy("g").agg(id_of(F.max(order_key(F.col("ts"), F.col("id"), False))).alias("mx"),
+                              id_of(F.min(order_key(F.col("ts"), F.col("id"), True))).alias("mn"))
+    want = df.groupBy("g").agg(
+        F.max(F.struct(F.col("ts").isNotNull(), "ts", "id"))["id"].alias("mx"),
+        F.min(F.struct(F.col("ts").isNull(), "ts", "id"))["id"].alias("mn"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    ids = df.select("id", id_of(order_key(F.col("ts"), F.col("id"), True)).alias("back")).collect()
+    assert all(r.id == r.back for r in ids)
