@@ -31,8 +31,8 @@ def compliance_flags(spark, sf):
 
 @query("compliance_summary", with_views("results_v", extra={"flags": _FLAGS_SQL}) + """
 SELECT keyword, count(*) AS n_results, count(has_bluf) AS n_checked,
-       count_if(has_table) AS n_table, count_if(has_bullet) AS n_bullet,
-       count_if(has_heading) AS n_heading, count_if(has_bluf) AS n_bluf
+       CAST(count_if(has_table) AS BIGINT) AS n_table, CAST(count_if(has_bullet) AS BIGINT) AS n_bullet,
+       CAST(count_if(has_heading) AS BIGINT) AS n_heading, CAST(count_if(has_bluf) AS BIGINT) AS n_bluf
 FROM flags GROUP BY keyword""")
 def compliance_summary(spark, sf):
     t = Tables(spark, sf)
@@ -82,7 +82,7 @@ def paa_transport(spark, sf):
 
 
 @query("history_cards", with_views("results_full_v") + """
-SELECT id, keyword, len(coalesce(paa_questions, []::VARCHAR[])) AS paa_count,
+SELECT id, keyword, CAST(len(coalesce(paa_questions, []::VARCHAR[])) AS INTEGER) AS paa_count,
        paa_questions[1] AS first_question,
        coalesce(substring(content, 1, 150), '') || '...' AS preview
 FROM results_full_v""")

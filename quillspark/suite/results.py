@@ -85,7 +85,8 @@ def retention_delete(spark, sf):
 @query("paa_chart", with_views("requests_v", "snapshot_full_v", extra={
     "latest": _latest_sql("snapshot_full_v", "keyword, paa_questions")}) + """
 SELECT q.request_id, q.keyword,
-       CASE WHEN l.keyword IS NOT NULL THEN len(coalesce(l.paa_questions, []::VARCHAR[])) ELSE 0 END AS paa_count,
+       CAST(CASE WHEN l.keyword IS NOT NULL THEN len(coalesce(l.paa_questions, []::VARCHAR[])) ELSE 0 END
+            AS INTEGER) AS paa_count,
        CASE WHEN l.keyword IS NOT NULL THEN 'success' ELSE 'pending' END AS status
 FROM requests_v q LEFT JOIN latest l ON l.keyword = q.keyword""")
 def paa_chart(spark, sf):

@@ -67,10 +67,10 @@ def catalog_columns(spark, sf):
 
 @query("scalar_strings", f"""
 SELECT doc_id,
-       length(text) + length(regexp_replace(text, '{ASTRAL_PATTERN}', '', 'g')) AS utf16_length,
-       length(text) AS code_points,
+       CAST(length(text) + length(regexp_replace(text, '{ASTRAL_PATTERN}', '', 'g')) AS INTEGER) AS utf16_length,
+       CAST(length(text) AS INTEGER) AS code_points,
        regexp_replace(text, '{JS_TRIM_PATTERN}', '', 'g') = text AS already_trimmed,
-       length(regexp_replace(text, '{JS_TRIM_PATTERN}', '', 'g')) AS trimmed_length,
+       CAST(length(regexp_replace(text, '{JS_TRIM_PATTERN}', '', 'g')) AS INTEGER) AS trimmed_length,
        regexp_matches(text, '{JS_BLANK_PATTERN}') AS is_blank
 FROM documents""")
 def scalar_strings(spark, sf):

@@ -53,6 +53,22 @@ def norm(v):
     return v
 
 
+# Spark simpleString -> DuckDB type name, for the schema comparison.
+TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN",
+            "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE",
+            "date": "DATE", "array<string>": "VARCHAR[]", "binary": "BLOB"}
+
+
+def type_mismatches(spark_schema, duck_cols, duck_types):
+    d = dict(zip(duck_cols, [str(t) for t in duck_types]))
+    out = []
+    for f in spark_schema.fields:
+        st = f.dataType.simpleString()
+        if TYPE_MAP.get(st, st) != d.get(f.name):
+            out.append((f.name, st, d.get(f.name)))
+    return out
+
+
 def canon(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return [cols[i] for i in order], Counter(repr(tuple(norm(r[i]) for i in order)) for r in rows)
@@ -76,6 +92,7 @@ def check(spark, sf_dir, names=None, verbose=True):
         try:
             df = qs[name](spark, sf_dir)
             s_cols = df.columns
+            s_schema = df.schema
             s_rows = [tuple(r) for r in df.collect()]
         except Exception as e:  # noqa: BLE001
             report[name] = ("SPARK-ERROR", str(e)[:800])
@@ -89,9 +106,9 @@ def check(spark, sf_dir, names=None, verbose=True):
                 print(f"{name:34s} rows-only   rows={len(s_rows)} spark={ts:.1f}s")
             continue
         try:
-            cur = con.execute(sqls[name])
-            d_cols = [c[0] for c in cur.description]
-            d_rows = cur.fetchall()
+            rel = con.sql(sqls[name])
+            d_cols, d_types = rel.columns, rel.types
+            d_rows = rel.fetchall()
         except Exception as e:  # noqa: BLE001
             report[name] = ("DUCK-ERROR", repr(e)[:800])
             if verbose:
@@ -99,8 +116,11 @@ def check(spark, sf_dir, names=None, verbose=True):
             continue
         sc, sm = canon(s_cols, s_rows)
         dc, dm = canon(d_cols, d_rows)
+        types = type_mismatches(s_schema, d_cols, d_types)
         ok = sc == dc and sm == dm
-        status = "MATCH" if ok else "MISMATCH"
+        status = ("MATCH" if not types else "TYPES") if ok else "MISMATCH"
+        if types and verbose:
+            print("   type mismatches:", types)
         report[name] = (status, len(s_rows), len(d_rows))
         if verbose:
             print(f"{name:34s} {status:8s} rows={len(s_rows)}/{len(d_rows)} spark={ts:.1f}s")
