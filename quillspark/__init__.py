@@ -1,0 +1,3 @@
+"""quillspark: keyword and content analytics as Spark DataFrame and streaming jobs."""
+
+__version__ = "0.1.0"

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from quillspark import schemas as S
 from quillspark.functions import codec
 from quillspark.functions import templates as tpl
-from quillspark.functions.strings import first_truthy, js_is_blank
+from quillspark.functions.strings import contains_text, first_truthy, js_is_blank
 
 PAA_ITEMS = T.ArrayType(S.PAA_ITEM)
 
@@ -60,9 +60,9 @@ def compliance_flags(df: DataFrame, content: str = "content") -> DataFrame:
 
     return df.select(
         *[x for x in df.columns if x != content],
-        flag(F.contains(c, F.lit("|")) & F.contains(c, F.lit("---"))).alias("has_table"),
-        flag(F.contains(c, F.lit("- ")) | F.contains(c, F.lit("* "))).alias("has_bullet"),
-        flag(F.contains(c, F.lit("## "))).alias("has_heading"),
+        flag(contains_text(c, "|") & contains_text(c, "---")).alias("has_table"),
+        flag(contains_text(c, "- ") | contains_text(c, "* ")).alias("has_bullet"),
+        flag(contains_text(c, "## ")).alias("has_heading"),
         flag(~F.startswith(c, F.lit("#"))).alias("has_bluf"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from quillspark import schemas as S
 from quillspark.functions.ids import key_uuid
-from quillspark.functions.strings import js_is_blank, js_trim, utf16_length
+from quillspark.functions.strings import js_trim, utf16_length
 from quillspark.operators.scan import id_of, order_key
 
 
@@ -211,6 +211,3 @@ def source_counts(merged: DataFrame) -> DataFrame:
     """Entries per source plus the grand total (rollup row has source NULL)."""
     return merged.rollup("source").agg(F.count(F.lit(1)).alias("n_keywords"))
 
-
-def blank_keyword(x) -> Column:
-    return js_is_blank(x)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import schemas as S
+from quillspark.functions.timefmt import newer_than
 from quillspark.operators.scan import DEFAULT_BUCKET_SECONDS, asof_last_id
 
 def empty_list() -> Column:
@@ -76,7 +77,7 @@ def attach_hit(looked_up: DataFrame, results: DataFrame, cols: list[str]) -> Dat
 
 def daily_counts(results: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """A4 + F7: per day of the last ``days`` days (strictly newer than as_of - days)."""
-    recent = results.filter(F.col("created_at") > as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
+    recent = results.filter(newer_than(F.col("created_at"), as_of, days))
     g = recent.groupBy(F.to_date("created_at").alias("date")).agg(
         F.count(F.lit(1)).alias("total_analyses"),
         F.count_distinct("keyword").alias("unique_keywords"))

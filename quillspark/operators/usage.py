@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark import schemas as S
 from quillspark.functions.strings import ratio_label
+from quillspark.functions.timefmt import display_or_never
 from quillspark.operators.scan import DEFAULT_BUCKET_SECONDS, keyed_row_number
 
 USAGE_COLS = ["user_id", "email", "usage_count", "max_usage", "is_premium", "created_at", "last_used_at"]
@@ -56,7 +57,7 @@ def admin_report(usage: DataFrame) -> DataFrame:
         "user_id", "email", "usage_count", "max_usage",
         at_limit(F.col("usage_count"), F.col("max_usage")).alias("at_limit"),
         F.when(F.col("is_premium"), S.PREMIUM_LABEL).otherwise(S.REGULAR_LABEL).alias("membership"),
-        F.coalesce(F.date_format("last_used_at", "yyyy-MM-dd HH:mm"), F.lit(S.NEVER_USED_LABEL)).alias("last_used"))
+        display_or_never(F.col("last_used_at")).alias("last_used"))
 
 
 def recent_top(usage: DataFrame, k: int = S.RECENT_USAGE_LIMIT) -> DataFrame:
