@@ -23,7 +23,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, "stage", name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # Known schema: no inference pass, and an empty intermediate reads back fine.
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_snapshot(df: DataFrame, base: str, version: int, partition_by: list[str] | None = None) -> str:
