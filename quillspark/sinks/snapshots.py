@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.session import shared_path
+from quillspark.sources.tables import spread_if_skinny
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, "stage", name)
     df.write.mode("overwrite").parquet(path)
     # Known schema: no inference pass, and an empty intermediate reads back fine.
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spread_if_skinny(df.sparkSession.read.schema(df.schema).parquet(path))
 
 
 def write_snapshot(df: DataFrame, base: str, version: int, partition_by: list[str] | None = None) -> str:

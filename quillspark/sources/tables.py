@@ -13,12 +13,43 @@ TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders",
                "benchmark", "labels", "conversations")
 
 
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def spread_if_skinny(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """Hash-spread a table that arrives in fewer files than the cluster has cores.
+
+    A single large parquet file with one row group is read by one task, and
+    every narrow step after the scan inherits that single partition.  When a
+    table of at least ``min_bytes`` comes in fewer files than
+    ``defaultParallelism``, it is hash-partitioned on its first (key) column
+    right after the scan; filters and column pruning still reach the scan.
+    Tables stored in many files (any large deployment) are left untouched.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    n = sc.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= n:
+        return df
+    jvm = sc._jvm
+    conf = sc._jsc.hadoopConfiguration()
+    size = 0
+    for f in files:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        size += p.getFileSystem(conf).getFileStatus(p).getLen()
+    if size < min_bytes:
+        return df
+    return df.repartition(n, df.columns[0])
+
+
 class Tables:
     """Name -> DataFrame accessor for one data folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, spread: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.spread = spread
         self._cache: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
@@ -28,7 +59,8 @@ class Tables:
         if name.startswith("_") or name not in TABLE_NAMES:
             raise AttributeError(name)
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(self.path(name))
+            df = self.spark.read.parquet(self.path(name))
+            self._cache[name] = spread_if_skinny(df) if self.spread else df
         return self._cache[name]
 
     def register_views(self) -> None:
