@@ -48,7 +48,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set a scratch one only when unset (tests)."""
     d = _configured_dir(spark)
     if not d:
-        d = tempfile.mkdtemp(prefix="quillspark-ckpt-")
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: stage tables, snapshots and stream "
+                               "checkpoints need a folder shared by all executors")
+        d = tempfile.mkdtemp(prefix="quillspark-ckpt-")   # local runs / tests only
         spark.sparkContext.setCheckpointDir(d)
         d = spark.sparkContext.getCheckpointDir() or d
     elif not spark.sparkContext.getCheckpointDir():
