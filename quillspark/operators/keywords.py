@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from quillspark import schemas as S
 from quillspark.functions.ids import key_uuid
-from quillspark.functions.strings import js_trim, utf16_length
+from quillspark.functions.strings import js_is_blank, js_trim, utf16_length
 from quillspark.operators.scan import id_of, order_key
 
 
@@ -152,8 +152,37 @@ def validate_adds(adds: DataFrame, usage: DataFrame, existing: DataFrame) -> Dat
                .when(outcome == "too_long", S.MSG_TOO_LONG)
                .when(outcome == "duplicate", S.MSG_DUPLICATE)
                .otherwise(S.MSG_ADDED))
-    return a.withColumn("outcome", outcome).withColumn("message", message).drop(
-        "_premium", "_exists", "is_first")
+    return (a.withColumn("outcome", outcome).withColumn("message", message)
+             .withColumn("in_custom", F.coalesce(F.col("_exists"), F.lit(False)))
+             .drop("_premium", "_exists", "is_first"))
+
+
+def validate_adds_client(adds: DataFrame, usage: DataFrame, existing: DataFrame,
+                         listed: DataFrame) -> DataFrame:
+    """F12 with the dashboard's own checks in front.
+
+    Blank input is ignored without a call; a keyword already in the user's
+    merged list (own keywords and the listed ones) or added earlier in the
+    session is a duplicate before the server is asked.  An earlier identical
+    add was only put in the list if the server accepted it, so within the
+    batch a later add is a duplicate exactly when the shared per-row server
+    rules (login, premium, length) pass.
+    """
+    v = validate_adds(adds, usage, existing)
+    lst = listed.select(F.col("keyword").alias("keyword_trimmed")).distinct().withColumn("_listed", F.lit(True))
+    v = v.join(lst, "keyword_trimmed", "left")
+    # In the merged list: a listed keyword, one of the user's own, or an
+    # earlier add of the batch that the server accepted (server outcome
+    # 'duplicate' already means exactly that).
+    client_dup = (F.coalesce(F.col("_listed"), F.lit(False)) | F.col("in_custom")
+                  | (F.col("outcome") == "duplicate"))
+    outcome = (F.when(F.col("keyword").isNull() | js_is_blank(F.col("keyword")), "ignored")
+               .when(client_dup, "duplicate").otherwise(F.col("outcome")))
+    v = v.withColumn("_client", outcome)
+    message = (F.when(F.col("_client") == "ignored", F.lit(None).cast("string"))
+               .when(F.col("_client") == "duplicate", F.lit(S.MSG_DUPLICATE)).otherwise(F.col("message")))
+    return (v.withColumn("message", message).withColumn("outcome", F.col("_client"))
+             .drop("_listed", "_client"))
 
 
 def insert_keywords(existing: DataFrame, validated: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark import schemas as S
 from quillspark.functions.ids import key_uuid_sql
-from quillspark.functions.strings import ASTRAL_PATTERN, JS_TRIM_PATTERN
+from quillspark.functions.strings import ASTRAL_PATTERN, JS_BLANK_PATTERN, JS_TRIM_PATTERN
 from quillspark.functions.templates import sql_literal
 from quillspark.operators import keywords as K
 from quillspark.operators import security as SEC
@@ -147,7 +147,8 @@ SELECT a.add_id, a.user_id, a.ts, a.keyword_trimmed,
             WHEN a.keyword_trimmed = '' THEN 'empty'
             WHEN {_utf16_sql('a.keyword_trimmed')} > {S.MAX_KEYWORD_LENGTH} THEN 'too_long'
             WHEN k.user_id IS NOT NULL OR a.rn > 1 THEN 'duplicate'
-            ELSE 'ok' END AS outcome
+            ELSE 'ok' END AS outcome,
+       k.user_id IS NOT NULL AS in_custom
 FROM ranked a
 LEFT JOIN usage_v u ON u.user_id = a.user_id
 LEFT JOIN keywords_v k ON k.user_id = a.user_id AND k.keyword = a.keyword_trimmed""",
@@ -169,6 +170,22 @@ def keyword_add_validate(spark, sf):
     return v.select("add_id", "user_id", "keyword_trimmed", "outcome", "message")
 
 
+@query("keyword_add_validate_client", with_views("keyword_adds_v", "usage_v", "keywords_v",
+                                                 extra=_VALIDATE_CTE) + f"""
+, listed AS (SELECT DISTINCT keyword FROM ({_LISTED_SQL}))
+SELECT v.add_id, v.user_id, v.keyword_trimmed,
+       CASE WHEN a.keyword IS NULL OR regexp_matches(a.keyword, '{JS_BLANK_PATTERN}') THEN 'ignored'
+            WHEN v.keyword_trimmed IN (SELECT keyword FROM listed) OR v.in_custom OR v.outcome = 'duplicate'
+                 THEN 'duplicate'
+            ELSE v.outcome END AS outcome
+FROM validated v JOIN keyword_adds_v a ON a.add_id = v.add_id""")
+def keyword_add_validate_client(spark, sf):
+    """F12, client-first variant: blank inputs ignored, merged-list duplicates stopped early."""
+    t = Tables(spark, sf)
+    v = K.validate_adds_client(fx.keyword_adds(t), fx.usage(t), fx.keywords(t), _listed(t))
+    return v.select("add_id", "user_id", "keyword_trimmed", "outcome")
+
+
 @query("keyword_insert_dedup", with_views("keyword_adds_v", "usage_v", "keywords_v", extra=_VALIDATE_CTE) + f"""
 SELECT {key_uuid_sql("user_id", "keyword")} AS id, user_id, keyword, created_at FROM (
   SELECT user_id, keyword, created_at FROM keywords_v
