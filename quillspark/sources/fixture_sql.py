@@ -71,7 +71,7 @@ SELECT e.event_id AS add_id, CASE WHEN e.event_id % 30 = 0 THEN NULL ELSE e.user
        CASE e.event_id % 6 WHEN 0 THEN p.p_name
                            WHEN 1 THEN '  ' || p.p_name || chr(12288)
                            WHEN 2 THEN chr(9) || ' '
-                           WHEN 3 THEN repeat(p.p_name, 5)
+                           WHEN 3 THEN repeat(p.p_name || ' ', 20)
                            ELSE e.event_type || '-' || CAST(e.user_id % 40 AS VARCHAR) END AS keyword
 FROM events e LEFT JOIN part p ON p.p_partkey = e.user_id""",
     "live_users_v": "SELECT * FROM users_v WHERE id % 17 <> 0",

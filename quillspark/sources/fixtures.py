@@ -166,7 +166,7 @@ def keyword_adds(t: Tables) -> DataFrame:
     kw = (F.when(m == 0, name)
           .when(m == 1, F.concat(F.lit("  "), name, F.lit("　")))
           .when(m == 2, F.lit("\t "))
-          .when(m == 3, F.repeat(name, 5))
+          .when(m == 3, F.repeat(F.concat(name, F.lit(" ")), 20))
           .otherwise(F.concat(F.col("event_type"), F.lit("-"), (F.col("user_id") % 40).cast("string"))))
     return j.select(
         F.col("event_id").alias("add_id"),
