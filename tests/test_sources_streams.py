@@ -34,3 +34,18 @@ def test_stage_files_splits_in_order(spark):
     back = spark.read.parquet(path)
     assert back.count() == df.count()
     assert back.select(F.input_file_name()).distinct().count() == 3
+
+
+def test_running_text_is_always_a_prefix_of_the_answer(spark):
+    from quillspark.suite.streams import _chunk_stream
+    updates, log = _chunk_stream(spark, SF_SMALL)
+    ups = spark.read.parquet(updates)
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(F.col("doc_id").alias("request_id"), "text")
+    rows = ups.join(docs.withColumnRenamed("text", "final"), "request_id").collect()
+    partial = [r for r in rows if not r.done]
+    assert partial, "some answers must span several micro-batches"
+    assert all(r.final.startswith(r.text) for r in rows)
+    assert all(r.text == r.final for r in rows if r.done)
+    # Each finished answer is saved exactly once
+    saved = spark.read.parquet(log)
+    assert saved.count() == saved.select("request_id").distinct().count() == docs.count()
