@@ -66,3 +66,35 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "quillspark", *parts, uuid.uuid4().hex)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quillspark`` importable in Python workers (once per SparkContext).
+
+    Python-side functions (the generate stage, streaming state functions) are
+    pickled by reference, so executors must import this package.  It is zipped
+    into the shared folder and added with ``addPyFile``, which distributes it
+    to every executor, including ones started later.
+    """
+    import zipfile
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = shared_path(spark, "pyfiles") + ".zip"
+    local = target[len("file:"):] if target.startswith("file:") else target
+    if "://" in local:     # remote shared storage: build locally, Spark copies it from the driver
+        local = os.path.join(tempfile.mkdtemp(prefix="quillspark-zip-"), "quillspark.zip")
+    os.makedirs(os.path.dirname(local), exist_ok=True)
+    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.join("quillspark", os.path.relpath(full, root)))
+    sc.addPyFile(local)
+    _SHIPPED.add(key)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillspark.session import ship_package
+
 CHUNK_SCHEMA = T.StructType([
     T.StructField("request_id", T.LongType()),
     T.StructField("chunk_no", T.LongType()),
@@ -83,6 +85,7 @@ def _assemble(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterat
 
 def assemble_stream(chunks: DataFrame) -> DataFrame:
     """T1 on a streaming (or batch) DataFrame of chunks: running text per request."""
+    ship_package(chunks.sparkSession)
     return chunks.groupBy("request_id").applyInPandasWithState(
         _assemble, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
 

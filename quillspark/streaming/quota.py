@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillspark.session import ship_package
+
 OUT_SCHEMA = T.StructType([
     T.StructField("request_id", T.LongType()),
     T.StructField("user_id", T.LongType()),
@@ -43,6 +45,7 @@ def _count(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
 
 def quota_stream(requests: DataFrame, usage: DataFrame) -> DataFrame:
     """requests (stream) ⋈ usage (static) -> per-request admission."""
+    ship_package(requests.sparkSession)
     u = usage.select("user_id", "usage_count", "max_usage", "is_premium")
     j = requests.join(u, "user_id", "inner")
     return j.groupBy("user_id").applyInPandasWithState(
