@@ -1,6 +1,5 @@
 """D17 schemas and S31 ids."""
 
-from pyspark.sql import functions as F
 
 from quillspark import schemas as S
 from quillspark.functions.ids import key_uuid
