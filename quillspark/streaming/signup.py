@@ -1,23 +1,48 @@
 """T4: the after-insert trigger on signups as a stream of upserts.
 
-Each micro-batch of new accounts is applied to the current usage snapshot
-with the signup upsert (D10) and written as the next snapshot version.
-Version ``batch_id + 1`` is derived from version ``batch_id`` only, so a
-replayed batch rewrites the same version with the same content.
+The usage table is stored partitioned by ``bucket = pmod(xxhash64(user_id),
+BUCKETS)``.  A micro-batch reads only the buckets its signups fall into
+(semi join on the partition column with at most BUCKETS keys, broadcast),
+applies the signup upsert (D10) there, stages the result, and writes it back
+with dynamic partition overwrite: untouched buckets are never rewritten, so
+a batch costs O(touched buckets), not O(table).  The upsert is idempotent
+(every branch sets the same values again), so a replayed batch leaves the
+same table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from quillspark.operators.usage import USAGE_COLS, signup_upsert
-from quillspark.sinks.snapshots import write_snapshot
+from quillspark.sinks.snapshots import materialize
+
+BUCKETS = 64
+
+
+def bucket_of(user_id: Column) -> Column:
+    return F.pmod(F.xxhash64(user_id), F.lit(BUCKETS)).cast("int")
+
+
+def write_bucketed(usage: DataFrame, base: str) -> None:
+    """Initial table (or a full rewrite)."""
+    (usage.select(*USAGE_COLS).withColumn("bucket", bucket_of(F.col("user_id")))
+     .write.mode("overwrite").partitionBy("bucket").parquet(base))
+
+
+def read_bucketed(spark, base: str) -> DataFrame:
+    return spark.read.parquet(base).select(*USAGE_COLS)
 
 
 def signup_batch_writer(base: str, admins: DataFrame, testers: DataFrame, as_of: Column):
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = spark.read.parquet(f"{base}/v={batch_id}")
-        nxt = signup_upsert(current, batch, admins, testers, as_of).select(*USAGE_COLS)
-        write_snapshot(nxt, base, batch_id + 1)
+        touched = batch.select(bucket_of(F.col("id")).alias("bucket")).distinct()   # <= BUCKETS rows
+        current = spark.read.parquet(base).join(F.broadcast(touched), "bucket", "left_semi")
+        nxt = signup_upsert(current.select(*USAGE_COLS), batch, admins, testers, as_of)
+        nxt = nxt.select(*USAGE_COLS).withColumn("bucket", bucket_of(F.col("user_id")))
+        staged = materialize(nxt, f"usage_signup_batch_{batch_id}")   # never read and overwrite one path
+        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket").parquet(base))
     return apply

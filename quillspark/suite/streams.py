@@ -9,17 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import usage as U
 from quillspark.registry import _ORACLES, query
 from quillspark.session import shared_path
-from quillspark.sinks.snapshots import latest_version, write_snapshot
 from quillspark.sources import fixtures as fx
 from quillspark.sources.fixture_sql import with_views
 from quillspark.sources.tables import Tables
 from quillspark.streaming import chunks as CH
 from quillspark.streaming import quota as QS
 from quillspark.streaming.runner import idempotent_batch_writer, read_files, run_to_completion, stage_files
-from quillspark.streaming.signup import signup_batch_writer
+from quillspark.streaming.signup import read_bucketed, signup_batch_writer, write_bucketed
 from quillspark.suite.usage import USAGE_OUT
 
 STREAM_FILES = 4
@@ -96,11 +94,10 @@ def stream_signup_upsert(spark, sf):
     """T4: signups streamed in batches through the upsert; final snapshot."""
     t = Tables(spark, sf)
     base = shared_path(spark, "tables", "user_usage")
-    write_snapshot(fx.usage(t).select(*U.USAGE_COLS), base, 0)
+    write_bucketed(fx.usage(t), base)
     src = stage_files(fx.signups(t), "signups", "id", STREAM_FILES)
     ckpt = shared_path(spark, "stream-ckpt", "signups")
     writer = signup_batch_writer(base, fx.admin_emails(t), fx.test_emails(t), fx.request_start())
     stream = read_files(spark, src, fx.signups(t).schema)
     run_to_completion(stream.writeStream.option("checkpointLocation", ckpt).foreachBatch(writer), "signups")
-    v = latest_version(spark, base)
-    return spark.read.parquet(f"{base}/v={v}").select(*USAGE_OUT)
+    return read_bucketed(spark, base).select(*USAGE_OUT)

@@ -108,3 +108,25 @@ def test_packed_order_key_matches_struct_order(spark):
     assert sorted(got.collect()) == sorted(want.collect())
     ids = df.select("id", id_of(order_key(F.col("ts"), F.col("id"), True)).alias("back")).collect()
     assert all(r.id == r.back for r in ids)
+
+
+def test_signup_batch_rewrites_only_touched_buckets(spark):
+    import os
+
+    from quillspark.session import shared_path
+    from quillspark.streaming.signup import BUCKETS, bucket_of, signup_batch_writer, write_bucketed
+    t = Tables(spark, SF_SMALL)
+    base = shared_path(spark, "test", "usage_bucketed")
+    write_bucketed(fx.usage(t), base)
+    local = base[len("file:"):] if base.startswith("file:") else base
+
+    def files():
+        return {d: sorted(os.listdir(os.path.join(local, d))) for d in os.listdir(local) if d.startswith("bucket=")}
+
+    before = files()
+    batch = fx.signups(t).limit(3)
+    touched = {f"bucket={r.b}" for r in batch.select(bucket_of(F.col("id")).alias("b")).collect()}
+    signup_batch_writer(base, fx.admin_emails(t), fx.test_emails(t), fx.request_start())(batch, 0)
+    after = files()
+    changed = {d for d in set(before) | set(after) if before.get(d) != after.get(d)}
+    assert changed and changed <= touched and len(touched) < BUCKETS
