@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillspark import schemas as S
 from quillspark.functions.strings import ratio_label
 from quillspark.functions.timefmt import display_or_never
-from quillspark.operators.scan import DEFAULT_BUCKET_SECONDS, keyed_row_number
+from quillspark.operators.scan import DEFAULT_BUCKET_SECONDS, id_of, keyed_row_number, order_key
 
 USAGE_COLS = ["user_id", "email", "usage_count", "max_usage", "is_premium", "created_at", "last_used_at"]
 
@@ -158,8 +158,12 @@ def ensure(usage: DataFrame, users: DataFrame, admins: DataFrame | None, as_of:
 
 def set_limits(usage: DataFrame, changes: DataFrame, ts: str = "ts") -> DataFrame:
     """Admin edits of (max_usage, is_premium); the last change per user wins."""
-    last = changes.groupBy("user_id").agg(
-        F.max_by(F.struct("max_usage", "is_premium"), F.struct(F.col(ts), F.col("change_id"))).alias("_c"))
+    # Winner per user by a packed (ts, change_id) key: a hash aggregate; its
+    # values come back by a semi join on the (unique) change id.
+    win = changes.groupBy("user_id").agg(
+        id_of(F.max(order_key(F.col(ts), F.col("change_id"), nulls_last=False))).alias("change_id"))
+    last = changes.join(win.select("change_id"), "change_id", "left_semi").select(
+        "user_id", F.struct("max_usage", "is_premium").alias("_c"))
     j = usage.join(last, "user_id", "left")
     hit = F.col("_c").isNotNull()
     return j.select(*[
