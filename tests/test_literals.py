@@ -86,3 +86,23 @@ def test_compliance_flags_quirks(spark):
 def test_log_severity(spark):
     df = spark.createDataFrame([("✅ ok ❌",), ("❌ bad",), ("plain",)], "m string")
     assert [r.s for r in df.select(log_severity(F.col("m")).alias("s")).collect()] == ["ok", "error", "info"]
+
+
+def test_fallback_list_branches(spark):
+    from quillspark import schemas as S
+    from quillspark.operators.keywords import keyword_list, with_fallback
+    raw = spark.createDataFrame(
+        [(1, 0, "a"), (1, 1, "b"),                                   # normal list: kept
+         (2, 0, S.MISSING_FILE_SENTINEL),                            # missing file: fallback
+         (3, 0, ""), (3, 1, None),                                   # only falsy cells: empty -> fallback
+         (4, 0, "x"), (4, 1, "Error later")],                        # sentinel not first: kept
+        "owner int, pos long, Keyword string")
+    owners = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "owner int")   # 5 has no list at all
+    out = with_fallback(keyword_list(raw, "Keyword", "pos"), owners, owner="owner")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.owner, []).append((r.pos, r.keyword, r.source))
+    fb = [(i, k, "fallback") for i, k in enumerate(S.FALLBACK_KEYWORDS)]
+    assert sorted(got[1]) == [(0, "a", "list"), (1, "b", "list")]
+    assert sorted(got[2]) == fb and sorted(got[3]) == fb and sorted(got[5]) == fb
+    assert sorted(got[4]) == [(0, "x", "list"), (1, "Error later", "list")]
