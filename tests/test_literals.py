@@ -106,3 +106,21 @@ def test_fallback_list_branches(spark):
     assert sorted(got[1]) == [(0, "a", "list"), (1, "b", "list")]
     assert sorted(got[2]) == fb and sorted(got[3]) == fb and sorted(got[5]) == fb
     assert sorted(got[4]) == [(0, "x", "list"), (1, "Error later", "list")]
+
+
+def test_result_map_merge_and_refine_overlay(spark):
+    from quillspark.operators.results import merge_result_maps, overlay_results
+    cur = spark.createDataFrame([("k1", ["q1"], "old", "cached"), ("k2", ["q2"], "", "cached"),
+                                 ("k3", None, "keep", "cached")],
+                                "keyword string, paa array<string>, content string, used_model string")
+    inc = spark.createDataFrame([("k1", ["n1"], "new", "m"), ("k4", [], "fresh", "m")],
+                                "keyword string, paa array<string>, content string, used_model string")
+    merged = {r.keyword: r for r in merge_result_maps(cur, inc).collect()}
+    assert (merged["k1"].content, list(merged["k1"].paa), merged["k1"].origin) == ("new", ["n1"], "incoming")
+    assert merged["k3"].content == "keep" and merged["k4"].origin == "incoming"
+    ref = spark.createDataFrame([("k1", "refined", "r-model"), ("k2", "refined2", "r-model"),
+                                 ("k9", "orphan", "r-model")], "keyword string, content string, used_model string")
+    over = {r.keyword: r for r in overlay_results(cur, ref).collect()}
+    assert (over["k1"].content, over["k1"].used_model, list(over["k1"].paa)) == ("refined", "r-model", ["q1"])
+    assert (over["k2"].content, over["k2"].used_model) == ("", "cached")     # nothing shown: no refine
+    assert "k9" not in over and over["k3"].content == "keep"
