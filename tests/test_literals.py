@@ -124,3 +124,18 @@ def test_result_map_merge_and_refine_overlay(spark):
     assert (over["k1"].content, over["k1"].used_model, list(over["k1"].paa)) == ("refined", "r-model", ["q1"])
     assert (over["k2"].content, over["k2"].used_model) == ("", "cached")     # nothing shown: no refine
     assert "k9" not in over and over["k3"].content == "keep"
+
+
+def test_keyword_merge_order_and_prepend(spark):
+    import datetime as dt
+
+    from quillspark.operators.keywords import merge_lists, prepend_missing
+    custom = spark.createDataFrame([(7, "c-old", dt.datetime(2024, 1, 1)), (7, "c-new", dt.datetime(2024, 2, 1))],
+                                   "user_id long, keyword string, created_at timestamp_ntz")
+    listed = spark.createDataFrame([(0, "l0"), (1, "c-new"), (2, "l0")], "pos long, keyword string")
+    merged = [r.keyword for r in merge_lists(custom, listed).collect()]
+    assert merged == ["c-new", "c-old", "l0", "c-new", "l0"]          # custom newest first; duplicates kept
+    incoming = spark.createDataFrame([("l0",), ("h1",), ("h1",)], "keyword string")
+    pre = prepend_missing(listed, incoming).collect()
+    assert sorted(r.keyword for r in pre if r.src_rank == 0) == ["h1"]  # once, only when absent
+    assert sorted(r.pos for r in pre if r.src_rank == 1) == [0, 1, 2]
