@@ -80,8 +80,10 @@ def merge_lists(custom: DataFrame, listed: DataFrame) -> DataFrame:
     b = listed.select(F.lit(1).alias("src_rank"), F.lit(None).cast("long").alias("user_id"),
                       "keyword", F.lit(None).cast("timestamp_ntz").alias("created_at"),
                       F.col("pos").cast("long").alias("pos"))
+    # Listed entries keep file order (pos); custom ones are newest first, with
+    # the keyword only as a tiebreak for equal times.
     return a.unionByName(b).orderBy("src_rank", "user_id", F.col("created_at").desc(),
-                                    "keyword", "pos")
+                                    "pos", "keyword")
 
 
 def distinct_set(df: DataFrame, cols: list[str]) -> DataFrame:
