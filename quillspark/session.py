@@ -9,6 +9,7 @@ bench set that folder, and only when the session leaves it unset.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -63,8 +64,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A fresh, unique path under the shared folder (one per call)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    if base.startswith("file:"):
-        base = base[len("file:"):]
     return os.path.join(base, "quillspark", *parts, uuid.uuid4().hex)
 
 
@@ -86,7 +85,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     target = shared_path(spark, "pyfiles") + ".zip"
-    local = target[len("file:"):] if target.startswith("file:") else target
+    local = re.sub("^file:/*", "/", target)
     if "://" in local:     # remote shared storage: build locally, Spark copies it from the driver
         local = os.path.join(tempfile.mkdtemp(prefix="quillspark-zip-"), "quillspark.zip")
     os.makedirs(os.path.dirname(local), exist_ok=True)
