@@ -16,11 +16,11 @@ INDEX_SCHEMA = ("bucket int, level_bits array<int>, bits binary, slots binary, w
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, digest): SHA-256 of the text with white space runs as one
-    space; null counts as empty. ``row`` tells repeated rows apart."""
+    """(doc_id, row, text_hash, digest): SHA-256 of the text with white space runs
+    as one space; null counts as empty. ``row`` tells repeated rows apart."""
     text = F.regexp_replace(text_or_empty(text_col), SPACES, " ")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-                       F.unhex(F.sha2(text, 256)).alias("digest"))
+                       F.xxhash64(text_or_empty(text_col)).alias("text_hash"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
 
 def winners(rows: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def lookup_bucket(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         null, win, wrow, cop = (np.asarray(ix[c])[slot] for c in ("winner_null", "winner", "winner_row", "copies"))
     else:
         null, win, wrow, cop = np.zeros(n, bool), slot, slot, slot
-    out = rows[["doc_id", "row", "digest"]].assign(
+    out = rows[["doc_id", "row", "text_hash", "digest"]].assign(
         member=member, keep_id=pd.array(win, dtype="Int64"), keep_row=wrow, group_size=cop)
     out.loc[null.astype(bool) | ~member, "keep_id"] = pd.NA
     return out
@@ -118,12 +118,12 @@ def lookup(rows: DataFrame, index: DataFrame, n_buckets: int, rows_per_task: int
     spread = index.join(split, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("split") - 1))).drop("split")
     return (salted.groupBy("bucket", "salt").cogroup(spread.groupBy("bucket", "salt")).applyInPandas(
         lambda r, i: lookup_bucket(r, i),
-        "doc_id long, row long, digest binary, member boolean, keep_id long, keep_row long, group_size long"))
+        "doc_id long, row long, text_hash long, digest binary, member boolean, keep_id long, keep_row long, group_size long"))
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, member.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, member, text_hash.
 
     With ``history`` (documents taken before) a text that history holds is a
     repeat of history's winner and is not kept. Without it, the digests that
@@ -139,9 +139,9 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
     index, n = build_index(known)
     found = materialize(lookup(rows, index, n), "exact_found")
     new = winners(found.where("not member").select("doc_id", "row", "digest"))
-    others = (found.where("not member").select("doc_id", "row", "digest", "member").join(new, "digest")
-              .select("doc_id", "row", "digest", "member", F.col("winner").alias("keep_id"),
+    others = (found.where("not member").select("doc_id", "row", "text_hash", "digest", "member").join(new, "digest")
+              .select("doc_id", "row", "text_hash", "digest", "member", F.col("winner").alias("keep_id"),
                       F.col("winner_row").alias("keep_row"), F.col("copies").alias("group_size")))
     both = found.where("member").select(others.columns).unionByName(others)
     return both.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"),
-                       F.lower(F.hex("digest")).alias("text_sha256"), "member")
+                       F.lower(F.hex("digest")).alias("text_sha256"), "member", "text_hash")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import partitions, prefix_sums, word_count
+from quillspark.llm.common import partitions, prefix_sums, text_or_empty, word_count
 from quillspark.session import ship_package
 from quillspark.sinks.snapshots import materialize
 
@@ -102,7 +102,7 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, max_repeat: int = 2, weights: tuple[int, ...] = WEIGHTS,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, text_hash.
 
     Each source takes every document ``target div source_size`` times, then
     one more copy of documents chosen so that their lengths fill the remaining
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, max_repeat: int = 2
     buckets = partitions(spark)
     h = F.xxhash64(F.lit(seed), "doc_id")
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                                   word_count(text_col).alias("size"))
+                                   word_count(text_col).alias("size"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"))
                        .withColumn("h", h).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)).cast("int"))
                        # null sources need a key that joins; the mark keeps them apart from texts
                        .withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))), "mix_rows")
@@ -136,9 +136,9 @@ def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, max_repeat: int = 2
              .join(plan, ["source_key", "size"])
              .select("source_key", "size", "bucket", "whole",
                      F.greatest(F.lit(0), F.col("extra_docs") - F.col("earlier")).alias("wanted")))
-    nth = F.row_number().over(Window.partitionBy("source_key", "size", "bucket").orderBy("h", "doc_id"))
+    nth = F.row_number().over(Window.partitionBy("source_key", "size", "bucket").orderBy("h", "doc_id", "text_hash"))
     copies = F.coalesce(F.col("whole") + F.when(F.col("nth") <= F.col("wanted"), 1).otherwise(0), F.lit(0))
     return (rows.withColumn("nth", nth).join(quota, ["source_key", "size", "bucket"], "left")
             .join(targets.drop("source"), "source_key")
             .select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"),
-                    (copies * F.col("size")).cast("long").alias("taken")))
+                    (copies * F.col("size")).cast("long").alias("taken"), "text_hash"))

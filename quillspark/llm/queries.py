@@ -50,7 +50,7 @@ from d window g as (partition by text_sha256)
 @query("op5_exact_dedup", OP5_SQL)
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.exact import exact_dedup
-    return exact_dedup(_table(spark, sf_dir, "documents")).drop("member")
+    return exact_dedup(_table(spark, sf_dir, "documents")).drop("member", "text_hash")
 
 
 @query("op9_mixing")
@@ -78,3 +78,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.lines import dedup_lines
     return dedup_lines(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.toxicity import toxicity_scores
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("text_hash")
+
+
+@query("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.bpe import encode_digests
+    return encode_digests(_table(spark, sf_dir, "documents"))
