@@ -90,3 +90,59 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.bpe import encode_digests
     return encode_digests(_table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.quality import quality_scores
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP6_SQL = r"""
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b
+      on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where list_cosine_similarity(a.e, b.e) >= 0.98),
+r as (select vec_id as a, vec_id as b from embeddings
+      union select r.a, l.b from r join l on r.b = l.a),
+c as (select a as vec_id, min(b) as component_id from r group by a),
+n as (select a as vec_id, count(*) as n_links from l group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from c left join n using (vec_id)
+"""
+
+
+@query("op6_embedding_dedup", OP6_SQL)
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.embed import embedding_duplicates
+    return embedding_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def _op2_sql() -> str:
+    from quillspark.llm.licenses import KNOWN_TEXTS, canonical_sql
+    marked, done = canonical_sql("text")
+    known = ", ".join("('%s', '%s')" % (i, t.replace("'", "''")) for i, t in KNOWN_TEXTS)
+    return f"""
+with known as (select sha256(k) as digest, min(license_id) as license_id
+               from (select license_id, {done.format("m")} as k
+                     from (select license_id, {marked} as m from (values {known}) as v(license_id, text)))
+               group by 1),
+m as (select doc_id, {marked} as m from (select doc_id, coalesce(text, '') as text from documents)),
+t as (select doc_id, sha256({done.format("m")}) as text_digest from m),
+l as (select doc_id, sha256({done.format("line")}) as digest
+      from (select doc_id, unnest(string_split(m, chr(10))) as line from m)),
+f as (select doc_id, string_agg(distinct license_id, ',' order by license_id) as line_licenses
+      from l join known using (digest) group by doc_id)
+select t.doc_id, text_digest, known.license_id, f.line_licenses
+from t left join known on known.digest = t.text_digest left join f on f.doc_id = t.doc_id
+"""
+
+
+@query("op2_licenses", _op2_sql())
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.licenses import scan_licenses
+    return scan_licenses(_table(spark, sf_dir, "documents"))
