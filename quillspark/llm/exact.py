@@ -108,9 +108,12 @@ def build_index(known: DataFrame, keys_per_bucket: int = 16384) -> tuple[DataFra
     return materialize(keyed.groupBy("bucket").applyInPandas(build_bucket, INDEX_SCHEMA), "exact_index"), n
 
 
-def lookup(rows: DataFrame, index: DataFrame, n_buckets: int, rows_per_task: int = 100_000) -> DataFrame:
+def lookup(rows: DataFrame, index: DataFrame, n_buckets: int, rows_per_task: int | None = None) -> DataFrame:
     """Adds member, keep_id, keep_row, group_size. Buckets with many rows (a hot
-    digest) are split evenly and get as many copies of their index row."""
+    digest) are split evenly and get as many copies of their index row; a task
+    gets about its share of all rows, 100,000 at most, unless told otherwise."""
+    if rows_per_task is None:
+        rows_per_task = min(100_000, max(256, -(-rows.count() // partitions(rows.sparkSession))))
     keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(n_buckets)).cast("int"))
     split = materialize(keyed.groupBy("bucket").agg(F.ceil(F.count("*") / rows_per_task).cast("int").alias("split")),
                         "exact_split")
