@@ -23,6 +23,7 @@ HEADLINE = [
     "compliance_flags", "compliance_summary", "paa_extract", "prompt_assemble", "paa_transport",
     "keyword_add_validate", "keyword_insert_dedup", "daily_analysis", "paa_chart",
     "usage_signup_upsert", "usage_backfill", "chunk_assemble",
+    "pipeline_usage_next", "refine_usage_next", "stream_chunk_assemble", "stream_quota", "stream_signup_upsert",
 ]
 
 
@@ -33,8 +34,8 @@ def transport_throughput(spark, sf_dir: str) -> dict:
     from pyspark.sql import functions as F
 
     from quillspark.functions import codec
-    from quillspark.sources.tables import spread_if_skinny
-    docs = spread_if_skinny(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
+    n = spark.sparkContext.defaultParallelism
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(n, "doc_id").select(
         F.array("text").alias("paa"))
     mb = docs.select(F.sum(F.octet_length(F.col("paa")[0]))).first()[0] / 1e6
     n = docs.count()

@@ -59,15 +59,22 @@ def default_if_empty(x, default) -> Column:
 
 
 def prefix(x, n: int) -> Column:
-    """JS ``substring(0, n)`` — first n characters (1-based in Spark)."""
-    return F.substring(_c(x), 1, n)
+    """JS ``substring(0, n)`` — the first n UTF-16 units; half of a pair at
+    the end becomes U+FFFD, as when the text is encoded."""
+    units = F.encode(F.substring(_c(x), 1, n), "UTF-16BE")
+    split = F.hex(F.substring(units, 2 * n - 1, 1)).between("D8", "DB")
+    cut = F.when(split, F.concat(F.decode(F.substring(units, 1, 2 * n - 2), "UTF-16BE"), F.lit("\uFFFD"))
+                 ).otherwise(F.decode(F.substring(units, 1, F.lit(2 * n)), "UTF-16BE"))
+    return F.when(F.octet_length(units) <= 2 * n, F.substring(_c(x), 1, n)).otherwise(cut)
 
 
 def parse_int_or_zero(x) -> Column:
-    """``parseInt(x) || 0`` — leading (signed) integer, else 0."""
+    """``parseInt(x) || 0`` — leading (signed) integer (BIGINT), else 0.
+    Digits beyond BIGINT give its ends, which no INTEGER column takes."""
     digits = F.regexp_extract(_c(x), JS_LEADING_INT_PATTERN, 1)
-    v = F.when(digits != "", digits.try_cast("int")).otherwise(F.lit(None).cast("int"))
-    return F.coalesce(v, F.lit(0))
+    beyond = F.when(F.startswith(digits, F.lit("-")), F.lit(-2**63)).otherwise(F.lit(2**63 - 1))
+    v = F.when(digits != "", F.coalesce(digits.try_cast("bigint"), beyond))
+    return F.coalesce(v, F.lit(0).cast("bigint"))
 
 
 def ratio_label(n, d) -> Column:

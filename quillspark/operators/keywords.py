@@ -6,8 +6,6 @@ insert / delete against UNIQUE(user_id, keyword) (D3, D9, W3), membership
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +13,7 @@ from pyspark.sql import types as T
 from quillspark import schemas as S
 from quillspark.functions.ids import key_uuid
 from quillspark.functions.strings import js_is_blank, js_trim, utf16_length
-from quillspark.operators.scan import id_of, order_key
+from quillspark.operators.scan import global_row_number
 
 
 # --------------------------------------------------------------------- sources
@@ -23,17 +21,20 @@ def read_keyword_file(spark: SparkSession, path: str, fmt: str = "csv",
                       column: str = "Keyword") -> DataFrame:
     """SRC1 from a file with a header row: keep ``column`` in file order.
 
-    Only the named column is read (the rest of the header is ignored); the
-    position comes from ``monotonically_increasing_id`` which follows file
-    and split order.
+    Only the named column is read (the rest of the header is ignored).  Spark
+    reads larger files first, so the position is the rank by file path, place
+    of the split in its file and row of the split.
     """
     r = spark.read.option("header", True)
     if fmt == "csv":
         # Header names the columns; every cell stays a string (no inference pass).
-        df = r.option("inferSchema", False).csv(path).select(column)
+        df = r.option("inferSchema", False).csv(path)
     else:
-        df = r.format(fmt).load(path).select(column)
-    return keyword_list(df.withColumn("pos", F.monotonically_increasing_id()), column, "pos")
+        df = r.format(fmt).load(path)
+    df = df.select(column, F.col("_metadata.file_path").alias("_file"),
+                   F.col("_metadata.file_block_start").alias("_at")).withColumn("_row", F.monotonically_increasing_id())
+    ranked = global_row_number(df, [F.col("_file"), F.col("_at"), F.col("_row")], "pos")
+    return keyword_list(ranked.select(column, (F.col("pos") - 1).alias("pos")), column, "pos")
 
 
 def keyword_list(df: DataFrame, column: str = "Keyword", pos: str = "pos") -> DataFrame:
@@ -72,18 +73,23 @@ def with_fallback(lists: DataFrame, owners: DataFrame, owner: str = "user_id",
 
 
 # -------------------------------------------------------------------- set ops
-def merge_lists(custom: DataFrame, listed: DataFrame) -> DataFrame:
-    """Custom keywords first (newest first per user), then the listed ones in
-    file order; duplicates kept.  Columns: src_rank, user_id, keyword, created_at, pos."""
+def merged_entries(custom: DataFrame, listed: DataFrame) -> DataFrame:
+    """The entries of ``merge_lists`` in no order (for counts)."""
     a = custom.select(F.lit(0).alias("src_rank"), "user_id", "keyword", "created_at",
                       F.lit(None).cast("long").alias("pos"))
     b = listed.select(F.lit(1).alias("src_rank"), F.lit(None).cast("long").alias("user_id"),
                       "keyword", F.lit(None).cast("timestamp_ntz").alias("created_at"),
                       F.col("pos").cast("long").alias("pos"))
-    # Listed entries keep file order (pos); custom ones are newest first, with
-    # the keyword only as a tiebreak for equal times.
-    return a.unionByName(b).orderBy("src_rank", "user_id", F.col("created_at").desc(),
-                                    "pos", "keyword")
+    return a.unionByName(b)
+
+
+def merge_lists(custom: DataFrame, listed: DataFrame) -> DataFrame:
+    """Custom keywords first (newest first per user, NULL times first as in
+    PostgreSQL), then the listed ones in file order; duplicates kept.
+    Columns: src_rank, user_id, keyword, created_at, pos."""
+    # Listed entries keep file order (pos); the keyword only breaks ties of equal times.
+    return merged_entries(custom, listed).orderBy(
+        "src_rank", "user_id", F.col("created_at").desc_nulls_first(), "pos", "keyword")
 
 
 def distinct_set(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -97,12 +103,18 @@ def update_set(current: DataFrame, adds: DataFrame, removes: DataFrame, cols: li
     return u.join(removes.select(*cols).distinct(), cols, "left_anti")
 
 
-def prepend_missing(list_df: DataFrame, incoming: DataFrame) -> DataFrame:
-    """U4: keywords of ``incoming`` absent from the list go in front (once each)."""
-    missing = incoming.select("keyword").distinct().join(list_df.select("keyword"), "keyword", "left_anti")
-    a = missing.select(F.lit(0).alias("src_rank"), "keyword", F.lit(None).cast("long").alias("pos"))
-    b = list_df.select(F.lit(1).alias("src_rank"), "keyword", F.col("pos").cast("long").alias("pos"))
-    return a.unionByName(b)
+def prepend_missing(list_df: DataFrame, incoming: DataFrame, ts: str = "created_at") -> DataFrame:
+    """U4: keywords of ``incoming`` absent from the list go in front, once each.
+
+    A keyword is put in front when it first comes, so the latest newcomer
+    stands first: order by (src_rank, added_at descending, keyword, pos).
+    """
+    first = incoming.groupBy("keyword").agg(F.min(ts).alias("added_at"))
+    missing = first.join(list_df.select("keyword"), "keyword", "left_anti")
+    a = missing.select(F.lit(0).alias("src_rank"), "keyword", F.lit(None).cast("long").alias("pos"), "added_at")
+    b = list_df.select(F.lit(1).alias("src_rank"), "keyword", F.col("pos").cast("long").alias("pos"),
+                       F.lit(None).cast(incoming.schema[ts].dataType).alias("added_at"))
+    return a.unionByName(b).orderBy("src_rank", F.col("added_at").desc_nulls_first(), "pos", "keyword")
 
 
 # ----------------------------------------------------------------- predicates
@@ -113,19 +125,15 @@ def search(df: DataFrame, q: str, column: str = "keyword") -> DataFrame:
 
 def first_per_key(batch: DataFrame, keys: list[str], ts: str, tiebreak: str,
                   out: str = "is_first") -> DataFrame:
-    """The earliest row per key wins.
+    """The earliest row per key wins (NULL times first, as in a window).
 
-    ``min_by`` per key is a partial hash aggregate (skew-safe); the winner id
-    is joined back on the key, so no per-key window sorts a hot key's rows.
+    The winner per key is a map-side combined aggregate over (time, id) of any
+    type; it is marked by a join on the unique id, so rows of a hot key never
+    meet in one task.
     """
-    # Packed (ts, id) key: a hash aggregate, map-side combined.  NULL times
-    # first, as an ascending window would order them.
-    win = batch.groupBy(*keys).agg(
-        id_of(F.min(order_key(F.col(ts), F.col(tiebreak), nulls_last=False))).alias("_win"))
-    win = win.select(*[F.col(k).alias(f"_w_{k}") for k in keys], "_win")
-    cond = reduce(lambda a, c: a & c, [batch[k].eqNullSafe(win[f"_w_{k}"]) for k in keys])
-    j = batch.join(win, cond, "left").drop(*[f"_w_{k}" for k in keys])
-    return j.withColumn(out, F.coalesce(F.col(tiebreak) == F.col("_win"), F.lit(False))).drop("_win")
+    win = (batch.groupBy(*keys).agg(F.min(F.struct(F.col(ts).alias("t"), F.col(tiebreak).alias("i"))).alias("_m"))
+           .select(F.col("_m.i").alias(tiebreak), F.lit(True).alias("_win")))
+    return batch.join(win, tiebreak, "left").withColumn(out, F.col("_win").isNotNull()).drop("_win")
 
 
 def validate_adds(adds: DataFrame, usage: DataFrame, existing: DataFrame) -> DataFrame:
@@ -135,13 +143,14 @@ def validate_adds(adds: DataFrame, usage: DataFrame, existing: DataFrame) -> Dat
     batch (an earlier identical add passed the same per-row rules, so it was
     inserted first).  Output adds ``keyword_trimmed``, ``outcome``, ``message``.
     """
-    a = adds.withColumn("keyword_trimmed", js_trim(F.col("keyword")))
+    # The first add per keyword is found on the bare adds, before any other join.
+    a = first_per_key(adds.withColumn("keyword_trimmed", js_trim(F.col("keyword"))),
+                      ["user_id", "keyword_trimmed"], "ts", "add_id")
     prem = usage.select("user_id", F.col("is_premium").alias("_premium"))
     a = a.join(prem, "user_id", "left")
     ex = existing.select("user_id", F.col("keyword").alias("keyword_trimmed"),
                          F.lit(True).alias("_exists"))
     a = a.join(ex, ["user_id", "keyword_trimmed"], "left")
-    a = first_per_key(a, ["user_id", "keyword_trimmed"], "ts", "add_id")
     outcome = (F.when(F.col("user_id").isNull(), "login")
                .when(~F.coalesce(F.col("_premium"), F.lit(False)), "not_premium")
                .when(F.col("keyword_trimmed") == "", "empty")

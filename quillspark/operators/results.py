@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from quillspark import schemas as S
 from quillspark.functions.timefmt import newer_than
-from quillspark.operators.scan import DEFAULT_BUCKET_SECONDS, asof_last_id
+from quillspark.functions.strings import prefix
+from quillspark.operators.scan import asof_last_id
+
 
 def empty_list() -> Column:
     return F.array().cast("array<string>")
@@ -25,14 +27,14 @@ def latest_per_key(results: DataFrame, key: str = "keyword", ts: str = "created_
                    tiebreak: str = "id") -> DataFrame:
     """Newest row per key (NULL time counts as newest, as in a DESC sort).
 
-    A ``max_by`` hash aggregate instead of ``row_number`` over a per-key
-    window: it combines map-side, so a hot key costs one row per partition
-    in the shuffle, not all of its rows in one task.
+    The winners' ids come from an aggregate over (key, time, id) alone, which
+    combines map-side; the payload is fetched by a semi join on the unique id,
+    so no content passes through the aggregate.
     """
     order = F.struct(F.col(ts).isNull().alias("n"), F.col(ts).alias("t"), F.col(tiebreak).alias("i"))
-    payload = F.struct(*[F.col(c) for c in results.columns if c != key])
-    g = results.groupBy(key).agg(F.max_by(payload, order).alias("_r"))
-    return g.select(key, *[F.col("_r")[c].alias(c) for c in results.columns if c != key])
+    win = results.groupBy(key).agg(F.max(order).alias("_m")).select(F.col("_m.i").alias("_win"))
+    return results.join(win, results[tiebreak] == F.col("_win"), "left_semi").select(
+        key, *[c for c in results.columns if c != key])
 
 
 def history(results: DataFrame, k: int = S.HISTORY_LIMIT) -> DataFrame:
@@ -47,8 +49,7 @@ def history_cards(results: DataFrame) -> DataFrame:
     return results.select(
         "id", "keyword", F.size(paa).alias("paa_count"),
         F.get(F.col("paa_questions"), 0).alias("first_question"),
-        F.concat(F.coalesce(F.substring("content", 1, S.CARD_PREVIEW_CHARS), F.lit("")),
-                 F.lit("...")).alias("preview"))
+        F.concat(F.coalesce(prefix("content", S.CARD_PREVIEW_CHARS), F.lit("")), F.lit("...")).alias("preview"))
 
 
 def to_cached_result(df: DataFrame) -> DataFrame:
@@ -60,19 +61,20 @@ def to_cached_result(df: DataFrame) -> DataFrame:
         F.lit("success").alias("status"), F.lit(S.CACHED_MODEL_LABEL).alias("used_model"))
 
 
-def cache_lookup(requests: DataFrame, results: DataFrame, ts: str = "ts",
-                 width_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+def cache_lookup(requests: DataFrame, results: DataFrame, ts: str = "ts") -> DataFrame:
     """J6 batch form: each request gets the newest result of its keyword written
     strictly before the request (``hit_id`` NULL on a miss)."""
     return asof_last_id(requests, results.select("keyword", "created_at", "id"), ["keyword"],
-                        ts, "created_at", "id", out="hit_id", strict=True,
-                        width_seconds=width_seconds)
+                        ts, "created_at", "id", out="hit_id", strict=True)
 
 
 def attach_hit(looked_up: DataFrame, results: DataFrame, cols: list[str]) -> DataFrame:
-    """Join the payload of the matched result back by id (ids are unique)."""
-    r = results.select(F.col("id").alias("hit_id"), *cols)
-    return looked_up.join(r, "hit_id", "left")
+    """Join the payload of the matched result back by id (ids are unique).
+    Misses match nothing; a salt keeps them from meeting in one task."""
+    salt = F.when(F.col("hit_id").isNull(), F.monotonically_increasing_id())
+    r = results.select(F.struct(F.col("id").alias("i"), F.lit(None).cast("long").alias("s")).alias("_hit"), *cols)
+    keyed = looked_up.withColumn("_hit", F.struct(F.col("hit_id").alias("i"), salt.alias("s")))
+    return keyed.join(r, "_hit", "left").drop("_hit")
 
 
 def daily_counts(results: DataFrame, as_of: Column, days: int = 7) -> DataFrame:

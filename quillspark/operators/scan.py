@@ -2,22 +2,13 @@
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` sorts every row of a key in
 one task; one key holding a third of the table then holds a third of the job.
-These helpers split each key's timeline into time buckets:
-
-* the heavy, row-level window runs per ``(key, bucket)``;
-* what crosses a bucket edge (a row count, the last id seen) is first reduced
-  to one row per ``(key, bucket)`` with a partial hash aggregate, then carried
-  forward by a window over that small table;
-* the two are joined back on ``(key, bucket)``.
-
-The result equals the plain window exactly; only the task sizes change.
-
-Bucket width: by default the data's time span divided by the session's
-shuffle parallelism (``spark.sql.shuffle.partitions``), from one min/max
-aggregate of the time column — so a key holding a third of
-a 100 TB table is still cut into about as many pieces as the cluster has
-shuffle partitions, while a 30-day test fixture is not shredded into
-thousands of tiny groups.  A fixed width in seconds can be passed instead.
+Here the rows are range-partitioned on (key, order), which cuts a hot key
+wherever its rows are, whatever their times: a burst, an outlier or NULL times
+do not pile up. The placed rows are written once as a stage table, which
+fixes the range of each row. The row-level window then runs per (key, range);
+what crosses a range edge (a row count, the last id seen) is one row per key
+and range, carried forward by a window over that small table and joined back.
+The result equals the plain window exactly.
 """
 
 from __future__ import annotations
@@ -27,130 +18,72 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET_SECONDS: int | None = None   # None: adaptive (span / shuffle partitions)
-_MIN_BUCKET = -(2 ** 62)
-
-
-def _micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
-
-
-def bucket_spec(df: DataFrame, ts: str, width_seconds: int | None = DEFAULT_BUCKET_SECONDS,
-                target: int | None = None) -> tuple[Column, Column]:
-    """(origin, width) in microseconds for ``time_bucket``.
-
-    With a fixed ``width_seconds`` the origin is 0.  Otherwise one small job
-    reads min/max of ``df[ts]`` (a partial aggregate; two numbers reach the
-    driver) and the span is cut into ``target`` buckets — Spark's range
-    partitioner samples its input the same way.  Literals, not scalar
-    subqueries: a subquery would be re-planned and re-run at every use.
-    """
-    if width_seconds is not None:
-        return F.lit(0).cast("long"), F.lit(int(width_seconds) * 1_000_000).cast("long")
-    n = max(1, target or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    row = df.select(F.min(_micros(F.col(ts))).alias("lo"), F.max(_micros(F.col(ts))).alias("hi")).first()
-    lo = row.lo if row is not None and row.lo is not None else 0
-    hi = row.hi if row is not None and row.hi is not None else lo
-    width = max(1, -(-(hi - lo + 1) // n))
-    return F.lit(lo).cast("long"), F.lit(width).cast("long")
-
+from quillspark.sinks.snapshots import materialize
 
-# Fixed-width ordering key for "newest/oldest (ts, id)" aggregates: the
-# timestamp (shifted to be non-negative, NULL mapped to an end) in the high
-# bits and the id (shifted by 2**63) in the low 64 bits of a decimal(38,0).
-# max/min over it plan as hash aggregates (a struct ordering forces a sort
-# aggregate) and keep the exact (ts, id) order and tie-break.
-_TS_OFFSET = 2 ** 60          # covers +/- 36,000 years in microseconds
-_ID_OFFSET = 2 ** 63
-_SHIFT = 2 ** 64
-_DEC = "decimal(38,0)"
 
+def placed(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """``df`` range-partitioned on (keys, order), with its range number ``_part``."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
+    return materialize(ranged.withColumn("_part", F.spark_partition_id()), name)
 
-def _d(n: int) -> Column:
-    return F.lit(str(n)).cast(_DEC)
 
-
-def order_key(ts: Column, id_: Column, nulls_last: bool) -> Column:
-    """Packed (ts, id) key; NULL ts sorts after (``nulls_last``) or before all times."""
-    t = F.coalesce(_micros(ts).cast(_DEC) + _d(_TS_OFFSET), _d(2 * _TS_OFFSET if nulls_last else 0))
-    return (t * _d(_SHIFT) + (id_.cast(_DEC) + _d(_ID_OFFSET))).cast(_DEC)
-
-
-def id_of(key: Column) -> Column:
-    """The id packed in ``order_key``."""
-    return (F.pmod(key, _d(_SHIFT)) - _d(_ID_OFFSET)).cast("long")
-
-
-def time_bucket(ts: Column, origin: Column, width: Column) -> Column:
-    """Integer bucket of a timestamp; NULL times form the first bucket."""
-    return F.coalesce(F.floor((_micros(ts) - origin) / width).cast("long"), F.lit(_MIN_BUCKET))
-
-
-def keyed_row_number(df: DataFrame, keys: list[str], order: list[Column], ts: str,
-                     out: str = "rn", width_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+def keyed_row_number(df: DataFrame, keys: list[str], order: list[Column], out: str = "rn") -> DataFrame:
     """``row_number() over (partition by keys order by order)`` without a per-key task.
 
-    ``order`` must start with the timestamp ``ts`` (ascending, NULLs first)
-    and end with a unique tiebreak.  Keys may be NULL (a NULL key is a
-    group, as in a window): ``struct(keys, bucket)`` is one null-safe join
-    key, so the big side keeps a single hash partitioning through the local
-    window and the offset join; only the per-bucket counts move again.
+    ``order`` must end with a unique tiebreak.  Keys may be NULL (a NULL key
+    is a group, as in a window): ``struct(keys, range)`` is one null-safe join key.
     """
-    origin, width = bucket_spec(df, ts, width_seconds)
-    kb = F.struct(*[F.col(k).alias(k) for k in keys], time_bucket(F.col(ts), origin, width).alias("__b"))
-    b = df.withColumn("__kb", kb)
-    local = b.withColumn("__lrn", F.row_number().over(Window.partitionBy("__kb").orderBy(*order)))
-    # Bucket sizes by a partial (map-side) count: only one row per bucket and
-    # input partition is shuffled.  ``df`` is read twice, so callers hand in
-    # a cheap-to-recompute or materialized input.
-    counts = b.groupBy("__kb").agg(F.count(F.lit(1)).alias("__n"))
-    key_only = F.struct(*[F.col("__kb")[k].alias(k) for k in keys])
-    before = (Window.partitionBy(key_only).orderBy(F.col("__kb")["__b"])
+    rows = placed(df, keys, order, "row_number")
+    rows = rows.withColumn("_kp", F.struct(*keys, "_part")).drop("_part")
+    local = rows.withColumn("_lrn", F.row_number().over(Window.partitionBy("_kp").orderBy(*order)))
+    counts = rows.groupBy("_kp").agg(F.count(F.lit(1)).alias("_n"))
+    key_only = F.struct(*[F.col("_kp")[k].alias(k) for k in keys])
+    before = (Window.partitionBy(key_only).orderBy(F.col("_kp")["_part"])
               .rowsBetween(Window.unboundedPreceding, -1))
-    offs = counts.select("__kb", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    j = local.join(offs, "__kb", "inner")
-    return j.withColumn(out, (F.col("__off") + F.col("__lrn")).cast("long")).drop("__kb", "__lrn", "__off")
+    offs = counts.select("_kp", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    j = local.join(offs, "_kp", "inner")
+    return j.withColumn(out, (F.col("_off") + F.col("_lrn")).cast("long")).drop("_kp", "_lrn", "_off")
+
+
+def global_row_number(df: DataFrame, order: list[Column], out: str = "rn") -> DataFrame:
+    """``row_number()`` over the whole table in ``order``; one row per range is carried."""
+    rows = placed(df, [], order, "global_row_number")
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    j = rows.withColumn("_lrn", local).join(F.broadcast(offs), "_part")       # one row per shuffle partition
+    return j.withColumn(out, (F.col("_off") + F.col("_lrn")).cast("long")).drop("_part", "_off", "_lrn")
 
 
 def asof_last_id(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
-                 right_ts: str, right_id: str, out: str = "match_id", strict: bool = True,
-                 width_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
-    """As-of join returning only the matched id.
+                 right_ts: str, right_id: str, out: str = "match_id", strict: bool = True) -> DataFrame:
+    """As-of join returning only the matched id (of any orderable type).
 
     For every ``left`` row: the ``right_id`` of the newest ``right`` row with
     the same keys and ``right_ts < left_ts`` (``<=`` when not strict); ties on
     time go to the larger id.  Left rows keep all their columns; NULL keys or
     times never match.  Carry only the id and join payload back by id.
-
-    Plan: one shuffle of left ∪ right on (keys, bucket) and one window over
-    it.  The newest right row per (keys, bucket) comes from the inputs by a
-    partial (map-side) aggregate, so only one row per bucket and partition
-    moves; a small window per key carries it over later buckets, and a join
-    on (keys, bucket) brings it to rows whose own bucket had no match.
     """
     kind_left = 0 if strict else 2
     lcols = left.columns
     not_null = reduce(lambda a, c: a & c, [F.col(k).isNotNull() for k in keys], F.col(right_ts).isNotNull())
     r = (right.filter(not_null)
-         .select(*keys, F.col(right_ts).alias("_t"), F.col(right_id).alias("_rid"), F.lit(1).alias("_k")))
-    lft = left.withColumn("_t", F.col(left_ts)).withColumn("_k", F.lit(kind_left))
-    origin, width = bucket_spec(lft.select("_t").unionByName(r.select("_t")), "_t", width_seconds)
-    u = lft.unionByName(r, allowMissingColumns=True).withColumn("_b", time_bucket(F.col("_t"), origin, width))
-    w = (Window.partitionBy(*keys, "_b").orderBy("_t", "_k", "_rid")
+         .select(*keys, F.col(right_ts).alias("_t"), F.col(right_id).alias("_rid"), F.lit(1).alias("_k"),
+                 F.lit(0).cast("long").alias("_s")))
+    # ``_s`` lets range edges fall between requests of the same key and time.
+    lft = left.withColumns({"_t": F.col(left_ts), "_k": F.lit(kind_left), "_s": F.monotonically_increasing_id()})
+    order = [F.col("_t"), F.col("_k"), F.col("_rid"), F.col("_s")]
+    u = placed(lft.unionByName(r, allowMissingColumns=True), keys, order, "asof")
+    w = (Window.partitionBy(*keys, "_part").orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    scanned = u.withColumn("_in", F.last("_rid", ignorenulls=True).over(w))
-    rb = r.withColumn("_b", time_bucket(F.col("_t"), origin, width))
-    lb = lft.select(*keys, F.col("_t")).withColumn("_b", time_bucket(F.col("_t"), origin, width))
-    newest = rb.groupBy(*keys, "_b").agg(
-        id_of(F.max(order_key(F.col("_t"), F.col("_rid"), nulls_last=False))).alias("_last"))
-    present = lb.groupBy(*keys, "_b").agg(F.lit(None).cast("long").alias("_none"))
-    summary = (newest.unionByName(present.withColumnRenamed("_none", "_last"))
-               .groupBy(*keys, "_b").agg(F.max("_last").alias("_last")))
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_b").alias("_c_b"),
+    hits = u.withColumn("_in", F.last("_rid", ignorenulls=True).over(w)).filter(F.col("_k") == kind_left)
+    newest = F.max(F.when(F.col("_k") == 1, F.struct("_t", "_rid")))
+    summary = u.groupBy(*keys, "_part").agg(newest.alias("_n")).select(*keys, "_part", F.col("_n._rid").alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_part").alias("_c_part"),
                            F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
-    hits = scanned.filter(F.col("_k") == kind_left)
     cond = reduce(lambda a, c: a & c, [hits[k] == carry[f"_c_{k}"] for k in keys],
-                  hits["_b"] == carry["_c_b"])
-    j = hits.join(carry, cond, "left")
-    return j.select(*lcols, F.coalesce("_in", "_carry").alias(out))
+                  hits["_part"] == carry["_c_part"])
+    return hits.join(carry, cond, "left").select(*lcols, F.coalesce("_in", "_carry").alias(out))

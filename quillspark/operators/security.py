@@ -29,6 +29,6 @@ def check_owner(batch: DataFrame, owner: str = "user_id", writer: str = "writer_
 
 def cascade(children: DataFrame, live_parents: DataFrame, fk: str, pk: str = "id") -> DataFrame:
     """ON DELETE CASCADE — children of removed parents vanish; NULL references stay."""
-    parents = live_parents.select(F.col(pk).alias(fk))
-    keyed = children.filter(F.col(fk).isNotNull()).join(parents, fk, "left_semi")
-    return keyed.unionByName(children.filter(F.col(fk).isNull()))
+    parents = live_parents.select(F.col(pk).alias("_pk")).distinct()
+    kept = children.join(parents, children[fk] == F.col("_pk"), "left")
+    return kept.filter(F.col("_pk").isNotNull() | F.col(fk).isNull()).drop("_pk")

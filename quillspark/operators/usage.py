@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillspark import schemas as S
 from quillspark.functions.strings import ratio_label
 from quillspark.functions.timefmt import display_or_never
-from quillspark.operators.scan import DEFAULT_BUCKET_SECONDS, id_of, keyed_row_number, order_key
+from quillspark.operators.scan import keyed_row_number
 
 USAGE_COLS = ["user_id", "email", "usage_count", "max_usage", "is_premium", "created_at", "last_used_at"]
 
@@ -41,14 +41,14 @@ def in_list(df: DataFrame, col: str, members: DataFrame, member_col: str = "emai
 def not_in(df: DataFrame, col: str, other: DataFrame, other_col: str) -> DataFrame:
     """SQL ``col NOT IN (SELECT other_col ...)`` with its NULL rules, join-based.
 
-    A NULL in the subquery empties the result; a NULL probe value never
-    qualifies.  The anti join shuffles on the key (no forced broadcast, no
-    nested loop); the NULL rule is one EXISTS subquery.
+    A NULL in the subquery empties the result; a NULL probe value qualifies
+    only when the subquery is empty.  The anti join shuffles on the key (no
+    forced broadcast, no nested loop); the NULL rules are EXISTS subqueries.
     """
     o = other.select(F.col(other_col).alias("_k"))
-    has_null = o.filter(F.col("_k").isNull()).exists()
-    keyed = df.filter(F.col(col).isNotNull())
-    return keyed.join(o.filter(F.col("_k").isNotNull()), keyed[col] == F.col("_k"), "left_anti").filter(~has_null)
+    has_null, has_rows = o.filter(F.col("_k").isNull()).exists(), o.exists()
+    kept = df.join(o.filter(F.col("_k").isNotNull()), df[col] == F.col("_k"), "left_anti")
+    return kept.filter(~has_null).filter(F.col(col).isNotNull() | ~has_rows)
 
 
 def admin_report(usage: DataFrame) -> DataFrame:
@@ -101,19 +101,18 @@ def entitle(requests: DataFrame, usage: DataFrame) -> DataFrame:
                                F.lit(False)))
 
 
-def admit(requests: DataFrame, usage: DataFrame, ts: str = "ts", tiebreak: str = "request_id",
-          width_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+def admit(requests: DataFrame, usage: DataFrame, ts: str = "ts", tiebreak: str = "request_id") -> DataFrame:
     """Sequential quota admission per user, in (ts, id) order, in closed form.
 
     Requests of users with a usage row are numbered per user (skew-safe
-    bucketed row number); a non-premium user is admitted while
+    row number); a non-premium user is admitted while
     ``usage_count + admitted_before < max_usage``, so the first
     ``max - usage_count`` requests pass and the rest are refused.
     Adds rn, usage_before, admitted, usage_after and the ``n/max`` label.
     """
     u = usage.select("user_id", "usage_count", "max_usage", "is_premium")
     j = requests.join(u, "user_id", "inner")
-    n = keyed_row_number(j, ["user_id"], [F.col(ts), F.col(tiebreak)], ts, "rn", width_seconds)
+    n = keyed_row_number(j, ["user_id"], [F.col(ts), F.col(tiebreak)], "rn")
     prem = F.coalesce(F.col("is_premium"), F.lit(False))
     room = F.greatest(F.col("max_usage") - F.col("usage_count"), F.lit(0)).cast("long")
     before_n = F.when(prem, F.col("rn") - 1).otherwise(F.least(F.col("rn") - 1, room))
@@ -157,13 +156,13 @@ def ensure(usage: DataFrame, users: DataFrame, admins: DataFrame | None, as_of:
 
 
 def set_limits(usage: DataFrame, changes: DataFrame, ts: str = "ts") -> DataFrame:
-    """Admin edits of (max_usage, is_premium); the last change per user wins."""
-    # Winner per user by a packed (ts, change_id) key: a hash aggregate; its
-    # values come back by a semi join on the (unique) change id.
-    win = changes.groupBy("user_id").agg(
-        id_of(F.max(order_key(F.col(ts), F.col("change_id"), nulls_last=False))).alias("change_id"))
-    last = changes.join(win.select("change_id"), "change_id", "left_semi").select(
-        "user_id", F.struct("max_usage", "is_premium").alias("_c"))
+    """Admin edits of (max_usage, is_premium); the last change per user wins.
+    A limit that the INTEGER column can't hold is refused, the edit has no effect."""
+    ok = changes.filter(F.col("max_usage").between(-2**31, 2**31 - 1))
+    # Winner per user by (ts, change_id); its values come back by the unique change id.
+    win = ok.groupBy("user_id").agg(F.max(F.struct(ts, "change_id")).alias("_w")).select(F.col("_w.change_id").alias("change_id"))
+    last = ok.join(win, "change_id", "left_semi").select(
+        "user_id", F.struct(F.col("max_usage").cast("int").alias("max_usage"), "is_premium").alias("_c"))
     j = usage.join(last, "user_id", "left")
     hit = F.col("_c").isNotNull()
     return j.select(*[

@@ -7,13 +7,14 @@ DEFAULT; the write operators in ``operators/`` do.
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the application's for identical results.
 # ---------------------------------------------------------------------------
 DEFAULT_MODEL = "gemini-2.5-flash"
-MODEL_OPTIONS = ["gemini-3-flash-preview", "gemini-2.5-flash", "gemini-2.5-flash-lite"]
 REFINE_MODELS = ["gemini-2.5-flash", "gemini-2.5-pro", "gemini-3-flash-preview"]
 CACHED_MODEL_LABEL = "cached"
 UNKNOWN_KEYWORD = "Unknown"
@@ -33,7 +34,6 @@ REPORT_LABEL_TEST = "👤 普通用戶"
 REPORT_LABEL_OTHER = "👥 一般用戶"
 NO_PAA_NOTE = "Note: No PAA data found. Infer user intent from keyword directly."
 PAA_CONTEXT_PREFIX = "Real User Questions (PAA): "
-PAA_HEADER = "X-PAA-Questions-Base64"
 # Validation / status messages of the keyword and quota operators.
 MSG_LOGIN_REQUIRED = "請先登入"
 MSG_NOT_PREMIUM = "普通用戶無法新增關鍵字。請聯繫管理員升級為 Premium 用戶。"
@@ -41,8 +41,11 @@ MSG_EMPTY_KEYWORD = "關鍵字不能為空"
 MSG_TOO_LONG = "關鍵字長度不能超過 100 個字符"
 MSG_DUPLICATE = "此關鍵字已存在"
 MSG_ADDED = "關鍵字新增成功"
-MSG_DELETED = "關鍵字已刪除"
 MSG_PIPELINE_LOGIN = "請先登入系統"
+MSG_QUOTA_BEFORE, MSG_QUOTA_AFTER = "您已達到使用次數上限 (", ")。請聯繫管理員以獲得更多使用次數。聯繫信箱："
+MSG_CRAWL_FAILED = "Apify 執行失敗"
+MSG_GENERATION_FAILED = "AI 生成失敗"
+CONTACT = "admin@example.com"      # a parameter of run_pipeline, not a real address
 # ---------------------------------------------------------------------------
 
 UUID = T.StringType()
@@ -113,3 +116,16 @@ TABLES = {
     "analysis_results": ANALYSIS_RESULTS,
     "user_keywords": USER_KEYWORDS,
 }
+
+
+def fill_defaults(rows: DataFrame, table: T.StructType, target: T.StructType, now: Column) -> DataFrame:
+    """``rows`` with the columns of ``target``; a column that an insert does
+    not name takes the table's default, else NULL.  ``now`` stands for now()."""
+    defaults = {f.name: f.metadata.get("default") for f in table.fields}
+
+    def value(f: T.StructField) -> Column:
+        if f.name in rows.columns:
+            return F.col(f.name)
+        d = defaults.get(f.name)
+        return now if d == "now()" else F.lit(d)
+    return rows.select(*[value(f).cast(f.dataType).alias(f.name) for f in target.fields])

@@ -38,19 +38,25 @@ def write_snapshot(df: DataFrame, base: str, version: int, partition_by: list[st
     return path
 
 
-def latest_version(spark: SparkSession, base: str) -> int | None:
-    """Newest committed version under ``base`` (any Hadoop file system)."""
+def latest_version(spark: SparkSession, base: str, below: int | None = None) -> int | None:
+    """Newest committed version under ``base``, or the newest one before ``below``."""
+    vs = [v for v in complete_versions(spark, base) if below is None or v < below]
+    return max(vs) if vs else None
+
+
+def complete_versions(spark: SparkSession, base: str) -> list[int]:
+    """Committed versions under ``base`` (any Hadoop file system), ascending."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(base)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return None
+        return []
     vs = []
     for st in fs.listStatus(path):
         name = st.getPath().getName()
         if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
             vs.append(int(name[2:]))
-    return max(vs) if vs else None
+    return sorted(vs)
 
 
 def append(df: DataFrame, path: str) -> None:

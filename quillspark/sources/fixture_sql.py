@@ -31,13 +31,13 @@ SELECT o_custkey AS user_id, p_name AS keyword, min(o_orderdate) AS created_at
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
 GROUP BY o_custkey, p_name""",
     "results_v": """
-SELECT e.event_id AS id, e.event_type || '-' || CAST(e.user_id % 40 AS VARCHAR) AS keyword,
+SELECT e.event_id AS id, e.event_type || '-' || CAST(e.user_id % __KEYWORDS__ AS VARCHAR) AS keyword,
        CASE WHEN e.event_id % 8 = 6 THEN NULL WHEN e.event_id % 8 = 2 THEN ''
             WHEN e.event_id % 4 = 0 THEN '## ' || d.source || chr(10) || '| a | b |' || chr(10)
                                          || '| --- | --- |' || chr(10) || d.text
             WHEN e.event_id % 4 = 1 THEN '# ' || d.text ELSE d.text END AS content,
-       e.event_id % 25 AS paa_conv_id, e.ts AS created_at
-FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id % 200""",
+       e.event_id % __RUNS__ AS paa_conv_id, e.ts AS created_at
+FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id % __DOCS__""",
     "serp_items_v": """
 SELECT conv_id, turn,
        CASE WHEN turn % 5 = 0 THEN text WHEN turn % 5 = 2 THEN '' WHEN turn % 5 = 4 THEN '   ' END AS question,
@@ -47,11 +47,11 @@ SELECT conv_id, turn,
 FROM conversations""",
     "requests_v": """
 SELECT event_id AS request_id, CASE WHEN event_id % 30 = 0 THEN NULL ELSE user_id END AS user_id, ts,
-       CASE WHEN event_id % 50 = 1 THEN '' ELSE event_type || '-' || CAST(user_id % 40 AS VARCHAR) END AS keyword,
+       CASE WHEN event_id % 50 = 1 THEN '' ELSE event_type || '-' || CAST(user_id % __KEYWORDS__ AS VARCHAR) END AS keyword,
        CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'gemini-2.5-flash-lite' END AS selected_model,
        CASE WHEN event_id % 4 = 0 THEN 'casual tone' END AS custom_prompt,
        event_id % 5 = 0 AS force_refresh
-FROM events WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'""",
+FROM events""",
     "snapshot_v": "SELECT * FROM results_v WHERE created_at < TIMESTAMP '2024-01-16 00:00:00'",
     # PAA questions per conversation (run), in turn order; empty list when none survive.
     "paa_v": """
@@ -72,7 +72,7 @@ SELECT e.event_id AS add_id, CASE WHEN e.event_id % 30 = 0 THEN NULL ELSE e.user
                            WHEN 1 THEN '  ' || p.p_name || chr(12288)
                            WHEN 2 THEN chr(9) || ' '
                            WHEN 3 THEN repeat(p.p_name || ' ', 20)
-                           ELSE e.event_type || '-' || CAST(e.user_id % 40 AS VARCHAR) END AS keyword
+                           ELSE e.event_type || '-' || CAST(e.user_id % __KEYWORDS__ AS VARCHAR) END AS keyword
 FROM events e LEFT JOIN part p ON p.p_partkey = e.user_id""",
     "live_users_v": "SELECT * FROM users_v WHERE id % 17 <> 0",
     "limit_inputs_v": """
@@ -81,7 +81,7 @@ SELECT event_id, user_id, ts, event_type, value, props,
 FROM events""",
     "limit_changes_v": """
 SELECT event_id AS change_id, user_id, ts,
-       coalesce(TRY_CAST(nullif(regexp_extract(raw_limit, '__INT__', 1), '') AS INTEGER), 0) AS max_usage,
+       coalesce(TRY_CAST(nullif(regexp_extract(raw_limit, '__INT__', 1), '') AS BIGINT), 0) AS max_usage,
        value > 50 AS is_premium
 FROM limit_inputs_v WHERE event_type = 'purchase'""",
     "signups_v": """
@@ -89,6 +89,13 @@ SELECT id, CASE WHEN id % 3 = 0 THEN 'new-' || email ELSE email END AS email
 FROM users_v WHERE id IN (SELECT user_id FROM events WHERE event_type = 'signup')""",
 }
 
+# Counts of the tables themselves, so that ids map onto all their rows.
+DOC_COUNT = "greatest((SELECT count(*) FROM documents), 1)"
+RUN_COUNT = "greatest((SELECT count(DISTINCT conv_id) FROM conversations), 1)"
+KEYWORD_COUNT = "greatest((SELECT count(*) // 10 FROM customer), 1)"
+for _name, _sql in VIEWS.items():
+    VIEWS[_name] = (_sql.replace("__DOCS__", DOC_COUNT).replace("__RUNS__", RUN_COUNT)
+                    .replace("__KEYWORDS__", KEYWORD_COUNT))
 VIEWS["paa_v"] = VIEWS["paa_v"].replace("__BLANK__", JS_BLANK_PATTERN)
 VIEWS["limit_changes_v"] = VIEWS["limit_changes_v"].replace("__INT__", JS_LEADING_INT_PATTERN)
 

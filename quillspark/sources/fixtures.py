@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.sources.tables import Tables
 
 # Fixed fixture constants (FIXTURES.md §3).
-REQUEST_START = "2024-01-16 00:00:00"
-RESULT_DOCS = 200        # results_v takes its text from documents 0..199
-PAA_RUNS = 25            # results_v points at conversations 0..24 for questions
+REQUEST_START = "2024-01-16 00:00:00"   # date of the cache snapshot
 CHUNK_BYTES = 256        # streaming chunks are cut from UTF-8 bytes
 
 
@@ -23,6 +21,29 @@ def request_start() -> Column:
     return F.lit(REQUEST_START).cast("timestamp_ntz")
 
 
+def _at_least_one(df: DataFrame, count: Column) -> Column:
+    """A table's own count as a scalar subquery, for mapping ids onto all its rows."""
+    return F.greatest(df.agg(count.alias("n")).scalar(), F.lit(1))
+
+
+def doc_count(t: Tables) -> Column:
+    return _at_least_one(t.documents, F.count(F.lit(1)))
+
+
+def run_count(t: Tables) -> Column:
+    """Crawl runs are the conversations."""
+    return _at_least_one(t.conversations, F.count_distinct("conv_id"))
+
+
+def keyword_count(t: Tables) -> Column:
+    """Result keywords per event type: one per ten customers."""
+    return _at_least_one(t.customer, F.floor(F.count(F.lit(1)) / 10))
+
+
+def result_keyword(t: Tables) -> Column:
+    return F.concat(F.col("event_type"), F.lit("-"), (F.col("user_id") % keyword_count(t)).cast("string"))
+
+
 def users(t: Tables) -> DataFrame:
     c = t.customer
     seg = F.col("c_mktsegment")
@@ -69,10 +90,9 @@ def keywords(t: Tables) -> DataFrame:
 def results(t: Tables) -> DataFrame:
     """Append log of analysis results (no user column, keyword not unique)."""
     e = t.events.select("event_id", "event_type", "user_id", "ts")
-    # Only documents 0..199 can match (doc_id = event_id % 200, ids unique):
-    # a filtered side of at most 200 rows, so broadcasting it is size-bounded.
-    d = t.documents.filter(F.col("doc_id") < RESULT_DOCS).select("doc_id", "text", "source")
-    j = e.join(F.broadcast(d), d.doc_id == e.event_id % RESULT_DOCS, "left")
+    # Results take their texts from all documents, their questions from all runs.
+    e = e.withColumns({"doc_id": F.col("event_id") % doc_count(t), "paa_conv_id": F.col("event_id") % run_count(t)})
+    j = e.join(t.documents.select("doc_id", "text", "source"), "doc_id", "left")
     m8, m4 = F.col("event_id") % 8, F.col("event_id") % 4
     nl = F.lit("\n")
     content = (F.when(m8 == 6, F.lit(None).cast("string"))
@@ -83,9 +103,9 @@ def results(t: Tables) -> DataFrame:
                .otherwise(F.col("text")))
     return j.select(
         F.col("event_id").alias("id"),
-        F.concat(F.col("event_type"), F.lit("-"), (F.col("user_id") % 40).cast("string")).alias("keyword"),
+        result_keyword(t).alias("keyword"),
         content.alias("content"),
-        (F.col("event_id") % PAA_RUNS).alias("paa_conv_id"),
+        "paa_conv_id",
         F.col("ts").alias("created_at"))
 
 
@@ -104,15 +124,14 @@ def serp_items(t: Tables) -> DataFrame:
 
 
 def requests(t: Tables) -> DataFrame:
-    e = t.events.filter(F.col("ts") >= request_start())
+    e = t.events
     eid = F.col("event_id")
     return e.select(
         eid.alias("request_id"),
         F.when(eid % 30 == 0, F.lit(None).cast("long")).otherwise(F.col("user_id")).alias("user_id"),
         "ts",
         F.when(eid % 50 == 1, F.lit(""))
-         .otherwise(F.concat(F.col("event_type"), F.lit("-"), (F.col("user_id") % 40).cast("string")))
-         .alias("keyword"),
+         .otherwise(result_keyword(t)).alias("keyword"),
         F.when(eid % 3 == 0, F.lit(None).cast("string")).when(eid % 3 == 1, F.lit(""))
          .otherwise(F.lit("gemini-2.5-flash-lite")).alias("selected_model"),
         F.when(eid % 4 == 0, F.lit("casual tone")).otherwise(F.lit(None).cast("string")).alias("custom_prompt"),
@@ -120,7 +139,7 @@ def requests(t: Tables) -> DataFrame:
 
 
 def result_snapshot(t: Tables) -> DataFrame:
-    """Results written before the first request: the cache the plans read."""
+    """Results written before the snapshot date."""
     return results(t).filter(F.col("created_at") < request_start())
 
 
@@ -136,17 +155,15 @@ def chunks(t: Tables, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
 
 def paa_runs(t: Tables) -> DataFrame:
-    """Question list per SERP run 0..24 (the runs results point at): <= 25 rows."""
+    """Question list of every SERP run."""
     from quillspark.operators.content import extract_paa, serp_documents
-    items = serp_items(t).filter(F.col("conv_id") < PAA_RUNS)
-    return extract_paa(serp_documents(items)).select("conv_id", "paa")
+    return extract_paa(serp_documents(serp_items(t))).select("conv_id", "paa")
 
 
 def results_full(t: Tables) -> DataFrame:
     """results_v with its question list (NULL when the run does not exist)."""
     r = results(t)
-    # paa_runs is bounded by PAA_RUNS rows, so the broadcast has a proven size.
-    p = F.broadcast(paa_runs(t))
+    p = paa_runs(t)
     j = r.join(p, r.paa_conv_id == p.conv_id, "left")
     return j.select("id", "keyword", F.col("paa").alias("paa_questions"), "content", "created_at")
 
@@ -167,7 +184,7 @@ def keyword_adds(t: Tables) -> DataFrame:
           .when(m == 1, F.concat(F.lit("  "), name, F.lit("　")))
           .when(m == 2, F.lit("\t "))
           .when(m == 3, F.repeat(F.concat(name, F.lit(" ")), 20))
-          .otherwise(F.concat(F.col("event_type"), F.lit("-"), (F.col("user_id") % 40).cast("string"))))
+          .otherwise(result_keyword(t)))
     return j.select(
         F.col("event_id").alias("add_id"),
         F.when(F.col("event_id") % 30 == 0, F.lit(None).cast("long")).otherwise(F.col("user_id")).alias("user_id"),
@@ -183,8 +200,8 @@ def limit_inputs(t: Tables) -> DataFrame:
     """Text typed into the max-usage field: ' 69}', '69}' or '{"k": 69}'."""
     e = t.events.select("event_id", "user_id", "ts", "event_type", "value", "props")
     m = F.col("event_id") % 3
-    raw = (F.when(m == 0, F.substring("props", 6, 1 << 20))
-           .when(m == 1, F.col("props")).otherwise(F.substring("props", 7, 1 << 20)))
+    raw = (F.when(m == 0, F.substr("props", F.lit(6)))
+           .when(m == 1, F.col("props")).otherwise(F.substr("props", F.lit(7))))
     return e.withColumn("raw_limit", raw)
 
 

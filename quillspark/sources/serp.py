@@ -7,27 +7,26 @@ explicit schema (no inference); an absent field decodes to NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark import schemas as S
 
 
-def read_serp_items(spark: SparkSession, path: str) -> DataFrame:
-    """SERP item JSON lines with the people-also-ask schema (permissive)."""
-    return spark.read.schema(S.SERP_ITEM).option("mode", "PERMISSIVE").json(path)
-
-
-def first_item(items: DataFrame, run: str, pos: str, cols: list[str]) -> DataFrame:
-    """SRC4: the first item (lowest ``pos``) of every run, as a partial
-    ``min_by`` aggregate (one row per run and partition is shuffled)."""
-    g = items.groupBy(run).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(pos)).alias("_f"))
-    return g.select(run, *[F.col("_f")[c].alias(c) for c in cols])
+def first_item(items: DataFrame, run: str, pos: str, item: str) -> DataFrame:
+    """SRC4: the key of the first item (lowest ``pos``) of every run, as a
+    partial aggregate (one row per run and partition is shuffled)."""
+    g = items.groupBy(run).agg(F.min(F.struct(pos, item)).alias("_f"))
+    return g.select(run, F.col("_f")[item].alias(item))
 
 
 def decode_requests(raw: DataFrame, body: str = "body", schema=S.ANALYSE_REQUEST) -> DataFrame:
-    """SRC5: JSON body -> typed columns; malformed or absent fields -> NULL."""
-    parsed = F.from_json(F.col(body), schema)
+    """SRC5: JSON body -> typed columns; absent fields, and all fields of a
+    malformed body, are NULL."""
+    mark = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    parsed = F.from_json(F.col(body), mark, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    parsed = F.when(parsed["_bad"].isNull(), parsed)
     return raw.select(*[c for c in raw.columns if c != body],
                       *[parsed[f.name].alias(f.name) for f in schema.fields])
 
@@ -36,3 +35,7 @@ def encode_request(keyword: Column, model: Column, custom: Column, force: Column
     """The body a client sends (NULL fields are omitted, as JSON.stringify drops undefined)."""
     return F.to_json(F.struct(keyword.alias("keyword"), model.alias("selectedModel"),
                               custom.alias("customPrompt"), force.alias("forceRefresh")))
+
+
+def encode_refine(original: Column, prompt: Column, keyword: Column) -> Column:
+    return F.to_json(F.struct(original.alias("originalContent"), prompt.alias("refinementPrompt"), keyword.alias("keyword")))

@@ -4,8 +4,11 @@ Chunks are byte pieces ``(request_id, chunk_no, chunk, is_last)``; a
 multi-byte character may straddle two chunks.  Per request the state keeps
 the contiguous assembled bytes plus any early (out-of-order) chunks; every
 update emits the running text — the longest prefix that is valid UTF-8, so
-a split character is held back — and the state is dropped when the last
-chunk has been joined, so state stays bounded by the requests in flight.
+a split character is held back.  Redelivered chunks are ignored: those below
+the next wanted number at once, and for a finished request all of them, as
+long as its mark is kept (``FINISHED_MS``).  The bytes are dropped when the
+last chunk has been joined, so state stays bounded by the requests in flight
+and the marks of those just finished.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspark.session import ship_package
 
+FINISHED_MS = 3_600_000        # how long a finished request is remembered
+
 CHUNK_SCHEMA = T.StructType([
     T.StructField("request_id", T.LongType()),
     T.StructField("chunk_no", T.LongType()),
@@ -40,6 +45,7 @@ STATE_SCHEMA = T.StructType([
     T.StructField("last_no", T.LongType()),
     T.StructField("pending_no", T.ArrayType(T.LongType())),
     T.StructField("pending", T.ArrayType(T.BinaryType())),
+    T.StructField("finished", T.BooleanType()),
 ])
 
 
@@ -57,14 +63,22 @@ def valid_prefix_text(b: bytes, final: bool) -> str:
 
 
 def _assemble(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     if state.exists:
-        assembled, next_no, last_no, pno, pbytes = state.get
+        assembled, next_no, last_no, pno, pbytes, finished = state.get
+        if finished:
+            state.setTimeoutDuration(FINISHED_MS)
+            return
         pending = dict(zip(pno or [], pbytes or []))
         assembled = bytes(assembled)
     else:
         assembled, next_no, last_no, pending = b"", 0, -1, {}
     for pdf in batches:
         for no, chunk, last in zip(pdf["chunk_no"], pdf["chunk"], pdf["is_last"]):
+            if int(no) < next_no:
+                continue
             pending[int(no)] = bytes(chunk)
             if last:
                 last_no = int(no)
@@ -76,10 +90,11 @@ def _assemble(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterat
     done = last_no >= 0 and next_no > last_no
     text = valid_prefix_text(assembled, done)
     if done:
-        state.remove()
+        state.update((b"", next_no, last_no, [], [], True))
+        state.setTimeoutDuration(FINISHED_MS)
     else:
         nos = sorted(pending)
-        state.update((assembled, next_no, last_no, nos, [pending[n] for n in nos]))
+        state.update((assembled, next_no, last_no, nos, [pending[n] for n in nos], False))
     yield pd.DataFrame({"request_id": [key[0]], "n_chunks": [next_no], "text": [text], "done": [done]})
 
 
@@ -87,7 +102,7 @@ def assemble_stream(chunks: DataFrame) -> DataFrame:
     """T1 on a streaming (or batch) DataFrame of chunks: running text per request."""
     ship_package(chunks.sparkSession)
     return chunks.groupBy("request_id").applyInPandasWithState(
-        _assemble, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+        _assemble, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def assemble_batch(chunks: DataFrame) -> DataFrame:

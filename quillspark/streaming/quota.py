@@ -1,52 +1,34 @@
 """Running quota counter per user over a stream of requests.
 
-Requests are joined to the static usage table (stream-static join), grouped
-by user, and a state function keeps the number of admissions so far.  Inside
-a micro-batch a user's requests are taken in (ts, request_id) order; across
-micro-batches the result equals the batch admission W2 when each user's
-requests arrive in time order.
+The usage table is kept in versions.  A micro-batch reads the newest version
+of an earlier batch, admits its requests in (ts, request_id) order with the
+batch operator W2 (which splits a hot user over tasks), writes the decisions
+and then the charged snapshot as its own version.  A replayed batch starts
+from the same earlier version and overwrites its own output, so nothing is
+charged twice.  Across micro-batches the result equals one batch admission
+when requests arrive in time order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from quillspark.session import ship_package
-
-OUT_SCHEMA = T.StructType([
-    T.StructField("request_id", T.LongType()),
-    T.StructField("user_id", T.LongType()),
-    T.StructField("usage_before", T.LongType()),
-    T.StructField("admitted", T.BooleanType()),
-])
-STATE_SCHEMA = T.StructType([T.StructField("admitted_so_far", T.LongType())])
-
-
-def _count(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "request_id"], kind="stable")
-    done = int(state.get[0]) if state.exists else 0
-    before_out, ok_out = [], []
-    for uc, mx, pr in zip(pdf["usage_count"], pdf["max_usage"], pdf["is_premium"]):
-        before = int(uc) + done
-        ok = bool(pr) or before < int(mx)
-        if ok:
-            done += 1
-        before_out.append(before)
-        ok_out.append(ok)
-    state.update((done,))
-    yield pd.DataFrame({"request_id": pdf["request_id"].astype("int64").values,
-                        "user_id": [key[0]] * len(pdf), "usage_before": before_out, "admitted": ok_out})
-
-
-def quota_stream(requests: DataFrame, usage: DataFrame) -> DataFrame:
-    """requests (stream) ⋈ usage (static) -> per-request admission."""
-    ship_package(requests.sparkSession)
-    u = usage.select("user_id", "usage_count", "max_usage", "is_premium")
-    j = requests.join(u, "user_id", "inner")
-    return j.groupBy("user_id").applyInPandasWithState(
-        _count, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+
+from quillspark.operators.usage import USAGE_COLS, admit, charge
+from quillspark.sinks.snapshots import latest_version, materialize, write_snapshot
+
+
+def start_usage(usage: DataFrame, base: str) -> None:
+    """The table as it is before the first micro-batch (version 0)."""
+    write_snapshot(usage.select(*USAGE_COLS), base, 0)
+
+
+def quota_batch_writer(base: str, out: str):
+    """foreachBatch body: decisions to ``out/batch=<id>``, next usage table to ``base/v=<id + 1>``."""
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = latest_version(spark, base, below=batch_id + 1)
+        usage = spark.read.parquet(f"{base}/v={before}")
+        decided = materialize(admit(batch, usage), f"quota_batch_{batch_id}")
+        decided.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        write_snapshot(charge(usage, decided), base, batch_id + 1)
+    return apply

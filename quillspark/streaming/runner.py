@@ -1,37 +1,51 @@
 """Driving Structured Streaming queries from file sources to completion.
 
-Every stream reads a folder of files (one micro-batch per file with
-``maxFilesPerTrigger=1``) and runs with ``trigger(availableNow=True)``;
-checkpoints and outputs live under the shared folder, so a restarted query
+Every stream reads a folder of files and runs with
+``trigger(availableNow=True)``; checkpoints and outputs live under the shared folder, so a restarted query
 resumes from its last committed batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from quillspark.session import shared_path
 
 
-def stage_files(df: DataFrame, name: str, split_col: str, n_files: int) -> str:
-    """Write ``df`` as ``n_files`` parquet files split by ``split_col`` ranges
-    (the order a stream will see them) and return the folder."""
-    path = shared_path(df.sparkSession, "stream-in", name)
-    df.repartitionByRange(n_files, split_col).sortWithinPartitions(split_col).write.parquet(path)
+def stage_files(df: DataFrame, name: str, *split_cols: str) -> str:
+    """Write ``df`` as one parquet file per shuffle partition, split by ranges of
+    ``split_cols``, and return the folder."""
+    spark = df.sparkSession
+    path = shared_path(spark, "stream-in", name)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(n, *split_cols).sortWithinPartitions(*split_cols).write.parquet(path)
     return path
 
 
-def read_files(spark: SparkSession, path: str, schema) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-            .parquet(path))
+def read_files(spark: SparkSession, path: str, schema, batches: int | None = None) -> DataFrame:
+    """File stream; with ``batches``, the staged files are read in about so many
+    micro-batches, each in as many tasks as it has files."""
+    stream = spark.readStream.schema(schema)
+    if batches:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        stream = stream.option("maxFilesPerTrigger", max(1, n // batches))
+    return stream.parquet(path)
+
 
+def run_to_completion(spark: SparkSession, writer: DataStreamWriter) -> None:
+    """Start with availableNow and block until every file is processed.
 
-def run_to_completion(writer: DataStreamWriter, name: str) -> None:
-    """Start with availableNow and block until every file is processed."""
-    q = writer.trigger(availableNow=True).start()
+    Batches without data are off: with a processing-time timeout Spark would
+    run them without end, and timeouts fire in the next batch with data anyway.
+    """
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        q = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before)
     try:
         q.awaitTermination()
         if q.exception() is not None:
@@ -39,15 +53,3 @@ def run_to_completion(writer: DataStreamWriter, name: str) -> None:
     finally:
         if q.isActive:
             q.stop()
-
-
-def idempotent_batch_writer(out: str, fn: Callable[[DataFrame, int], DataFrame] | None = None):
-    """foreachBatch body writing each micro-batch to ``out/batch=<id>``.
-
-    A replayed batch id overwrites its own folder, so reprocessing after a
-    failure never duplicates rows.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        res = fn(batch, batch_id) if fn else batch
-        res.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-    return write

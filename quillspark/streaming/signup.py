@@ -1,48 +1,46 @@
 """T4: the after-insert trigger on signups as a stream of upserts.
 
-The usage table is stored partitioned by ``bucket = pmod(xxhash64(user_id),
-BUCKETS)``.  A micro-batch reads only the buckets its signups fall into
-(semi join on the partition column with at most BUCKETS keys, broadcast),
-applies the signup upsert (D10) there, stages the result, and writes it back
-with dynamic partition overwrite: untouched buckets are never rewritten, so
-a batch costs O(touched buckets), not O(table).  The upsert is idempotent
-(every branch sets the same values again), so a replayed batch leaves the
-same table.
+The usage table is stored in versions of hash buckets of the user:
+``base/v=<version>/bucket=<b>``.  A micro-batch reads the newest version of
+the buckets its signups fall into, applies the signup upsert (D10) there, and
+writes those buckets as its own version; others are not touched.  Readers
+take the newest version of each bucket.  Nothing is overwritten but a replayed
+batch's own version, which starts from the versions below it again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.usage import USAGE_COLS, signup_upsert
-from quillspark.sinks.snapshots import materialize
+from quillspark.sinks.snapshots import complete_versions, write_snapshot
 
-BUCKETS = 64
+BUCKETS = 64        # default; a table's own number is passed to every call
 
 
-def bucket_of(user_id: Column) -> Column:
-    return F.pmod(F.xxhash64(user_id), F.lit(BUCKETS)).cast("int")
+def bucket_of(user_id: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(user_id), F.lit(buckets)).cast("int")
 
 
-def write_bucketed(usage: DataFrame, base: str) -> None:
-    """Initial table (or a full rewrite)."""
-    (usage.select(*USAGE_COLS).withColumn("bucket", bucket_of(F.col("user_id")))
-     .write.mode("overwrite").partitionBy("bucket").parquet(base))
+def write_bucketed(usage: DataFrame, base: str, version: int = 0, buckets: int = BUCKETS) -> None:
+    rows = usage.select(*USAGE_COLS).withColumn("bucket", bucket_of(F.col("user_id"), buckets))
+    write_snapshot(rows.repartition("bucket"), base, version, ["bucket"])
 
 
-def read_bucketed(spark, base: str) -> DataFrame:
-    return spark.read.parquet(base).select(*USAGE_COLS)
+def read_bucketed(spark: SparkSession, base: str, below: int | None = None, touched: DataFrame | None = None) -> DataFrame:
+    """Current rows (of the ``touched`` buckets): the newest complete version of each bucket."""
+    versions = [v for v in complete_versions(spark, base) if below is None or v < below]
+    rows = spark.read.option("basePath", base).parquet(*[f"{base}/v={v}" for v in versions])
+    if touched is not None:
+        rows = rows.join(touched, "bucket", "left_semi")
+    newest = rows.groupBy("bucket").agg(F.max("v").alias("v"))
+    return rows.join(newest, ["bucket", "v"], "left_semi").select(*USAGE_COLS)
 
 
-def signup_batch_writer(base: str, admins: DataFrame, testers: DataFrame, as_of: Column):
+def signup_batch_writer(base: str, admins: DataFrame, testers: DataFrame, as_of: Column, buckets: int = BUCKETS):
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        touched = batch.select(bucket_of(F.col("id")).alias("bucket")).distinct()   # <= BUCKETS rows
-        current = spark.read.parquet(base).join(F.broadcast(touched), "bucket", "left_semi")
-        nxt = signup_upsert(current.select(*USAGE_COLS), batch, admins, testers, as_of)
-        nxt = nxt.select(*USAGE_COLS).withColumn("bucket", bucket_of(F.col("user_id")))
-        staged = materialize(nxt, f"usage_signup_batch_{batch_id}")   # never read and overwrite one path
-        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("bucket").parquet(base))
+        touched = batch.select(bucket_of(F.col("id"), buckets).alias("bucket")).distinct()
+        current = read_bucketed(batch.sparkSession, base, batch_id + 1, touched)
+        write_bucketed(signup_upsert(current, batch, admins, testers, as_of), base, batch_id + 1, buckets)
     return apply

@@ -11,7 +11,7 @@ from quillspark.operators import content as C
 from quillspark.operators import results as R
 from quillspark.registry import query
 from quillspark.sources import fixtures as fx
-from quillspark.sources.fixture_sql import with_views
+from quillspark.sources.fixture_sql import RUN_COUNT, with_views
 from quillspark.sources.tables import Tables
 
 _FLAGS_SQL = """
@@ -61,12 +61,11 @@ SELECT r.request_id, {_CTX} AS paa_context,
             THEN {tpl.render_sql(tpl.STREAM_CUSTOM_PROMPT, keyword="r.keyword", paa_context=_CTX,
                                  custom_prompt="r.custom_prompt")}
             ELSE {tpl.render_sql(tpl.STREAM_PROMPT, keyword="r.keyword", paa_context=_CTX)} END AS stream_prompt
-FROM requests_v r LEFT JOIN paa_v p ON p.conv_id = r.request_id % 25""")
+FROM requests_v r LEFT JOIN paa_v p ON p.conv_id = r.request_id % {RUN_COUNT}""")
 def prompt_assemble(spark, sf):
     t = Tables(spark, sf)
     req = fx.requests(t)
-    runs = F.broadcast(fx.paa_runs(t))     # <= 25 rows
-    j = req.join(runs, runs.conv_id == req.request_id % fx.PAA_RUNS, "left")
+    j = req.withColumn("conv_id", F.col("request_id") % fx.run_count(t)).join(fx.paa_runs(t), "conv_id", "left")
     return C.assemble_prompts(j).select("request_id", "paa_context", "draft_prompt", "stream_prompt")
 
 
@@ -91,9 +90,12 @@ def history_cards(spark, sf):
     return R.history_cards(fx.results_full(t))
 
 
-@query("mojibake_check")
+# A text garbles exactly when some character takes more than one byte.
+@query("mojibake_check", """
+SELECT doc_id, strlen(text) <> length(text) AS garbled_by_latin1, strlen(text) > length(text) AS has_multibyte
+FROM documents""")
 def mojibake_check(spark, sf):
-    """S22 (rows-only): which texts a Latin-1 reader would garble."""
+    """Which texts a Latin-1 reader would garble."""
     t = Tables(spark, sf)
     d = t.documents.select("doc_id", "text")
     bad = codec.latin1_misdecode(F.col("text"))

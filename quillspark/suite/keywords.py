@@ -11,6 +11,7 @@ from quillspark.functions.templates import sql_literal
 from quillspark.operators import keywords as K
 from quillspark.operators import security as SEC
 from quillspark.registry import query
+from quillspark.sinks.snapshots import materialize
 from quillspark.sources import fixtures as fx
 from quillspark.sources.fixture_sql import with_views
 from quillspark.sources.tables import Tables
@@ -74,7 +75,7 @@ SELECT source, count(*) AS n_keywords FROM (
 GROUP BY ROLLUP (source)""")
 def keyword_source_counts(spark, sf):
     t = Tables(spark, sf)
-    m = K.merge_lists(fx.keywords(t), _listed(t))
+    m = K.merged_entries(fx.keywords(t), _listed(t))
     src = F.when(F.col("src_rank") == 0, "custom").otherwise("listed").alias("source")
     return K.source_counts(m.select(src))
 
@@ -101,20 +102,20 @@ EXCEPT
 SELECT user_id, keyword FROM keywords_v WHERE created_at < TIMESTAMP '{REMOVE_BEFORE}'""")
 def keyword_set_update(spark, sf):
     t = Tables(spark, sf)
-    cur = fx.keywords(t)
+    cur = materialize(fx.keywords(t), "keyword_set")       # read as the set and for what leaves it
     adds = fx.keyword_adds(t).filter(F.col("user_id").isNotNull() & (F.col("add_id") % 6 == 0))
     removes = cur.filter(F.col("created_at") < F.lit(REMOVE_BEFORE).cast("timestamp_ntz"))
     return K.update_set(cur, adds, removes, ["user_id", "keyword"])
 
 
 @query("keyword_prepend_missing", with_views("results_v") + f"""
-SELECT 0 AS src_rank, keyword, NULL::BIGINT AS pos
-FROM (SELECT DISTINCT keyword FROM results_v) r
+SELECT 0 AS src_rank, keyword, NULL::BIGINT AS pos, added_at
+FROM (SELECT keyword, min(created_at) AS added_at FROM results_v GROUP BY keyword) r
 WHERE keyword NOT IN (SELECT keyword FROM ({_LISTED_SQL}))
-UNION ALL SELECT 1, keyword, pos FROM ({_LISTED_SQL})""")
+UNION ALL SELECT 1, keyword, pos, NULL FROM ({_LISTED_SQL})""")
 def keyword_prepend_missing(spark, sf):
     t = Tables(spark, sf)
-    return K.prepend_missing(_listed(t), fx.results(t).select("keyword"))
+    return K.prepend_missing(_listed(t), fx.results(t).select("keyword", "created_at"))
 
 
 @query("keyword_search", f"""
@@ -193,7 +194,7 @@ SELECT {key_uuid_sql("user_id", "keyword")} AS id, user_id, keyword, created_at
   SELECT user_id, keyword_trimmed, ts FROM validated WHERE outcome = 'ok')""")
 def keyword_insert_dedup(spark, sf):
     t = Tables(spark, sf)
-    kw = fx.keywords(t)
+    kw = materialize(fx.keywords(t), "keyword_table")      # read for duplicates and as the old snapshot
     return K.insert_keywords(kw, K.validate_adds(fx.keyword_adds(t), fx.usage(t), kw))
 
 

@@ -4,6 +4,7 @@ scalar layer (S1, S2, S25, S33 / O7)."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark import schemas as S
 from quillspark.functions.strings import (ASTRAL_PATTERN, JS_BLANK_PATTERN, JS_TRIM_PATTERN, LOG_ERROR_MARK, LOG_OK_MARK,
@@ -17,21 +18,23 @@ from quillspark.sources import serp as SERP
 from quillspark.sources.fixture_sql import with_views
 from quillspark.sources.tables import Tables
 
-RUNS = 25                  # crawl runs: item conv_id belongs to run conv_id % 25 at position conv_id div 25
+ITEMS = 4                  # search result items per crawl run; a run's items are ITEMS conversations in turn
 DURATION_SCALE = 1234567   # request duration fixture: value * 1.234567 seconds, in microseconds
 
 
 @query("serp_first_item", with_views("paa_v") + f"""
 SELECT f.run_id, f.conv_id, p.paa
-FROM (SELECT conv_id % {RUNS} AS run_id, arg_min(conv_id, conv_id // {RUNS}) AS conv_id
-      FROM (SELECT DISTINCT conv_id FROM conversations) GROUP BY conv_id % {RUNS}) f
+FROM (SELECT conv_id // {ITEMS} AS run_id, arg_min(conv_id, conv_id % {ITEMS}) AS conv_id
+      FROM (SELECT DISTINCT conv_id FROM conversations) GROUP BY conv_id // {ITEMS}) f
 JOIN paa_v p ON p.conv_id = f.conv_id""")
 def serp_first_item(spark, sf):
     t = Tables(spark, sf)
-    docs = C.serp_documents(fx.serp_items(t)).withColumns({
-        "run_id": F.col("conv_id") % RUNS, "pos": F.expr(f"conv_id div {RUNS}")})
-    first = SERP.first_item(docs, "run_id", "pos", ["conv_id", "peopleAlsoAsk"])
-    return C.extract_paa(first).select("run_id", "conv_id", "paa")
+    items = fx.serp_items(t).withColumns({
+        "run_id": F.expr(f"conv_id div {ITEMS}"), "pos": F.col("conv_id") % ITEMS})
+    # The first item of each run is found before any item's questions are gathered.
+    first = SERP.first_item(items, "run_id", "pos", "conv_id")
+    docs = C.serp_documents(items.join(first.select("conv_id"), "conv_id", "left_semi"))
+    return C.extract_paa(docs).join(first, "conv_id").select("run_id", "conv_id", "paa")
 
 
 @query("request_decode", with_views("requests_v") + """
@@ -45,6 +48,31 @@ def request_decode(spark, sf):
     return SERP.decode_requests(raw, "body", S.ANALYSE_REQUEST)
 
 
+_PROPS = T.StructType([T.StructField("k", T.IntegerType())])
+
+
+@query("event_props_decode", """
+SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""")
+def event_props_decode(spark, sf):
+    """SRC5: the events' own JSON bodies."""
+    raw = Tables(spark, sf).events.select("event_id", "props")
+    return SERP.decode_requests(raw, "props", _PROPS)
+
+
+@query("refine_decode", with_views("requests_v") + """
+SELECT request_id, CASE WHEN request_id % 7 <> 0 THEN keyword END AS "originalContent",
+       CASE WHEN request_id % 7 <> 0 THEN custom_prompt END AS "refinementPrompt",
+       CASE WHEN request_id % 7 <> 0 AND request_id % 5 <> 0 THEN keyword END AS keyword
+FROM requests_v""")
+def refine_decode(spark, sf):
+    """SRC5: refine bodies; every 7th is cut off, every 5th lacks its keyword."""
+    r = fx.requests(Tables(spark, sf))
+    body = SERP.encode_refine(F.col("keyword"), F.col("custom_prompt"),
+                              F.when(F.col("request_id") % 5 != 0, F.col("keyword")))
+    cut = F.when(F.col("request_id") % 7 == 0, F.substr(body, F.lit(1), F.greatest(F.length(body) - 1, F.lit(1)))).otherwise(body)
+    return SERP.decode_requests(r.select("request_id", cut.alias("body")), "body", S.REFINE_REQUEST)
+
+
 @query("catalog_table_count")
 def catalog_table_count(spark, sf):
     """SRC7 (rows-only): the three application tables, registered from the fixtures."""

@@ -16,11 +16,11 @@ from quillspark.sources.fixture_sql import with_views
 from quillspark.sources.tables import Tables
 from quillspark.streaming import chunks as CH
 from quillspark.streaming import quota as QS
-from quillspark.streaming.runner import idempotent_batch_writer, read_files, run_to_completion, stage_files
+from quillspark.streaming.runner import read_files, run_to_completion, stage_files
 from quillspark.streaming.signup import read_bucketed, signup_batch_writer, write_bucketed
 from quillspark.suite.usage import USAGE_OUT
 
-STREAM_FILES = 4
+BATCHES = 4        # micro-batches per stream; their files grow with the shuffle parallelism
 
 
 @query("chunk_assemble", "SELECT doc_id AS request_id, text FROM documents")
@@ -31,8 +31,8 @@ def chunk_assemble(spark, sf):
 def _chunk_stream(spark, sf):
     """Run T1 (+ T2 on finish); return (updates path, results-log path)."""
     t = Tables(spark, sf)
-    # Chunks arrive in files by chunk number, so every request spans batches.
-    src = stage_files(fx.chunks(t), "chunks", "chunk_no", STREAM_FILES)
+    # Chunks arrive in files by chunk number, so long answers span batches.
+    src = stage_files(fx.chunks(t), "chunks", "chunk_no", "request_id")
     updates = shared_path(spark, "stream-out", "chunk_updates")
     log = shared_path(spark, "stream-out", "results_log")
     ckpt = shared_path(spark, "stream-ckpt", "chunks")
@@ -43,9 +43,9 @@ def _chunk_stream(spark, sf):
         done = batch.filter("done").select("request_id", F.col("text").alias("content"), "n_chunks")
         done.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
 
-    stream = CH.assemble_stream(read_files(spark, src, CH.CHUNK_SCHEMA))
-    run_to_completion(stream.writeStream.option("checkpointLocation", ckpt)
-                      .outputMode("update").foreachBatch(on_batch), "chunks")
+    stream = CH.assemble_stream(read_files(spark, src, CH.CHUNK_SCHEMA, BATCHES))
+    run_to_completion(spark, stream.writeStream.option("checkpointLocation", ckpt)
+                      .outputMode("update").foreachBatch(on_batch))
     return updates, log
 
 
@@ -55,9 +55,11 @@ def stream_chunk_assemble(spark, sf):
     return spark.read.parquet(updates).filter("done").select("request_id", "text")
 
 
-@query("stream_result_append")
+@query("stream_result_append", f"""
+SELECT doc_id AS request_id, text AS content,
+       CAST(greatest(1, ceil(strlen(text) / {fx.CHUNK_BYTES}.0)) AS BIGINT) AS n_chunks FROM documents""")
 def stream_result_append(spark, sf):
-    """T2 (rows-only): one saved result per finished answer."""
+    """One saved result per finished answer."""
     _, log = _chunk_stream(spark, sf)
     return spark.read.parquet(log).select("request_id", "content", "n_chunks")
 
@@ -73,17 +75,15 @@ def stream_quota(spark, sf):
     t = Tables(spark, sf)
     req = fx.requests(t).select("request_id", "user_id", "ts")
     src = shared_path(spark, "stream-in", "requests")
-    # Files in time order, one write each, so micro-batches follow request time.
-    bounds = [f"2024-01-{d:02d} 00:00:00" for d in (16, 20, 24, 28)] + ["2100-01-01 00:00:00"]
-    for lo, hi in zip(bounds, bounds[1:]):
-        part = req.filter((F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
-                          & (F.col("ts") < F.lit(hi).cast("timestamp_ntz")))
-        part.coalesce(1).write.mode("append").parquet(src)
-    out = shared_path(spark, "stream-out", "quota")
+    out, base = shared_path(spark, "stream-out", "quota"), shared_path(spark, "tables", "quota_usage")
     ckpt = shared_path(spark, "stream-ckpt", "quota")
-    stream = QS.quota_stream(read_files(spark, src, req.schema), fx.usage(t))
-    run_to_completion(stream.writeStream.option("checkpointLocation", ckpt).outputMode("update")
-                      .foreachBatch(idempotent_batch_writer(out)), "quota")
+    QS.start_usage(fx.usage(t), base)
+    # Requests arrive week by week; all files of a week are one micro-batch.
+    week = F.date_trunc("week", F.col("ts"))
+    for (start,) in req.select(week.alias("w")).distinct().orderBy("w").collect():      # one row per week
+        req.filter(week == F.lit(start)).write.mode("append").parquet(src)
+        run_to_completion(spark, read_files(spark, src, req.schema).writeStream.option("checkpointLocation", ckpt)
+                          .foreachBatch(QS.quota_batch_writer(base, out)))
     return spark.read.parquet(out).select("request_id", "user_id", "usage_before", "admitted")
 
 
@@ -95,9 +95,9 @@ def stream_signup_upsert(spark, sf):
     t = Tables(spark, sf)
     base = shared_path(spark, "tables", "user_usage")
     write_bucketed(fx.usage(t), base)
-    src = stage_files(fx.signups(t), "signups", "id", STREAM_FILES)
+    src = stage_files(fx.signups(t), "signups", "id")
     ckpt = shared_path(spark, "stream-ckpt", "signups")
     writer = signup_batch_writer(base, fx.admin_emails(t), fx.test_emails(t), fx.request_start())
-    stream = read_files(spark, src, fx.signups(t).schema)
-    run_to_completion(stream.writeStream.option("checkpointLocation", ckpt).foreachBatch(writer), "signups")
+    stream = read_files(spark, src, fx.signups(t).schema, BATCHES)
+    run_to_completion(spark, stream.writeStream.option("checkpointLocation", ckpt).foreachBatch(writer))
     return read_bucketed(spark, base).select(*USAGE_OUT)

@@ -9,6 +9,8 @@ from quillspark.functions.strings import JS_LEADING_INT_PATTERN, parse_int_or_ze
 from quillspark.functions.templates import sql_literal
 from quillspark.operators import usage as U
 from quillspark.registry import query
+from quillspark.session import shared_path
+from quillspark.sinks.snapshots import latest_version, materialize, write_snapshot
 from quillspark.sources import fixtures as fx
 from quillspark.sources.fixture_sql import with_views
 from quillspark.sources.tables import Tables
@@ -93,6 +95,50 @@ def orphan_keywords(spark, sf):
     return U.not_in(fx.keywords(t), "user_id", fx.usage(t).select("user_id").distinct(), "user_id")
 
 
+@query("orphan_keywords_next", with_views("keywords_v", "usage_v") + """
+SELECT user_id, keyword, created_at FROM keywords_v
+WHERE NOT coalesce(user_id NOT IN (SELECT DISTINCT user_id FROM usage_v), false)""")
+def orphan_keywords_next(spark, sf):
+    """The keyword table after the cleanup."""
+    t = Tables(spark, sf)
+    kw = materialize(fx.keywords(t), "orphan_keywords")
+    gone = U.not_in(kw, "user_id", fx.usage(t).select("user_id").distinct(), "user_id")
+    return kw.join(gone.select("user_id", "keyword"), ["user_id", "keyword"], "left_anti").select(
+        "user_id", "keyword", "created_at")
+
+
+@query("usage_insert_chosen", with_views("usage_v", "users_v") + f"""
+SELECT {_UCOLS} FROM usage_v
+UNION ALL
+SELECT id, email, 0, 500, true, TIMESTAMP '{fx.REQUEST_START}', NULL FROM users_v
+WHERE id % 13 = 0 AND id NOT IN (SELECT user_id FROM usage_v)""")
+def usage_insert_chosen(spark, sf):
+    """D16 + D17: new usage rows with chosen limits; unnamed columns take the table's
+    defaults.  Written as the next version of the table and read back."""
+    t = Tables(spark, sf)
+    usage = fx.usage(t).select(*USAGE_OUT)
+    chosen = (fx.users(t).filter(F.col("id") % 13 == 0).select(F.col("id").alias("user_id"), "email")
+              .join(usage.select("user_id"), "user_id", "left_anti")
+              .withColumns({"max_usage": F.lit(500), "is_premium": F.lit(True)}))
+    new = S.fill_defaults(chosen, S.USER_USAGE, usage.schema, now=_start())
+    base = shared_path(spark, "tables", "user_usage")
+    write_snapshot(usage, base, 0)
+    write_snapshot(usage.unionByName(new), base, latest_version(spark, base) + 1)
+    return spark.read.parquet(f"{base}/v={latest_version(spark, base)}").select(*USAGE_OUT)
+
+
+@query("usage_ensure_pipeline", with_views("usage_v", "users_v", "requests_v") + f"""
+SELECT {_UCOLS} FROM usage_v
+UNION ALL
+SELECT u.id, u.email, 0, 10, false, TIMESTAMP '{fx.REQUEST_START}', NULL FROM users_v u
+WHERE u.id IN (SELECT user_id FROM requests_v) AND u.id NOT IN (SELECT user_id FROM usage_v)""")
+def usage_ensure_pipeline(spark, sf):
+    """D4, the pipeline's rule: new rows are (0, 10, not premium), admins too."""
+    t = Tables(spark, sf)
+    req_users = fx.users(t).join(fx.requests(t).select(F.col("user_id").alias("id")), "id", "left_semi")
+    return U.ensure(fx.usage(t), req_users, None, _start()).select(*USAGE_OUT)
+
+
 @query("request_entitlement", with_views("requests_v", "usage_v") + """
 SELECT q.request_id, q.user_id, u.user_id IS NOT NULL AS has_usage,
        coalesce(u.usage_count >= u.max_usage AND NOT u.is_premium, false) AS exceeded
@@ -152,7 +198,7 @@ def usage_increment(spark, sf):
 
 @query("parse_limit", with_views("limit_inputs_v") + f"""
 SELECT event_id, raw_limit,
-       coalesce(TRY_CAST(nullif(regexp_extract(raw_limit, '{JS_LEADING_INT_PATTERN}', 1), '') AS INTEGER), 0)
+       coalesce(TRY_CAST(nullif(regexp_extract(raw_limit, '{JS_LEADING_INT_PATTERN}', 1), '') AS BIGINT), 0)
          AS parsed_limit
 FROM limit_inputs_v""")
 def parse_limit(spark, sf):
@@ -162,12 +208,12 @@ def parse_limit(spark, sf):
 
 @query("usage_set_limits", with_views("usage_v", "limit_changes_v") + f"""
 SELECT u.user_id, u.email, u.usage_count,
-       CASE WHEN c.user_id IS NOT NULL THEN c.max_usage ELSE u.max_usage END AS max_usage,
+       CAST(CASE WHEN c.user_id IS NOT NULL THEN c.max_usage ELSE u.max_usage END AS INTEGER) AS max_usage,
        CASE WHEN c.user_id IS NOT NULL THEN c.is_premium ELSE u.is_premium END AS is_premium,
        u.created_at, u.last_used_at
 FROM usage_v u LEFT JOIN (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, change_id DESC) AS rn
-                 FROM limit_changes_v) WHERE rn = 1) c ON c.user_id = u.user_id""")
+                 FROM limit_changes_v WHERE max_usage BETWEEN -2147483648 AND 2147483647) WHERE rn = 1) c ON c.user_id = u.user_id""")
 def usage_set_limits(spark, sf):
     t = Tables(spark, sf)
     return U.set_limits(fx.usage(t).select(*USAGE_OUT), fx.limit_changes(t)).select(*USAGE_OUT)

@@ -135,7 +135,85 @@ def test_keyword_merge_order_and_prepend(spark):
     listed = spark.createDataFrame([(0, "l0"), (1, "c-new"), (2, "l0")], "pos long, keyword string")
     merged = [r.keyword for r in merge_lists(custom, listed).collect()]
     assert merged == ["c-new", "c-old", "l0", "c-new", "l0"]          # custom newest first; duplicates kept
-    incoming = spark.createDataFrame([("l0",), ("h1",), ("h1",)], "keyword string")
+    nulls = custom.unionByName(custom.limit(1).selectExpr("user_id", "'c-null' as keyword", "cast(null as timestamp_ntz) as created_at"))
+    assert [r.keyword for r in merge_lists(nulls, listed).collect()][:2] == ["c-null", "c-new"]
+    day = [dt.datetime(2024, 1, d) for d in (1, 2, 3, 4)]
+    incoming = spark.createDataFrame([("l0", day[0]), ("h1", day[1]), ("h2", day[2]), ("h1", day[3])],
+                                     "keyword string, created_at timestamp_ntz")
     pre = prepend_missing(listed, incoming).collect()
-    assert sorted(r.keyword for r in pre if r.src_rank == 0) == ["h1"]  # once, only when absent
+    assert [r.keyword for r in pre if r.src_rank == 0] == ["h2", "h1"]  # once, only when absent, newest first
     assert sorted(r.pos for r in pre if r.src_rank == 1) == [0, 1, 2]
+
+
+def test_prefix_counts_utf16_units(spark):
+    from quillspark.functions.strings import prefix
+    texts = ["😀" * 200, "a" + "😀" * 200, "b" * 200, "short", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.p for r in df.select(prefix("t", 150).alias("p")).collect()]
+    assert got == ["😀" * 75, "a" + "😀" * 74 + "\ufffd", "b" * 150, "short", None]
+
+
+def test_limits_beyond_integer_are_refused(spark):
+    from quillspark.functions.strings import parse_int_or_zero
+    from quillspark.operators.usage import set_limits
+    df = spark.createDataFrame([("99999999999",), ("9" * 40,), ("-" + "9" * 40,), (" 12x",), ("x",)], "t string")
+    assert [r.v for r in df.select(parse_int_or_zero("t").alias("v")).collect()] == [99999999999, 2**63 - 1, -2**63, 12, 0]
+    usage = spark.createDataFrame([("u1", 5, False), ("u2", 5, False)], "user_id string, max_usage int, is_premium boolean")
+    changes = spark.createDataFrame([("c1", "u1", 1, 7, True), ("c2", "u1", 2, 99999999999, False), ("c3", "u2", 1, 0, True)],
+                                    "change_id string, user_id string, ts int, max_usage long, is_premium boolean")
+    got = {r.user_id: (r.max_usage, r.is_premium) for r in set_limits(usage, changes).collect()}
+    assert got == {"u1": (7, True), "u2": (0, True)}
+
+
+def test_generated_rows_keep_ids_and_report_failures(spark):
+    from quillspark import schemas as S
+    from quillspark.plans.generate import generate, stub_model
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, "p", "m", None), (1, None, "m", "k"), (2, "p", "m", "error-1"), (None, "p", "m", "k")],
+                               "request_id long, p string, m string, keyword string")
+    got = {r.request_id: r for r in generate(df, "p", "m").collect()}
+    assert set(got) == {big, 2} and got[big].generated == stub_model("p", "m", "")
+    assert (got[2].generated, got[2].generation_error) == (None, "generation failed")
+    none = generate(df, "p", "m", fn=lambda p, m, k: None).collect()
+    assert all(r.generated is None and r.generation_error == S.MSG_GENERATION_FAILED for r in none)
+
+
+def test_pipeline_records_of_odd_rows(spark):
+    import datetime as dt
+
+    from quillspark import schemas as S
+    from quillspark.plans.requests import run_pipeline
+    big = 9007199254740993
+    t = dt.datetime(2024, 1, 1)
+    plan = spark.createDataFrame(
+        [(1, "u", t, "cached", "k", None, "cached", big, None), (2, "u", t, "generate", None, None, "m", None, "0/10"),
+         (3, "u", t, "quota_error", "k", None, "m", None, "10/10"), (4, None, t, "login_error", "k", None, "m", None, None),
+         (5, "u", t, "generate", "k", "x", "m", None, "1/10"), (6, "u", t, "generate", "error-k", None, "m", None, "2/10")],
+        "request_id long, user_id string, ts timestamp_ntz, action string, keyword string, custom_prompt string, "
+        "used_model string, hit_id long, label string")
+    runs = spark.createDataFrame([(2, ["q"]), (6, ["q"])], "conv_id long, paa array<string>")
+    results = spark.createDataFrame([(big, ["a"], "right"), (big - 1, ["b"], "wrong")], "id long, paa_questions array<string>, content string")
+    got = {r.request_id: r for r in run_pipeline(plan, runs, F.col("request_id"), results).collect()}
+    assert (got[1].status, got[1].content, got[1].draft_content, got[1].paa) == ("success", "right", "right", ["a"])
+    assert got[2].status == "success" and got[2].draft_content and got[2].error_message is None
+    assert got[3].error_message == S.MSG_QUOTA_BEFORE + "10/10" + S.MSG_QUOTA_AFTER + S.CONTACT
+    assert (got[4].error_code, got[4].error_message) == ("login", S.MSG_PIPELINE_LOGIN)
+    assert (got[5].error_code, got[5].error_message) == ("crawl", S.MSG_CRAWL_FAILED)
+    assert (got[6].status, got[6].error_message, got[6].content) == ("error", "generation failed", "")
+
+
+def test_ids_of_different_keys_differ(spark):
+    from quillspark.functions.ids import key_uuid
+    df = spark.createDataFrame([("a\x01b", "c"), ("a", "b\x01c"), ("", None), (None, "")], "x string, y string")
+    assert df.select(key_uuid("x", "y").alias("i")).distinct().count() == 4
+
+
+def test_all_documents_and_runs_are_reached(spark):
+    from quillspark.sources import fixtures as fx
+    from quillspark.sources.tables import Tables
+    from tests.conftest import SF_SMALL
+    t = Tables(spark, SF_SMALL)
+    r = fx.results(t).select("id", "paa_conv_id").join(t.events.select(F.col("event_id").alias("id")), "id")
+    docs = r.select((F.col("id") % fx.doc_count(t)).alias("doc_id")).distinct()
+    assert docs.count() == t.documents.count()
+    assert r.select("paa_conv_id").distinct().count() == t.conversations.select("conv_id").distinct().count()

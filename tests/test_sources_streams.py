@@ -30,10 +30,10 @@ def test_split_character_is_held_back_until_complete():
 
 def test_stage_files_splits_in_order(spark):
     df = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "ts")
-    path = stage_files(df, "test-stage", "ts", 3)
+    path = stage_files(df, "test-stage", "ts")
     back = spark.read.parquet(path)
     assert back.count() == df.count()
-    assert back.select(F.input_file_name()).distinct().count() == 3
+    assert back.select(F.input_file_name()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def test_running_text_is_always_a_prefix_of_the_answer(spark):
@@ -49,3 +49,66 @@ def test_running_text_is_always_a_prefix_of_the_answer(spark):
     # Each finished answer is saved exactly once
     saved = spark.read.parquet(log)
     assert saved.count() == saved.select("request_id").distinct().count() == docs.count()
+
+
+def test_keyword_files_are_read_in_file_order(spark):
+    import pandas as pd
+    path = shared_path(spark, "test", "keyword_files")
+    for name, n in (("a", 2), ("b", 200)):
+        spark.createDataFrame(pd.DataFrame({"Keyword": [f"{name}{i}" for i in range(n)]})).coalesce(1).write.option(
+            "header", True).csv(f"{path}/part={name}")
+    got = [r.keyword for r in read_keyword_file(spark, path, "csv").orderBy("pos").collect()]
+    assert got == ["a0", "a1"] + [f"b{i}" for i in range(200)]
+
+
+def test_redelivered_chunks_leave_no_state(spark):
+    from quillspark.streaming import chunks as CH
+
+    class State:
+        value, hasTimedOut, exists = None, False, False
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.value, self.exists = v, True
+
+        def setTimeoutDuration(self, ms):
+            self.timeout = ms
+
+        def remove(self):
+            self.value, self.exists = None, False
+
+    import pandas as pd
+    state = State()
+
+    def deliver(*chunks):
+        pdf = pd.DataFrame(chunks, columns=["chunk_no", "chunk", "is_last"])
+        return [r for out in CH._assemble((1,), iter([pdf]), state) for r in out.to_dict("records")]
+
+    assert deliver((0, b"ab", False))[0]["text"] == "ab"
+    assert deliver((0, b"ab", False))[0]["text"] == "ab" and not state.value[3]        # nothing pending
+    done = deliver((2, b"e", True), (1, b"cd", False))[0]
+    assert (done["text"], done["done"]) == ("abcde", True)
+    assert deliver((1, b"cd", False)) == [] and state.value[0] == b"" and state.timeout == CH.FINISHED_MS
+    state.hasTimedOut = True
+    assert deliver((1, b"cd", False)) == [] and not state.exists
+
+
+def test_quota_batches_replay_and_take_null_limits(spark):
+    from quillspark.streaming.quota import quota_batch_writer, start_usage
+    usage = spark.createDataFrame([(1, "a", 8, 10, False, None, None), (2, "b", 0, None, False, None, None)],
+                                  "user_id long, email string, usage_count long, max_usage int, is_premium boolean, "
+                                  "created_at timestamp_ntz, last_used_at timestamp_ntz")
+    base, out = shared_path(spark, "test", "quota"), shared_path(spark, "test", "quota_out")
+    start_usage(usage, base)
+    apply = quota_batch_writer(base, out)
+    rows = [(i, 1 + i % 2, None) for i in range(8)]
+    batches = [spark.createDataFrame(part, "request_id long, user_id long, ts timestamp_ntz") for part in (rows[:4], rows[4:])]
+    for k in (0, 0, 1, 1):
+        apply(batches[k], k)
+    got = {r.request_id: r.admitted for r in spark.read.parquet(out).collect()}
+    assert [got[i] for i in (0, 2, 4, 6)] == [True, True, False, False]        # two left of ten
+    assert [got[i] for i in (1, 3, 5, 7)] == [None] * 4
+    assert {r.user_id: r.usage_count for r in spark.read.parquet(f"{base}/v=2").collect()} == {1: 10, 2: 0}
