@@ -131,19 +131,23 @@ def _band_keys(sk: np.ndarray) -> np.ndarray:
     return keys | np.arange(BANDS, dtype=np.int64) << 48
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """The contract's rule on two full sets."""
+    if 100 * min(len(x), len(y)) < 75 * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= 75 * (len(x) + len(y) - inter)
+
+
 def _verify(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
     """Pairs of one group whose full shingle sets reach the similarity."""
     hashes, bounds = shingle_sets(list(texts["text"]))
     sets = {c: hashes[bounds[i]: bounds[i + 1]] for i, c in enumerate(texts["cid"])}
     good = []
     for a, b in zip(pairs["a"], pairs["b"]):
-        x, y = sets[a], sets[b]
-        if 100 * min(len(x), len(y)) < 75 * max(len(x), len(y)):
-            continue
-        both = np.concatenate([x, y])
-        both.sort()
-        inter = int((both[1:] == both[:-1]).sum())
-        if 100 * inter >= 75 * (len(x) + len(y) - inter):
+        if _similar(sets[a], sets[b]):
             good.append((a, b))
     return pd.DataFrame(good, columns=["a", "b"], dtype="int64")
 
@@ -168,41 +172,74 @@ def _grouped(pairs: DataFrame) -> DataFrame:
                     F.pmod(F.xxhash64("b"), F.col("cut"))).alias("g"), "a", "b")
 
 
-def _block_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by block -> pairs of different components whose sketches
-    agree well enough, each in the first band that the two share."""
+def _by_group(frames: Iterator[pd.DataFrame], work) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``g`` -> ``work`` of each whole group."""
     rest = None
     for pdf in frames:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        last = pdf["g"].iloc[-1] if len(pdf) else None
-        done = pdf["g"] != last
+        if not len(pdf):
+            continue
+        done = pdf["g"] != pdf["g"].iloc[-1]
         rest = pdf[~done]
-        yield from _pairs_of(pdf[done])
+        for _, rows in pdf[done].groupby("g", sort=False):
+            yield work(rows)
     if rest is not None and len(rest):
-        yield from _pairs_of(rest)
-
-
-def _pairs_of(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    for g, rows in pdf.groupby("g", sort=False):
-        band = int(rows["bk"].iloc[0]) >> 48
-        sk, cid, root = _sketch_matrix(rows["sketch"]), rows["cid"].to_numpy(), rows["root"].to_numpy()
-        keys = _band_keys(sk)
-        left = np.flatnonzero(rows["side"].to_numpy() <= 1)      # 1: both sides, 0: left, 2: right
-        right = np.flatnonzero(rows["side"].to_numpy() >= 1)
-        inside = rows["side"].iloc[0] == 1
-        for start in range(0, len(left), 32):
-            at = left[start: start + 32]
-            open_ = root[at][:, None] != root[right][None, :]
-            if inside:
-                open_ &= cid[at][:, None] < cid[right][None, :]
-            i, j = np.nonzero(open_)
-            for s in range(0, len(i), 8192):
-                x, y = at[i[s: s + 8192]], right[j[s: s + 8192]]
-                ok = (sk[x] == sk[y]).mean(axis=1) >= EST_MIN
-                x, y = x[ok], y[ok]
-                first = (keys[x] == keys[y]).argmax(axis=1) == band
-                if first.any():
-                    yield pd.DataFrame({"g": g, "a": cid[x[first]], "b": cid[y[first]]})
+        yield work(rest)
+
+
+def _close_pairs(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (as row numbers) of a block that are in different components, agree
+    well enough by sketch, and share no earlier band. ``side``: 1 inside one
+    block part, 0 and 2 for the two parts of a block between parts."""
+    band = int(rows["bk"].iloc[0]) >> 48
+    sk, cid, root, side = (_sketch_matrix(rows["sketch"]), rows["cid"].to_numpy(), rows["root"].to_numpy(),
+                           rows["side"].to_numpy())
+    keys = _band_keys(sk)
+    left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
+    for start in range(0, len(left), 32):
+        at = left[start: start + 32]
+        open_ = root[at][:, None] != root[right][None, :]
+        if side[0] == 1:
+            open_ &= cid[at][:, None] < cid[right][None, :]
+        i, j = np.nonzero(open_)
+        for k in range(0, len(i), 8192):
+            x, y = at[i[k: k + 8192]], right[j[k: k + 8192]]
+            ok = (sk[x] == sk[y]).mean(axis=1) >= EST_MIN
+            x, y = x[ok], y[ok]
+            first = (keys[x] == keys[y]).argmax(axis=1) == band
+            yield x[first], y[first]
+
+
+def _needed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Members of a block that take part in some close pair."""
+    use = np.zeros(len(rows), bool)
+    for x, y in _close_pairs(rows):
+        use[x] = use[y] = True
+    return rows[use]
+
+
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links of a block, confirmed on full sets. Pairs that earlier links of the
+    block join already are skipped: they change no component."""
+    hashes, bounds = shingle_sets(list(rows["text"]))
+    cid, top, links = rows["cid"].to_numpy(), list(range(len(rows))), []
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+    for root in np.unique(rows["root"]):            # components found before hold together
+        same = np.flatnonzero(rows["root"] == root)
+        for i in same[1:]:
+            top[i] = int(same[0])
+    for xs, ys in _close_pairs(rows):
+        for x, y in zip(xs.tolist(), ys.tolist()):
+            a, b = find(x), find(y)
+            if a != b and _similar(hashes[bounds[x]: bounds[x + 1]], hashes[bounds[y]: bounds[y + 1]]):
+                top[a] = b
+                links.append((cid[x], cid[y]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,7 +252,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        one of least id, on full sets.
     3. Buckets that still hold several components are compared in blocks by
        sketch; pairs of different components with an estimate of ``EST_MIN`` or
-       more are checked on full sets as well. Nothing is capped.
+       more are checked on full sets as well. The texts come to the blocks, and
+       only links leave them, never the pairs. Nothing is capped.
     4. Components over all links; component_id is the smallest doc_id.
 
     Null and blank texts have no shingles and link with nothing. Rows without a
@@ -258,10 +296,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       .otherwise(2).alias("side"),
                       F.concat_ws("_", "bk", F.least("i", "j"), F.greatest("i", "j")).alias("g"))
               .join(classes.select("cid", "sketch"), "cid"))
-    close = materialize(
-        blocks.repartition(partitions(docs.sparkSession), "g").sortWithinPartitions("g")
-        .mapInPandas(_block_pairs, "g string, a long, b long"), "near_cross")
-    second = verify(close, texts)
+    n, kinds = partitions(docs.sparkSession), "g string, bk long, cid long, root long, side int, sketch binary"
+    needed = (blocks.select("g", "bk", "cid", "root", "side", "sketch").repartition(n, "g").sortWithinPartitions("g")
+              .mapInPandas(lambda frames: _by_group(frames, _needed), kinds))
+    second = (needed.join(texts, "cid").repartition(n, "g").sortWithinPartitions("g")
+              .mapInPandas(lambda frames: _by_group(frames, _block_links), "a long, b long"))
+    second = materialize(second, "near_second")
 
     def root_of(end: str, name: str) -> DataFrame:
         return first.select(F.col("id").alias(end), F.col("root").alias(name))
