@@ -17,6 +17,7 @@ from quillspark.sinks.snapshots import materialize
 
 MAX_PIVOTS = 4096       # bound of the sample that the index is fitted on
 MAX_PIVOT_CELLS = 4_000_000
+SEPARATION = 0.9        # pivots with a larger cosine than this to an earlier one are left out
 DEPTH = 8               # nearest pivots that describe a vector
 LISTS = 6               # of these, so many inverted lists hold the vector
 SHARED = 2              # pivots that a candidate pair has in common
@@ -37,6 +38,18 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def separated(u: np.ndarray, limit: float = SEPARATION) -> np.ndarray:
+    """Unit vectors of which no two are closer than ``limit``, earlier ones first.
+    A dense group then has about one pivot of its own, and its members are told
+    apart from others by the same far pivots."""
+    sim, free, chosen = u @ u.T, np.ones(len(u), bool), []
+    for i in range(len(u)):
+        if free[i]:
+            chosen.append(i)
+            free &= sim[i] < limit
+    return u[chosen]
+
+
 def nearest_pivots(u: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     """The ``depth`` nearest pivots of each unit vector, nearest first."""
     depth = min(depth, len(pivots))
@@ -105,8 +118,9 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: st
 
     The index is fitted on pivots: vectors of least hash, 8 times the square
     root of the number of distinct vectors, ``MAX_PIVOTS`` and
-    ``MAX_PIVOT_CELLS`` components at most. Every vector is then indexed. It is described by its ``DEPTH`` nearest
-    pivots in order; the first ``LISTS`` name the inverted lists that hold it.
+    ``MAX_PIVOT_CELLS`` components at most, less those too close to another.
+    Every vector is then indexed. It is described by its ``DEPTH`` nearest pivots
+    in order; the first ``LISTS`` name the inverted lists that hold it.
     Pairs of one list (same label and dimension) that share ``SHARED`` pivots
     are confirmed by their cosine in double precision. Long lists are compared
     in blocks, equal vectors are one weighted entry, and a block gives counts and
@@ -136,7 +150,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: st
     pivots = np.zeros((len(picked), dim))
     for i, v in enumerate(picked):
         pivots[i, : len(v)] = v
-    shared = spark.sparkContext.broadcast(unit(pivots) if len(pivots) else pivots)
+    shared = spark.sparkContext.broadcast(separated(unit(pivots)) if len(pivots) else pivots)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
