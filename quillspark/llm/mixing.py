@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import partitions, prefix_sums, text_or_empty, word_count
+from quillspark.llm.common import prefix_sums, text_or_empty, word_count
 from quillspark.session import ship_package
 from quillspark.sinks.snapshots import materialize
 
@@ -49,7 +49,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
     longest first, then bring the rest under ``window``. The last part is a
     bounded knapsack: reachable sums as bits of one integer, counts split into
     powers of two, stopped as soon as the budget itself is reachable. Documents
-    already taken are given back first, so that both signs of change are open.
+    already taken are given back first until it covers the window.
     """
     take = np.zeros(len(lengths), dtype=np.int64)
     budget = min(budget, int((lengths * counts).sum()))
@@ -64,13 +64,13 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
         more = min(int(counts[i] - take[i]), max(0, rest - window // 2) // int(lengths[i]))
         take[i] += more
         rest -= more * int(lengths[i])
-    # Give back one document of several lengths, so that the knapsack can refill with better ones.
+    # Give documents back until the window is open; a budget within it is solved as a whole.
     for i in np.argsort(-lengths, kind="stable"):
         if rest >= window:
             break
-        if take[i] and lengths[i] <= window:
-            take[i] -= 1
-            rest += int(lengths[i])
+        back = min(int(take[i]), -(-(window - rest) // int(lengths[i])))
+        take[i] -= back
+        rest += back * int(lengths[i])
     full = (1 << (rest + 1)) - 1
     reach, items, history = 1, [], []
     for i in np.argsort(lengths, kind="stable"):
@@ -101,22 +101,21 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, max_repeat: int = 2, weights: tuple[int, ...] = WEIGHTS,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+        buckets: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, text_hash.
 
     Each source takes every document ``target div source_size`` times, then
     one more copy of documents chosen so that their lengths fill the remaining
     budget: counts by exact length (pre-aggregated, one row per source and
     length), one subset-sum fit per source, and the first documents by seeded
-    hash of each length. Ranks are taken in hash buckets of a source and
-    length, so that a length in a third of all rows is split; bucket counts say
-    how many of each bucket are wanted. Empty and null texts have size 0 and are
+    hash of each length. Ranks are taken in ``buckets`` hash buckets of a source
+    and length, so that a length in a third of all rows is split; bucket counts
+    say how many of each bucket are wanted. Empty and null texts have size 0 and are
     never taken. Rows that share an id and size are interchangeable. The same
     seed and rows give the same result.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    buckets = partitions(spark)
     h = F.xxhash64(F.lit(seed), "doc_id")
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                                    word_count(text_col).alias("size"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"))
