@@ -54,8 +54,10 @@ def boundaries(text: str, pattern: str) -> list[int]:
 def chunk_ends(text: str, pattern: str, start: int, step: int, overlap: int) -> tuple[list[int], list[int]]:
     """Boundaries, as positions in the whole text, in the chunk's first
     ``overlap`` characters and in those it shares with the next chunk. Near the
-    chunk's end a boundary may still move, so the last ones are left out."""
-    at = boundaries(text, pattern)
+    chunk's end a boundary may still move, so the last ones are left out. Those
+    behind white space are left out too: how a run of it is cut depends on what
+    follows, and a piece must give the same pre-tokens alone as in the text."""
+    at = [p for p in boundaries(text, pattern) if p and not text[p - 1].isspace()]
     head = [start + p for p in at if p < overlap]
     tail = [start + p for p in at if step <= p <= len(text) - MARGIN]
     return head, tail

@@ -92,23 +92,23 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
     return take
 
 
-def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
-    size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
-    whole = int(target // size)
+def _fit_source(pdf: pd.DataFrame, max_repeat: int) -> pd.DataFrame:
+    """Copies of each length of one source: every document may be taken up to
+    ``max_repeat`` times, ``whole`` times each and once more for ``extra_docs``."""
     pdf = pdf.sort_values("size")
-    k = fit_counts(pdf["size"].to_numpy(np.int64), pdf["docs"].to_numpy(np.int64), round(target - whole * size))
-    return pd.DataFrame({"source_key": pdf["source_key"], "size": pdf["size"], "whole": whole, "extra_docs": k})
+    docs = pdf["docs"].to_numpy(np.int64)
+    copies = fit_counts(pdf["size"].to_numpy(np.int64), docs * max_repeat, round(float(pdf["target"].iloc[0])))
+    return pd.DataFrame({"source_key": pdf["source_key"], "size": pdf["size"], "whole": copies // docs, "extra_docs": copies % docs})
 
 
 def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, max_repeat: int = 2, weights: tuple[int, ...] = WEIGHTS,
         buckets: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, text_hash.
 
-    Each source takes every document ``target div source_size`` times, then
-    one more copy of documents chosen so that their lengths fill the remaining
-    budget: counts by exact length (pre-aggregated, one row per source and
-    length), one subset-sum fit per source, and the first documents by seeded
-    hash of each length. Ranks are taken in ``buckets`` hash buckets of a source
+    Each source fills its target with copies, ``max_repeat`` of a document at most:
+    counts by exact length (pre-aggregated, one row per source and length), one
+    subset-sum fit per source, whose copies are dealt evenly over the documents
+    of a length; the first ones by seeded hash get one more. Ranks are taken in ``buckets`` hash buckets of a source
     and length, so that a length in a third of all rows is split; bucket counts
     say how many of each bucket are wanted. Empty and null texts have size 0 and are
     never taken. Rows that share an id and size are interchangeable. The same
@@ -127,9 +127,9 @@ def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, max_repeat: int = 2
     targets = materialize(source_targets(sizes, share, max_repeat, weights), "mix_targets").withColumn(
         "source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
     lengths = (cells.where("size > 0").groupBy("source_key", "size").agg(F.sum("docs").alias("docs"))
-               .join(targets.select("source_key", "source_size", "target"), "source_key"))
+               .join(targets.select("source_key", "target"), "source_key"))
     plan = materialize(lengths.groupBy("source_key").applyInPandas(
-        _fit_source, "source_key string, size long, whole long, extra_docs long"), "mix_plan")
+        lambda pdf: _fit_source(pdf, max_repeat), "source_key string, size long, whole long, extra_docs long"), "mix_plan")
     before = Window.partitionBy("source_key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     quota = (cells.where("size > 0").withColumn("earlier", F.coalesce(F.sum("docs").over(before), F.lit(0)))
              .join(plan, ["source_key", "size"])
