@@ -32,7 +32,23 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op4_near_dedup")
+OP4_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+             else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from d),
+n as (select doc_id, count(*) as c from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * p.c >= 75 * (x.c + y.c - p.c)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on r.b = l.a),
+m as (select a as doc_id, min(b) as component_id from r group by a)
+select m.doc_id, coalesce(n.c, 0) as n_shingles, component_id, m.doc_id = component_id as kept
+from m left join n on n.doc_id = m.doc_id
+"""
+
+
+@query("op4_near_dedup", OP4_SQL)
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.minhash import near_duplicates
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
