@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,5 +72,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def same(a: str, b: str) -> Column:
-    return F.col(a).eqNullSafe(F.col(b))
+def by_group(frames: Iterator[pd.DataFrame], work: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For ``mapInPandas`` over rows sorted by ``g``: ``work`` of each whole group,
+    without the cost that a grouped map has for each of very many small groups."""
+    rest = None
+    for pdf in frames:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        done = pdf["g"] != pdf["g"].iloc[-1]
+        rest = pdf[~done]
+        for _, rows in pdf[done].groupby("g", sort=False):
+            yield work(rows)
+    if rest is not None and len(rest):
+        yield work(rest)

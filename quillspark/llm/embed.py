@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import partitions
+from quillspark.llm.common import by_group, partitions
 from quillspark.llm.graph import components
 from quillspark.session import ship_package
 from quillspark.sinks.snapshots import materialize
@@ -59,21 +59,6 @@ def nearest_pivots(u: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     return np.take_along_axis(part, order, axis=1).astype(np.int32)
 
 
-def _blocks_of(frames: Iterator[pd.DataFrame], work) -> Iterator[pd.DataFrame]:
-    """Rows sorted by ``g`` -> ``work`` of each whole group."""
-    rest = None
-    for pdf in frames:
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        done = pdf["g"] != pdf["g"].iloc[-1]
-        rest = pdf[~done]
-        for _, rows in pdf[done].groupby("g", sort=False):
-            yield work(rows)
-    if rest is not None and len(rest):
-        yield work(rest)
-
-
 def link_block(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links inside one block of an inverted list, or between two.
 
@@ -177,7 +162,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: st
                       F.concat_ws("_", "label", "dim", "pivot", F.least("i", "j"), F.greatest("i", "j")).alias("g"))
               .join(index.select("cid", "unit", "pivots"), "cid"))
     found = materialize(blocks.repartition(partitions(spark), "g").sortWithinPartitions("g").mapInPandas(
-        lambda frames: _blocks_of(frames, lambda rows: link_block(rows, threshold)), "a long, b long, n long"), "embed_found")
+        lambda frames: by_group(frames, lambda rows: link_block(rows, threshold)), "a long, b long, n long"), "embed_found")
     links = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "cid")
     whole = materialize(classes.select("cid", "rep", "weight", *key).join(links, "cid", "left").join(roots, "cid", "left")

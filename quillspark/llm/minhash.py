@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import mix64, partitions, text_or_empty
+from quillspark.llm.common import by_group, mix64, partitions, text_or_empty
 from quillspark.llm.graph import components
 from quillspark.session import ship_package
 from quillspark.sinks.snapshots import materialize
@@ -172,21 +172,6 @@ def _grouped(pairs: DataFrame) -> DataFrame:
                     F.pmod(F.xxhash64("b"), F.col("cut"))).alias("g"), "a", "b")
 
 
-def _by_group(frames: Iterator[pd.DataFrame], work) -> Iterator[pd.DataFrame]:
-    """Rows sorted by ``g`` -> ``work`` of each whole group."""
-    rest = None
-    for pdf in frames:
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        done = pdf["g"] != pdf["g"].iloc[-1]
-        rest = pdf[~done]
-        for _, rows in pdf[done].groupby("g", sort=False):
-            yield work(rows)
-    if rest is not None and len(rest):
-        yield work(rest)
-
-
 def _close_pairs(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (as row numbers) of a block that are in different components, agree
     well enough by sketch, and share no earlier band. ``side``: 1 inside one
@@ -298,9 +283,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .join(classes.select("cid", "sketch"), "cid"))
     n, kinds = partitions(docs.sparkSession), "g string, bk long, cid long, root long, side int, sketch binary"
     needed = (blocks.select("g", "bk", "cid", "root", "side", "sketch").repartition(n, "g").sortWithinPartitions("g")
-              .mapInPandas(lambda frames: _by_group(frames, _needed), kinds))
+              .mapInPandas(lambda frames: by_group(frames, _needed), kinds))
     second = (needed.join(texts, "cid").repartition(n, "g").sortWithinPartitions("g")
-              .mapInPandas(lambda frames: _by_group(frames, _block_links), "a long, b long"))
+              .mapInPandas(lambda frames: by_group(frames, _block_links), "a long, b long"))
     second = materialize(second, "near_second")
 
     def root_of(end: str, name: str) -> DataFrame:

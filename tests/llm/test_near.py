@@ -1,7 +1,6 @@
 """Near duplicates of texts and of embeddings against brute force."""
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from quillspark.llm import embed, graph, minhash
