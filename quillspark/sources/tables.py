@@ -13,6 +13,12 @@ TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders",
                "benchmark", "labels", "conversations")
 
 
+# Session setting: hash-partition every scanned table on its first column into so
+# many tasks. For tables in single-row-group files, which one task reads; unset
+# by default, and never guessed from sizes or file counts.
+SCAN_PARTITIONS = "spark.quillspark.scan.partitions"
+
+
 class Tables:
     """Name -> DataFrame accessor for one data folder."""
 
@@ -28,5 +34,7 @@ class Tables:
         if name.startswith("_") or name not in TABLE_NAMES:
             raise AttributeError(name)
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(self.path(name))
+            df = self.spark.read.parquet(self.path(name))
+            n = self.spark.conf.get(SCAN_PARTITIONS, "")
+            self._cache[name] = df.repartition(int(n), df.columns[0]) if n else df
         return self._cache[name]
