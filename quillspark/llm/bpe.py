@@ -18,7 +18,7 @@ from quillspark.session import ship_package
 CHUNK = 32768       # characters between chunk starts
 OVERLAP = 1024      # characters that a chunk shares with the next one
 MARGIN = 3          # a pre-token this far from the chunk's end can't change any more
-GROUP_IDS = 2_000_000
+GROUP_IDS = 400_000      # ids that a task holds as Python numbers before they become a batch
 
 _LOADED: dict[int, tuple[tiktoken.Encoding, list[bytes]]] = {}
 
