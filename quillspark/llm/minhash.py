@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ COORDS = 384            # sketch length; one byte of each coordinate is kept
 BANDS, ROWS = 48, 6     # a pair at 0.75 misses every band with odds under 1e-4
 EST_MIN = 0.65          # 4.5 standard deviations below 0.75 for 384 coordinates
 BLOCK = 256
-BATCH_WORDS = 400_000
+BATCH_WORDS = 100_000   # words that a task holds as Python objects at a time
 
 
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,23 +81,21 @@ def sketches(hashes: np.ndarray, bounds: np.ndarray, coords: int = COORDS) -> np
     return (mix64(bins) >> np.uint64(56)).astype(np.uint8).reshape(docs, coords)
 
 
-def _batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Index ranges of about ``BATCH_WORDS`` words (six bytes a word)."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "") // 6
-        if size >= BATCH_WORDS or i - start >= 2000:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _parts(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Index ranges of texts with about ``BATCH_WORDS`` words (six bytes a word)."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(column):
+        before = int(size[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + 6 * BATCH_WORDS)))
+        yield start, min(end, start + 1000, len(column))
+        start = min(end, start + 1000, len(column))
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in _batches(texts):
-            hashes, bounds = shingle_sets(texts[a:b])
+        for a, b in _parts(batch.column("text")):
+            hashes, bounds = shingle_sets(batch.column("text").slice(a, b - a).to_pylist())
             n = np.diff(bounds)
             sums = []
             for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
@@ -108,6 +107,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [part.column("doc_id"), part.column("row"), part.column("text_hash"), pa.array(n, pa.int64()),
                  pa.array(sums[0]), pa.array(sums[1]), pa.array([x.tobytes() for x in sk], pa.binary())],
                 names=["doc_id", "row", "text_hash", "n_shingles", "s1", "s2", "sketch"])
+        pa.default_memory_pool().release_unused()
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
