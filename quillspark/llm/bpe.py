@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ OVERLAP = 1024      # characters that a chunk shares with the next one
 MARGIN = 3          # a pre-token this far from the chunk's end can't change any more
 GROUP_IDS = 400_000      # ids that a task holds as Python numbers before they become a batch
 
-_LOADED: dict[int, tuple[tiktoken.Encoding, list[bytes]]] = {}
+_LOADED: dict[tuple, object] = {}
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -33,17 +34,27 @@ def load_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) }
 
 
-def _vocabulary(shared: Broadcast) -> tuple[tiktoken.Encoding, list[bytes]]:
-    """Encoder and token bytes, built once in a Python worker."""
-    raw, pattern = shared.value
-    key = hash((raw, pattern))
+def _once(kind: str, shared: Broadcast, make):
+    """Built once in a Python worker and vocabulary."""
+    key = (kind, hash(shared.value))
     if key not in _LOADED:
+        _LOADED[key] = make(*shared.value)
+    return _LOADED[key]
+
+
+def _encoder(shared: Broadcast) -> tiktoken.Encoding:
+    return _once("encoder", shared, lambda raw, pattern: tiktoken.Encoding(
+        "ranks", pat_str=pattern, mergeable_ranks=load_ranks(raw), special_tokens={}))
+
+
+def _token_bytes(shared: Broadcast) -> list[bytes]:
+    def make(raw: bytes, pattern: str) -> list[bytes]:
         ranks = load_ranks(raw)
         table = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             table[rank] = token
-        _LOADED[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), table
-    return _LOADED[key]
+        return table
+    return _once("bytes", shared, make)
 
 
 def boundaries(text: str, pattern: str) -> list[int]:
@@ -65,7 +76,7 @@ def chunk_ends(text: str, pattern: str, start: int, step: int, overlap: int) ->
 
 def _encode_batches(shared: Broadcast, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = _vocabulary(shared)
+        encoder = _encoder(shared)
         for batch in batches:
             texts, start, ids, size = batch.column("_text"), 0, [], 0
             for i in range(batch.num_rows):
@@ -106,16 +117,26 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     are one chunk. Null counts as empty, an empty text has no ids. Repeated rows
     and ids stay apart by ``row``.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
+    shared = _share(docs, vocabulary)
+    short, whole = _split(docs, id_col, text_col, shared, chunk, overlap)
+    kind = short.schema["doc_id"].dataType.simpleString()
+    return short.mapInArrow(_encode_batches(shared, ["doc_id", "row"]), f"doc_id {kind}, row long, ids array<int>").unionByName(whole)
+
+
+def _share(docs: DataFrame, vocabulary: tuple[str, str] | None) -> Broadcast:
     path, pattern = vocabulary or default_vocabulary()
+    ship_package(docs.sparkSession)
     with open(path, "rb") as f:
-        shared = spark.sparkContext.broadcast((f.read(), pattern))       # one vocabulary file
+        return docs.sparkSession.sparkContext.broadcast((f.read(), pattern))       # one vocabulary file
+
+
+def _split(docs: DataFrame, id_col: str, text_col: str, shared: Broadcast, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """Texts of one chunk (doc_id, row, _text), and the ids of longer ones (doc_id, row, ids)."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
                        text_or_empty(text_col).alias("_text")).withColumn("_len", F.char_length("_text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {id_type}, row long, ids array<int>"
-    short = rows.where(F.col("_len") <= chunk + overlap).mapInArrow(_encode_batches(shared, ["doc_id", "row"]), out)
+    short = rows.where(F.col("_len") <= chunk + overlap).select("doc_id", "row", "_text")
 
     long = rows.where(F.col("_len") > chunk + overlap)
     last = F.ceil((F.col("_len") - overlap) / chunk).cast("int") - 1
@@ -142,40 +163,62 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     parts = joined.mapInArrow(_encode_batches(shared, ["doc_id", "row", "_n"]), f"doc_id {id_type}, row long, _n int, ids array<int>")
     whole = (parts.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("_n", "ids"))).alias("_p"))
              .select("doc_id", "row", F.flatten(F.col("_p.ids")).alias("ids")))
-    return short.unionByName(whole)
+    return short, whole
 
 
 def _slice(col: str, start: Column, end: Column) -> Column:
     return F.substring(F.col(col), start + 1, end - start)
 
 
-def decode(rows: DataFrame, ids_col: str = "ids", vocabulary: tuple[str, str] | None = None) -> DataFrame:
-    """``rows`` with ``ids_col`` replaced by ``decoded``: the raw bytes of its ids
-    in a row (binary, as ids may end inside a character). Null ids give null."""
-    spark = rows.sparkSession
-    path, pattern = vocabulary or default_vocabulary()
-    with open(path, "rb") as f:
-        shared = spark.sparkContext.broadcast((f.read(), pattern))
-    carry = [c for c in rows.columns if c != ids_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != ids_col)
-
+def _decode_batches(shared: Broadcast, carry: list[str], ids_col: str = "ids", rows: int = 200):
+    """Batches with ids -> batches of a few rows with their raw bytes besides."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table = _vocabulary(shared)
+        table = _token_bytes(shared)
         for batch in batches:
             column = batch.column(ids_col)
-            for start in range(0, batch.num_rows, 500):
-                part = column.slice(start, 500)
+            for start in range(0, batch.num_rows, rows):
+                part = column.slice(start, rows)
                 flat, ends, null = part.values.to_numpy(), part.offsets.to_numpy(), part.is_null().to_pylist()
                 out = [None if null[i] else b"".join([table[k] for k in flat[ends[i]: ends[i + 1]].tolist()])
                        for i in range(len(part))]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, 500) for c in carry] + [pa.array(out, pa.binary())],
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, rows) for c in carry] + [pa.array(out, pa.binary())],
                                                  names=[*carry, "decoded"])
-    return rows.mapInArrow(run, f"{schema}, decoded binary")
+    return run
+
+
+def decode(rows: DataFrame, ids_col: str = "ids", vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    """``rows`` with ``ids_col`` replaced by ``decoded``: the raw bytes of its ids
+    in a row (binary, as ids may end inside a character). Null ids give null."""
+    carry = [c for c in rows.columns if c != ids_col]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != ids_col)
+    return rows.mapInArrow(_decode_batches(_share(rows, vocabulary), carry, ids_col), f"{schema}, decoded binary")
+
+
+def _digest_batches(shared: Broadcast):
+    """Batches of doc_id and ids -> lengths and digests of the ids and of what they decode to."""
+    decoded = _decode_batches(shared, ["doc_id", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in decoded(batches):
+            ids = batch.column("ids").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
+                 pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]),
+                 pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in batch.column("decoded")])],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return run
+
 
+def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   vocabulary: tuple[str, str] | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, there and back.
 
-def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, there and back."""
-    ids = encode(docs, id_col, text_col).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
-    return decode(ids).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    The steps of ``encode`` and ``decode``, one behind the other in the same task,
+    so that the ids themselves never leave it."""
+    shared = _share(docs, vocabulary)
+    short, whole = _split(docs, id_col, text_col, shared, chunk, overlap)
+    encoded, digest = _encode_batches(shared, ["doc_id"]), _digest_batches(shared)
+    kind = short.schema["doc_id"].dataType.simpleString()
+    out = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return short.mapInArrow(lambda batches: digest(encoded(batches)), out).unionByName(
+        whole.select("doc_id", "ids").mapInArrow(digest, out))
