@@ -82,7 +82,7 @@ class _TokenWeights(dict):
         self.lexicon = lexicon
 
     def __missing__(self, token: str) -> float:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         own = terms(token)
         value = max((self.lexicon.get(t, 0.0) for t in own), default=0.0)
@@ -123,6 +123,7 @@ def _feature_batches(lexicon: Broadcast, carry: list[str]):
             f = np.array([features(t.as_py(), weights) for t in batch.column("text")], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + [pa.array(f[:, k]) for k in range(f.shape[1])],
                                              names=[*carry, *FEATURES])
+            pa.default_memory_pool().release_unused()
     return run
 
 
