@@ -23,7 +23,7 @@ def main() -> None:
     qs = registry.queries()
     lines = ["# Physical plans", "",
              f"Executed (AQE final) plans at `{os.path.basename(sf)}`, local[8], 8 shuffle partitions. "
-             "Streaming keys are omitted (their plans are per micro-batch). Counts are plan nodes; "
+             "Streaming keys are omitted (their plans are per micro-batch). Counts are nodes of the plan that ran last; stage tables written before it are not in it; "
              "`bcast` includes AQE's runtime broadcasts of measured-small sides.", "",
              "| query | hash exch | range exch | bcast | SMJ | window | parquet scans | python | flags |",
              "|---|---|---|---|---|---|---|---|---|"]
