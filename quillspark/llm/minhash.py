@@ -195,35 +195,26 @@ def _close_pairs(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield x[first], y[first]
 
 
-def _needed(rows: pd.DataFrame) -> pd.DataFrame:
-    """Members of a block that take part in some close pair."""
-    use = np.zeros(len(rows), bool)
-    for x, y in _close_pairs(rows):
-        use[x] = use[y] = True
-    return rows[use]
-
-
 def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links of a block, confirmed on full sets. Pairs that earlier links of the
-    block join already are skipped: they change no component."""
-    hashes, bounds = shingle_sets(list(rows["text"]))
-    cid, top, links = rows["cid"].to_numpy(), list(range(len(rows))), []
-
-    def find(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-    for root in np.unique(rows["root"]):            # components found before hold together
-        same = np.flatnonzero(rows["root"] == root)
-        for i in same[1:]:
-            top[i] = int(same[0])
-    for xs, ys in _close_pairs(rows):
-        for x, y in zip(xs.tolist(), ys.tolist()):
-            a, b = find(x), find(y)
-            if a != b and _similar(hashes[bounds[x]: bounds[x + 1]], hashes[bounds[y]: bounds[y + 1]]):
-                top[a] = b
-                links.append((cid[x], cid[y]))
+    """Links of a block, confirmed on full sets. Only texts in some close pair are
+    read. Pairs that earlier links of the block join already are skipped: they
+    change no component."""
+    pairs = [(x, y) for xs, ys in _close_pairs(rows) for x, y in zip(xs.tolist(), ys.tolist())]
+    use = sorted({i for pair in pairs for i in pair})
+    hashes, bounds = shingle_sets(rows["text"].iloc[use].tolist())
+    sets = {i: hashes[bounds[k]: bounds[k + 1]] for k, i in enumerate(use)}
+    cid, root, links = rows["cid"].to_numpy(), rows["root"].to_numpy(), []
+    top: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while top.get(c, c) != c:
+            c = top[c]
+        return c
+    for x, y in pairs:
+        a, b = find(int(root[x])), find(int(root[y]))
+        if a != b and _similar(sets[x], sets[y]):
+            top[a] = b
+            links.append((cid[x], cid[y]))
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
@@ -261,14 +252,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = classes.select("sketch", "cid").mapInArrow(_band_rows, "bk long, cid long")
     full = bands.groupBy("bk").agg(F.count("*").alias("members"), F.min("cid").alias("pivot")).where("members > 1")
     members = materialize(bands.join(full, "bk"), "near_members")
-    wanted = (members.select("cid").distinct().join(classes.select("cid", "rep"), "cid")
-              .select("cid", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_th")))
+    wanted = (members.select("cid").distinct().join(classes.select("cid", "rep", "sketch"), "cid")
+              .select("cid", "sketch", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_th")))
     texts = materialize(
         source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")))
-        .select("cid", "text").dropDuplicates(["cid"]), "near_texts")
+        .select("cid", "sketch", "text").dropDuplicates(["cid"]), "near_texts")
 
     stars = members.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-    first = components(verify(_grouped(stars), texts))
+    first = components(verify(_grouped(stars), texts.drop("sketch")))
     rooted = members.join(first.withColumnRenamed("id", "cid"), "cid", "left").select(
         "bk", "cid", "members", F.coalesce("root", "cid").alias("root"))
     # A bucket of two was settled by its star.
@@ -280,13 +271,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .select("bk", "cid", "root", F.when(F.col("i") == F.col("j"), 1).when(F.col("i") < F.col("j"), 0)
                       .otherwise(2).alias("side"),
                       F.concat_ws("_", "bk", F.least("i", "j"), F.greatest("i", "j")).alias("g"))
-              .join(classes.select("cid", "sketch"), "cid"))
-    n, kinds = partitions(docs.sparkSession), "g string, bk long, cid long, root long, side int, sketch binary"
-    needed = (blocks.select("g", "bk", "cid", "root", "side", "sketch").repartition(n, "g").sortWithinPartitions("g")
-              .mapInPandas(lambda frames: by_group(frames, _needed), kinds))
-    second = (needed.join(texts, "cid").repartition(n, "g").sortWithinPartitions("g")
-              .mapInPandas(lambda frames: by_group(frames, _block_links), "a long, b long"))
-    second = materialize(second, "near_second")
+              .join(texts, "cid"))
+    second = materialize(
+        blocks.repartition(partitions(docs.sparkSession), "g").sortWithinPartitions("g")
+        .mapInPandas(lambda frames: by_group(frames, _block_links), "a long, b long"), "near_second")
 
     def root_of(end: str, name: str) -> DataFrame:
         return first.select(F.col("id").alias(end), F.col("root").alias(name))
