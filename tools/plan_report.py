@@ -35,7 +35,7 @@ def main() -> None:
         run = df._jdf.queryExecution()
         run.toRdd().count()                 # runs this very plan, so that it is the final one
         p = run.executedPlan().toString()
-        p = p.split("== Initial Plan ==")[0]
+        p = p.split("\n+- == Initial Plan ==")[0]
         py = "MapInPandas" in p or "ArrowEvalPython" in p
         flags = ", ".join(f for f in FLAGS if f in p) or "-"
         lines.append(f"| `{n}` | {p.count('Exchange hashpartitioning')} | {p.count('rangepartitioning')} | "
