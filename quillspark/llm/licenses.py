@@ -59,8 +59,18 @@ PERFORMANCE OF THIS SOFTWARE."""),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
+# The SQL check's rule: it drops every line that begins with a mark. Equal to NOTICE_LINE where all such lines are notices.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*((copyright|\(c\)|©)[^\n]*|all rights reserved\.?[ \t]*)"
 
+# A notice: marks followed by a year or a holder's placeholder, "copyright" and a sign together, or a line that ends
+# in "all rights reserved". Other lines that begin with a mark are text ("copyright notice ...", a clause "(c) You ...").
+_YEAR = r"[\[<{(]?(19|20)[0-9]{2}(?![0-9])"
+_HOLDER = r"([\[<{(]+[^\n\]>})]{0,60}(year|yyyy|date|name|owner|holder|author|compan|organi)|yyyy|year[ \t]+name)"
+NOTICE_LINE = (r"(^|\n)[ \t]*(((copyright|\(c\)|©)[ \t:,]*)+(" + _YEAR + "|" + _HOLDER + r")[^\n]*"
+               r"|(copyright[ \t]*(\(c\)|©)|©[ \t]*copyright)[^\n]*"
+               r"|(copyright|©)[^\n]*all rights reserved[. \t\r]*(?![^\n])"
+               r"|all rights reserved\.?[ \t]*)")
+
 
 def _same(out: Column, words: bool) -> Column:
     """Equivalents of one word, or those of several, between doubled spaces."""
@@ -72,7 +82,7 @@ def _same(out: Column, words: bool) -> Column:
 
 def _marked(text: Column) -> Column:
     """Words between doubled spaces, line breaks kept as words of their own."""
-    out = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(F.translate(text, UPPER, LOWER), NOTICE_LINE, "\n")
     out = F.replace(F.regexp_replace(out, "[^a-z0-9\n]+", "  "), F.lit("\n"), F.lit("  \n  "))
     return _same(F.concat(F.lit(" "), out, F.lit(" ")), words=True)
 
@@ -84,7 +94,7 @@ def _finish(marked: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """Lower-case words of ASCII letters and digits, one space between, without
-    copyright lines and with one spelling of equivalent words."""
+    copyright notices and with one spelling of equivalent words."""
     return _finish(_marked(text))
 
 

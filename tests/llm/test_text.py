@@ -3,11 +3,13 @@
 import base64
 import hashlib
 import re
+import textwrap
 
 import duckdb
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, licenses, quality, toxicity
 
@@ -74,6 +76,31 @@ def test_license_rules(spark):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def wrapped(text, widths):
+    return {w: "\n".join(textwrap.fill(x, w) for x in text.split("\n")) for w in widths}
+
+
+def canonicals(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    return [r.c for r in rows.select("i", licenses.canonical(F.col("text")).alias("c")).orderBy("i").collect()]
+
+
+def test_only_notices_leave_a_license_text(spark):
+    known = {i: t for i, t in licenses.KNOWN_TEXTS if i in ("MIT", "ISC") and len(t) > 100}
+    rows = [(f"{i} {w}", i, "Copyright (c) 2020 Some One\n\n" + t) for i, text in known.items()
+            for w, t in wrapped(" ".join(text.split()), range(20, 121)).items()]
+    docs = spark.createDataFrame([(a, t) for a, _, t in rows], "doc_id string, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(docs).collect()}
+    assert got == {a: i for a, i, _ in rows}
+    body = ["(c) You must retain, in the Source form", "copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE",
+            "Copyright Law of the land applies", "(c) Copyright notices stay", "(c) 20000 copies"]
+    assert all(canonicals(spark, ["first\n" + x + "\nlast" for x in body])[k] != "first last" for k in range(len(body)))
+    notices = ["Copyright 2020 A", "copyright (c) 1999-2004, B", "(C) 2011 C", "© 2020 D", "Copyright © E Inc.", "(c) Copyright 2001 F",
+               "Copyright [yyyy] [name of copyright owner]", "Copyright <YEAR> <COPYRIGHT HOLDER>", "(c) {{ year }} {{ organization }}",
+               "Copyright G, Inc. and others. All rights reserved.", "\tCopyright: 2020 H\nCopyright 2021 I"]
+    assert set(canonicals(spark, ["first\n" + x + "\nlast" for x in notices])) == {"first last"}
+
+
 def labelled(spark, folder, column):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     truth = dict(duckdb.sql(f"select doc_id, {column} from '{folder}/labels.parquet'").fetchall())
