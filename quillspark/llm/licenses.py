@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import LOWER, UPPER, text_or_empty
+from quillspark.llm.license_texts import whole_texts
 from quillspark.sinks.snapshots import materialize
 
 # Spellings that licence matching guidelines treat as the same, as whole words.
@@ -112,10 +113,18 @@ def canonical_sql(text: str) -> tuple[str, str]:
     return marked, f"trim(replace({done}, '  ', ' '))"
 
 
-def known_digests(spark: SparkSession, texts=KNOWN_TEXTS) -> DataFrame:
-    """(digest, license_id): one row per canonical text; the first identifier by name counts."""
-    rows = spark.createDataFrame([(a, b) for a, b in texts], "license_id string, text string")
-    return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+def known_digests(spark: SparkSession, texts=None) -> DataFrame:
+    """(digest, license_id): one row per canonical text; the first identifier by name counts.
+
+    ``texts`` are pairs (license_id, text); by default ``KNOWN_TEXTS`` and the
+    whole texts of ``license_texts``, each with and without its titles."""
+    given = [(a, [""], b) for a, b in (KNOWN_TEXTS if texts is None else texts)]
+    if texts is None:
+        given += whole_texts(KNOWN_TEXTS[:3])
+    rows = spark.createDataFrame(given, "license_id string, titles array<string>, text string").select(
+        "license_id", canonical(F.col("text")).alias("text"), F.explode("titles").alias("title"))
+    whole = F.trim(F.concat_ws(" ", canonical(F.col("title")), F.col("text")))
+    return rows.groupBy(F.sha2(whole, 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id",

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, licenses, quality, toxicity
+from quillspark.llm import bpe, license_texts, licenses, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -101,6 +101,29 @@ def test_only_notices_leave_a_license_text(spark):
     assert set(canonicals(spark, ["first\n" + x + "\nlast" for x in notices])) == {"first last"}
 
 
+def test_whole_licenses_with_and_without_title(spark):
+    notice = "Copyright (c) 2020 Some One\nAll rights reserved.\n\n"
+    short = {"MIT": licenses.KNOWN_TEXTS[0][1], "ISC": licenses.KNOWN_TEXTS[1][1], "0BSD": licenses.KNOWN_TEXTS[2][1],
+             "BSD-2-Clause": (license_texts.BSD_2 + license_texts.BSD_END).format(by="AUTHOR", of="AUTHOR"),
+             "BSD-3-Clause": (license_texts.BSD_3 + license_texts.BSD_END).format(
+                 holder="the copyright holder", its="its", by="COPYRIGHT HOLDERS AND CONTRIBUTORS", of="COPYRIGHT HOLDER OR CONTRIBUTORS"),
+             "Zlib": license_texts.ZLIB}
+    rows = [(i, x + t) for i, text in short.items() for t in wrapped(text, (40, 60, 72, 80, 100)).values()
+            for x in ("", notice, *(f"{title}\n\n{notice}" for title in license_texts.TITLES[i]))]
+    for i in license_texts.TITLE_LINES:
+        title, text = license_texts.published(i)
+        rows += [(i, text), (i, title + "\n" + text), (i, (title + "\n" + text).replace("https:", "http:"))]
+        rows += [(i, f"{x}\n{t}") for t in wrapped(text, (80, 90, 100)).values() for x in ("", title)]
+    assert len({i for i, _ in rows}) == len(license_texts.TITLES) == 15
+    apache = "\n".join(license_texts.published("Apache-2.0"))
+    rows += [("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2021 Some One")),
+             ("Apache-2.0", apache.split(license_texts.TERMS)[0]), (None, apache.replace("perpetual", "passing"))]
+    rows += [("Apache-2.0", t) for t in wrapped(apache, range(50, 121, 10)).values()]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(docs).collect()}
+    assert [(i, t[:60]) for k, (i, t) in enumerate(rows) if got[k] != i] == []
+
+
 def labelled(spark, folder, column):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     truth = dict(duckdb.sql(f"select doc_id, {column} from '{folder}/labels.parquet'").fetchall())
