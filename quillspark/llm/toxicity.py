@@ -60,17 +60,26 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_lexicon(train: DataFrame) -> dict[str, float]:
     """The ``LEXICON`` terms that speak most for label 1, by signed log-likelihood
     ratio of their rates, with their log odds. Terms in fewer than ``MIN_DOCS``
-    documents of the label don't count."""
+    documents of the label don't count, nor does a prefix that speaks for label 1
+    by one word alone: without its most used word the rest must do so too."""
     counts = train.select("text", "label").mapInArrow(_count_terms, "term string, label int, docs long, uses long")
-    by_term = (counts.groupBy("term").agg(*[F.sum(F.when(F.col("label") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
-                                            for k in (0, 1) for c in ("docs", "uses")]))
+    by_term = materialize(counts.groupBy("term").agg(*[F.sum(F.when(F.col("label") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
+                                                       for k in (0, 1) for c in ("docs", "uses")]), "toxic_terms")
     sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    rate1, rate0 = (F.col("uses1") + 0.5) / (n1 + 1), (F.col("uses0") + 0.5) / (n0 + 1)
-    odds = F.log(rate1 / rate0)
-    top = (by_term.where((F.col("docs1") >= min(MIN_DOCS, max(2, n1 // 20))) & (odds > 1)).select(
-        "term", odds.alias("odds"), (F.col("uses1") * odds - (F.col("uses1") - F.col("uses0"))).alias("gain"))
-        .orderBy(F.desc("gain"), "term").limit(LEXICON))
+
+    def log_odds(uses1, uses0):
+        return F.log((uses1 + 0.5) / (n1 + 1) / ((uses0 + 0.5) / (n0 + 1)))
+    odds = log_odds(F.col("uses1"), F.col("uses0"))
+    candidates = by_term.where((F.col("docs1") >= min(MIN_DOCS, max(2, n1 // 20))) & (odds > 1))
+    starts = [F.when(F.length("term") >= n, F.concat(F.substring("term", 1, n), F.lit("*"))) for n in PREFIXES]
+    first = (by_term.where(~F.col("term").endswith("*") & (F.col("uses1") > 0))
+             .select(F.explode(F.array_compact(F.array(*starts))).alias("term"), "uses1", (-F.col("uses0")).alias("less0"))
+             .groupBy("term").agg(F.max(F.struct("uses1", "less0")).alias("first")))
+    rest1, rest0 = F.col("uses1") - F.col("first.uses1"), F.col("uses0") + F.col("first.less0")
+    top = (candidates.join(first, "term", "left").where(~F.col("term").endswith("*") | ((rest1 > 0) & (log_odds(rest1, rest0) > 1)))
+           .select("term", odds.alias("odds"), (F.col("uses1") * odds - (F.col("uses1") - F.col("uses0"))).alias("gain"))
+           .orderBy(F.desc("gain"), "term").limit(LEXICON))
     return {r["term"]: float(min(r["odds"], 6.0)) for r in top.collect()}
 
 

@@ -177,6 +177,19 @@ def test_features_of_junk_and_insults():
     assert f["hits"] == pytest.approx(2 / 6) and f["near_you"] > 0 and f["obfuscated"] > 0 and f["top_weight"] == 3.0
 
 
+def test_lexicon_places_go_to_distinct_words(spark):
+    insults = [f"{a}{b}tten" for a in ("zu", "vo", "ki", "ra", "pe", "lo", "ga", "mi") for b in ("bra", "nel", "sof", "tup", "wik",
+                                                                                         "dro", "fam", "hes", "jol", "que")]
+    rows = [(f"plain text {w} here, {w}!", 1) for w in insults for _ in range(12)] + [("pathetic you", 1)] * 30
+    rows += [(f"{w} talk", 1) for w in ("achlich", "achlicht", "achlung") for _ in range(12)] + [("the path here", 0)] * 5
+    rows += [("plain text here you talk", 0)] * len(rows)
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int").repartition(4))
+    assert set(insults) <= set(lexicon)
+    assert {"pathetic", "achlich", "achl*", "achli*"} <= set(lexicon) and not {"path*", "pathe*", "pathet*", "achlu*"} & set(lexicon)
+    weights = toxicity._TokenWeights(lexicon)
+    assert weights["path"] == 0 and weights["achlisch"] > 0 and weights["Pathetic!"] > 0
+
+
 def test_pipeline_matches_plain_steps(spark, encoder):
     import corpus_pipeline as cp
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
