@@ -162,3 +162,41 @@ from t left join known on known.digest = t.text_digest left join f on f.doc_id =
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.licenses import scan_licenses
     return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+@query("op11_pii")
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.pii import pii_digests
+    return pii_digests(_table(spark, sf_dir, "documents"))
+
+
+@query("op12_align")
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.align import alignment_counts
+    return alignment_counts(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id, list_dot_product(a.e, b.e)::bigint as score
+      from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select p.*, s.vec_id as negative_id, s.score as negative_score,
+             row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+      from p join s on s.anchor_id = p.anchor_id and not same
+       and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.negatives import hard_negatives
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", shifted.alias("label"), "embedding")
+    return hard_negatives(vectors, F.col("vec_id") % 50 == 0)
