@@ -101,15 +101,17 @@ def _plain(c: str) -> str | None:
 # Homoglyphs, other digits, spaces and dashes, full-width and styled letters, invisible characters.
 PLAIN = {c: p for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800), *range(0xE0000, 0xE0080)])
          if (p := _plain(c)) is not None}
-ODD = re.compile("[" + "".join(map(re.escape, PLAIN)) + "]")
+ODD = re.compile(r"[^\x00-\x9f\u00c0-\u0130\u0132-\u024f]")         # all but ASCII and Latin letters
 
 _ANY_DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _GAP = r"(?:[ \t]?[,-][ \t]{0,2}|[ \t]{1,2})"
 _AT, _DOTS = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 WORDS = re.compile(r"[^\W_]+")
 TRIGGERS = {*DIGIT_WORDS, *AT_WORDS, *DOT_WORDS, "plus", "double", "triple"} - {"at", "un", "oh"}
-SIGNS = re.compile(r"[\[({<]\s{0,3}(?:at|@|\.)|&[#a-z]|%40|%2e|[\])}>]@|[a-z0-9][ \t]@|@[ \t]|[0-9][ol]|[ol][0-9]|\.[ol]\.|\+[oli]|[a-z]dot[a-z]"
-                   r"|[ \t](?:at|arroba|arobase)[ \t]{1,3}[a-z0-9-]{1,63}+\.[a-z0-9]", re.I)
+BRACKETED = re.compile(r"[\[({<]\s{0,3}(?:at|@|\.)", re.I)
+SPACED = re.compile(r"[ \t]@|@[ \t]")
+NAMED = re.compile(r" (?:at|arroba|arobase)[ \t]{1,3}[a-z0-9-]{1,63}+\.[a-z0-9]")
+NEAR_DIGIT = re.compile(r"[0-9.+][OolI]|[OolI][0-9]")
 ENTITIES = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "%40": "@", "&#46;": DOT, "&#x2e;": DOT, "&period;": DOT, "%2e": DOT,
             "&#43;": "+", "&#x2b;": "+", "&plus;": "+"}
 BRACKETED_DOT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]{{0,3}}[\[({{<]\s{{0,3}}(?:{_DOTS}|\.)\s{{0,3}}[\])}}>][ \t]{{0,3}}(?=[A-Za-z0-9])", re.I)
@@ -175,15 +177,21 @@ def _word_at(m: re.Match) -> str | None:
     return "@" if name and re.search(r"[A-Za-z]", name[0]) and re.search(r"[0-9]|[a-z0-9][._+][A-Za-z0-9]", name[0]) else None
 
 
+def _disguised(text: str) -> bool:
+    """Whether any rule but the one of odd characters may apply: cheap tests first."""
+    lower = text.lower()
+    return bool("DOT" in text or any(e in lower for e in ENTITIES) or not TRIGGERS.isdisjoint(WORDS.findall(lower))
+                or BRACKETED.search(text) or ("@" in text and SPACED.search(text)) or NAMED.search(lower) or NEAR_DIGIT.search(text))
+
+
 def normalise(text: str) -> Tape | None:
     """The text without disguises; None where there is none."""
-    lower = text.lower()
-    odd = not text.isascii() and ODD.search(text)
-    if not odd and not SIGNS.search(text) and TRIGGERS.isdisjoint(WORDS.findall(lower)):
+    odd = not text.isascii() and not PLAIN.keys().isdisjoint(ODD.findall(text))
+    if not odd and not _disguised(text):
         return None
     tape = Tape(text)
     if odd:
-        tape.rewrite(ODD, lambda m: PLAIN[m[0]])
+        tape.rewrite(ODD, lambda m: PLAIN.get(m[0]))
     tape.rewrite(re.compile("|".join(map(re.escape, ENTITIES)), re.I), lambda m: ENTITIES[m[0].lower()])
     for dot in (BRACKETED_DOT, WORD_DOT, GLUED_DOT):
         tape.rewrite(dot, lambda m: DOT)
