@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import sentencepiece
+import tiktoken
 import tokenizers
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
@@ -21,6 +26,12 @@ from quillspark.sinks.snapshots import materialize
 SLICE_BYTES = 200_000       # text that is tokenised at once
 BLOCK_LINKS = 2_000_000     # links whose id pairs are counted in the task before they are shuffled
 PIECE = 65_536              # id pairs in one stored row
+LONG = 100_000              # characters from which a text goes to the model whole
+
+# Fixed value: where the byte-level model cuts a text before its merges.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Characters outside of these may be classed differently by two Unicode versions.
+UNSETTLED = regex.compile("[^\x20-\x7e\t\n\u00a0-\u024f\u0410-\u044f\u2010-\u2027\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]")
 
 _LOADED: dict[int, "Pair"] = {}
 
@@ -39,10 +50,45 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def byte_ranks(model: bytes) -> dict[bytes, int]:
+    """Bytes of the tokens of a byte-level model -> ids, without added tokens."""
+    alphabet, content = byte_alphabet(), json.loads(model)
+    added = {t["id"] for t in content["added_tokens"]}
+    return {bytes(alphabet[c] for c in t): i for t, i in content["model"]["vocab"].items() if i not in added}
+
+
+def merges_by_rank(model: bytes) -> bool:
+    """Whether merging the neighbours that make the token of least id gives what the
+    model's list of merges gives. It does if ids follow the order of the list and if
+    each token, merged alone from tokens of smaller id, comes from its listed halves:
+    inside a pre-token, the bytes that end as two halves never met those around them."""
+    content = json.loads(model)
+    cut, ranks, alphabet = content["pre_tokenizer"], byte_ranks(model), byte_alphabet()
+    if content["normalizer"] or cut["type"] != "ByteLevel" or not cut["use_regex"] or cut["add_prefix_space"]:
+        return False
+    last = 255
+    for merge in content["model"]["merges"]:
+        halves = [bytes(alphabet[c] for c in half) for half in (merge.split(" ") if isinstance(merge, str) else merge)]
+        token = b"".join(halves)
+        last += 1
+        if ranks.get(token) != last:
+            return False
+        parts = [token[i: i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            rank, at = min((ranks.get(parts[i] + parts[i + 1], last), i) for i in range(len(parts) - 1))
+            if rank >= last:
+                break
+            parts[at: at + 2] = [parts[at] + parts[at + 1]]
+        if parts != halves:
+            return False
+    return len(ranks) == last + 1
+
+
 class Pair:
     """Both tokenizers and the bytes of their tokens."""
 
-    def __init__(self, a: bytes, b: bytes):
+    def __init__(self, a: bytes, b: bytes, by_rank: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"         # Spark has a task on every core
         self.a = tokenizers.Tokenizer.from_str(a.decode())
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
@@ -51,6 +97,7 @@ class Pair:
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+        self.ranks = tiktoken.Encoding("a", pat_str=PRE_TOKENS, special_tokens={}, mergeable_ranks=byte_ranks(a)) if by_rank else None
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(self.b.id_to_piece(list(range(self.b.get_piece_size()))))]
         self.a_size = np.array([len(x) for x in self.a_bytes])
@@ -59,9 +106,15 @@ class Pair:
         self.words = [str(i) + mark for mark in (",", "|", ";", "") for n in (len(self.a_bytes), len(self.b_bytes)) for i in range(n)]
         self.n_words = len(self.a_bytes) + len(self.b_bytes)
 
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        """Ids of A, by ranks where these give the same: see ``merges_by_rank``."""
+        whole = [t for t in texts if not self.ranks or len(t) >= LONG or UNSETTLED.search(t)]
+        ids = iter([e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)] if whole else [])
+        return [next(ids) if not self.ranks or len(t) >= LONG or UNSETTLED.search(t) else self.ranks.encode_ordinary(t) for t in texts]
+
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both for each text; none where either does not give the text back."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        a = self.encode_a([" " + t for t in texts])
         b = self.b.encode(texts, num_threads=1)
         for i, t in enumerate(texts):
             raw = b" " + t.encode()
@@ -105,7 +158,7 @@ class Aligned:
 
     def __init__(self, pair: Pair, a: list[list[int]], b: list[list[int]]):
         self.n_a, self.n_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-        self.ids = np.array([i for side in (a, b) for x in side for i in x], np.int64)
+        self.ids = np.fromiter(chain.from_iterable(chain(a, b)), np.int64, int(self.n_a.sum() + self.n_b.sum()))
         total = int(self.n_a.sum())
         self.kind = (np.arange(len(self.ids)) >= total).astype(np.int64)
         texts = np.arange(len(a))
@@ -195,7 +248,7 @@ def _share(docs: DataFrame, models: tuple[str, str] | None) -> Broadcast:
     for path in models or default_models():
         with open(path, "rb") as f:
             raw.append(f.read())
-    return docs.sparkSession.sparkContext.broadcast(tuple(raw))        # two vocabulary files
+    return docs.sparkSession.sparkContext.broadcast((*raw, merges_by_rank(raw[0])))        # two vocabulary files
 
 
 DOC = ("block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "

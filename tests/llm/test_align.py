@@ -1,6 +1,7 @@
 """Alignment of tokenizers against plain loops."""
 
 import hashlib
+import json
 from collections import Counter
 
 import numpy as np
@@ -15,7 +16,7 @@ def models():
     for path in align.default_models():
         with open(path, "rb") as f:
             out.append(f.read())
-    return align.Pair(*out)
+    return align.Pair(*out, align.merges_by_rank(out[0]))
 
 
 PAIR = models()
@@ -67,6 +68,19 @@ def want(texts):
     return out
 
 
+def test_ranks_give_the_ids_of_the_model():
+    with open(align.default_models()[0], "rb") as f:
+        raw = f.read()
+    assert align.merges_by_rank(raw)
+    swapped = json.loads(raw)
+    swapped["model"]["merges"][:2] = swapped["model"]["merges"][1::-1]
+    assert not align.merges_by_rank(json.dumps(swapped).encode())
+    rng = np.random.default_rng(1)
+    tokens = [t.replace("\u0120", " ") for t in sorted(PAIR.a.get_vocab()) if t.replace("\u0120", " ").isascii()]
+    texts = [" " + "".join(rng.choice(tokens, 60)) for _ in range(3000)] + [" " + t for t in TEXTS if t]
+    assert PAIR.encode_a(texts) == [e.ids for e in PAIR.a.encode_batch(texts, add_special_tokens=False)]
+
+
 DOCS = "doc_id long, text string, block long, a int, codes string, n int"
 
 
