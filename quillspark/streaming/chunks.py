@@ -1,22 +1,24 @@
 """Incremental assembly of a streamed answer and the save on finish.
 
 Chunks are byte pieces ``(request_id, chunk_no, chunk, is_last)``; a
-multi-byte character may straddle two chunks.  Per request the state keeps
-the contiguous assembled bytes plus any early (out-of-order) chunks; every
-update emits the running text — the longest prefix that is valid UTF-8, so
-a split character is held back.  Redelivered chunks are ignored: those below
-the next wanted number at once, and for a finished request all of them, as
-long as its mark is kept (``FINISHED_MS``).  The bytes are dropped when the
-last chunk has been joined, so state stays bounded by the requests in flight
-and the marks of those just finished.
+multi-byte character may straddle two chunks. An update emits the characters it
+adds to the running text; the sink is the log of these pieces, and each is
+written once. State per request holds no text: the next wanted number, the bytes
+of a cut character and early (out-of-order) chunks. An answer is put together
+from its pieces when it is finished; as the state knows the micro-batch of its
+first piece, only the log's partitions from there on are read. Redelivered
+chunks are ignored: those below the next wanted number at once, and for a
+finished request all of them, as long as its mark is kept (``FINISHED_MS``).
 """
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,6 +26,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quillspark.session import ship_package
 
 FINISHED_MS = 3_600_000        # how long a finished request is remembered
+BATCH_ID = "streaming.sql.batchId"      # local property that tasks of a micro-batch see
 
 CHUNK_SCHEMA = T.StructType([
     T.StructField("request_id", T.LongType()),
@@ -34,32 +37,29 @@ CHUNK_SCHEMA = T.StructType([
 
 OUT_SCHEMA = T.StructType([
     T.StructField("request_id", T.LongType()),
+    T.StructField("first_batch", T.LongType()),
     T.StructField("n_chunks", T.LongType()),
-    T.StructField("text", T.StringType()),
+    T.StructField("added", T.StringType()),
     T.StructField("done", T.BooleanType()),
 ])
 
 STATE_SCHEMA = T.StructType([
-    T.StructField("assembled", T.BinaryType()),
+    T.StructField("first_batch", T.LongType()),
     T.StructField("next_no", T.LongType()),
     T.StructField("last_no", T.LongType()),
-    T.StructField("pending_no", T.ArrayType(T.LongType())),
-    T.StructField("pending", T.ArrayType(T.BinaryType())),
+    T.StructField("held", T.BinaryType()),
+    T.StructField("early_no", T.ArrayType(T.LongType())),
+    T.StructField("early", T.ArrayType(T.BinaryType())),
     T.StructField("finished", T.BooleanType()),
 ])
 
 
-def valid_prefix_text(b: bytes, final: bool) -> str:
-    """Decode the longest valid UTF-8 prefix (an incomplete tail waits);
-    once final, invalid bytes become U+FFFD as a streaming decoder does."""
-    if final:
-        return b.decode("utf-8", errors="replace")
-    for cut in range(len(b), max(len(b) - 4, -1), -1):
-        try:
-            return b[:cut].decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-    return b.decode("utf-8", errors="replace")
+def decode_piece(held: bytes, new: bytes, final: bool) -> tuple[str, bytes]:
+    """Characters that ``held + new`` completes, and the bytes of a cut character
+    that wait; invalid bytes become U+FFFD, as a streaming text decoder emits them."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    text = decoder.decode(held + new, final)
+    return text, decoder.getstate()[0]
 
 
 def _assemble(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -67,44 +67,72 @@ def _assemble(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterat
         state.remove()
         return
     if state.exists:
-        assembled, next_no, last_no, pno, pbytes, finished = state.get
+        first_batch, next_no, last_no, held, early_no, early, finished = state.get
         if finished:
             state.setTimeoutDuration(FINISHED_MS)
             return
-        pending = dict(zip(pno or [], pbytes or []))
-        assembled = bytes(assembled)
+        waiting = dict(zip(early_no or [], early or []))
     else:
-        assembled, next_no, last_no, pending = b"", 0, -1, {}
+        context = TaskContext.get()
+        first_batch = int((context and context.getLocalProperty(BATCH_ID)) or 0)
+        next_no, last_no, held, waiting = 0, -1, b"", {}
     for pdf in batches:
         for no, chunk, last in zip(pdf["chunk_no"], pdf["chunk"], pdf["is_last"]):
-            if int(no) < next_no:
-                continue
-            pending[int(no)] = bytes(chunk)
-            if last:
-                last_no = int(no)
-    parts = [assembled]
-    while next_no in pending:
-        parts.append(pending.pop(next_no))
+            if int(no) >= next_no:
+                waiting[int(no)] = bytes(chunk)
+                last_no = int(no) if last else last_no
+    parts = []
+    while next_no in waiting:
+        parts.append(waiting.pop(next_no))
         next_no += 1
-    assembled = b"".join(parts)
-    done = last_no >= 0 and next_no > last_no
-    text = valid_prefix_text(assembled, done)
+    done = 0 <= last_no < next_no
+    added, held = decode_piece(bytes(held), b"".join(parts), done)
     if done:
-        state.update((b"", next_no, last_no, [], [], True))
+        state.update((first_batch, next_no, last_no, b"", [], [], True))
         state.setTimeoutDuration(FINISHED_MS)
     else:
-        nos = sorted(pending)
-        state.update((assembled, next_no, last_no, nos, [pending[n] for n in nos], False))
-    yield pd.DataFrame({"request_id": [key[0]], "n_chunks": [next_no], "text": [text], "done": [done]})
+        nos = sorted(waiting)
+        state.update((first_batch, next_no, last_no, held, nos, [waiting[n] for n in nos], False))
+    yield pd.DataFrame({"request_id": [key[0]], "first_batch": [first_batch], "n_chunks": [next_no], "added": [added], "done": [done]})
 
 
 def assemble_stream(chunks: DataFrame) -> DataFrame:
-    """T1 on a streaming (or batch) DataFrame of chunks: running text per request."""
+    """T1 on a streaming (or batch) DataFrame of chunks: one row per request and update."""
     ship_package(chunks.sparkSession)
     return chunks.groupBy("request_id").applyInPandasWithState(
         _assemble, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def update_log(spark: SparkSession, path: str) -> DataFrame:
+    """The stored updates, partitioned by micro-batch."""
+    full = T.StructType([*OUT_SCHEMA.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(full).option("basePath", path).parquet(path)
+
+
+def running_text(updates: DataFrame) -> DataFrame:
+    """The running text after each stored update: what was added so far, in order."""
+    so_far = Window.partitionBy("request_id").orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return updates.withColumn("text", F.array_join(F.collect_list("added").over(so_far), ""))
+
+
+def joined_text(updates: DataFrame) -> DataFrame:
+    """(request_id, text, n_chunks) of finished answers: the pieces of one answer, in order."""
+    pieces = updates.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("batch", "added"))).alias("_p"),
+                                               F.max("n_chunks").alias("n_chunks"), F.bool_or("done").alias("_done"))
+    return pieces.where("_done").select("request_id", F.array_join(F.col("_p.added"), "").alias("text"), "n_chunks")
+
+
+def save_finished(spark: SparkSession, updates: str, log: str, batch_id: int) -> None:
+    """The answers that a stored micro-batch finished, saved once. Their pieces
+    lie between the first micro-batch of the oldest of them and this one."""
+    stored = update_log(spark, updates)
+    finished = stored.where((F.col("batch") == batch_id) & F.col("done")).select("request_id", "first_batch")
+    oldest = finished.agg(F.min("first_batch")).first()[0]
+    mine = stored.where(F.col("batch").between(batch_id if oldest is None else oldest, batch_id))
+    (joined_text(mine.join(finished.select("request_id"), "request_id", "left_semi"))
+     .select("request_id", F.col("text").alias("content"), "n_chunks").write.mode("overwrite").parquet(f"{log}/batch={batch_id}"))
+
+
 def assemble_batch(chunks: DataFrame) -> DataFrame:
     """Ordered concatenation of all chunks per request, decoded once.
 

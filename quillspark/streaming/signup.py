@@ -1,46 +1,27 @@
 """T4: the after-insert trigger on signups as a stream of upserts.
 
-The usage table is stored in versions of hash buckets of the user:
-``base/v=<version>/bucket=<b>``.  A micro-batch reads the newest version of
-the buckets its signups fall into, applies the signup upsert (D10) there, and
-writes those buckets as its own version; others are not touched.  Readers
-take the newest version of each bucket.  Nothing is overwritten but a replayed
-batch's own version, which starts from the versions below it again.
+The usage table is kept in hash buckets of the user with a commit log
+(``sinks.bucketed``). A micro-batch rewrites the buckets its signups fall into
+by the signup upsert (D10); others are not touched. Readers open the folders
+that the newest manifest names, however many micro-batches came before. A
+writer that dies before its commit leaves files that nobody reads; the replayed
+micro-batch replaces them, and one that was committed changes nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 
-from quillspark.operators.usage import USAGE_COLS, signup_upsert
-from quillspark.sinks.snapshots import complete_versions, write_snapshot
+from quillspark.operators.usage import signup_upsert
+from quillspark.sinks.bucketed import BucketTable, stored
 
-BUCKETS = 64        # default; a table's own number is passed to every call
+STREAM = "signups"
 
 
-def bucket_of(user_id: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(user_id), F.lit(buckets)).cast("int")
-
-
-def write_bucketed(usage: DataFrame, base: str, version: int = 0, buckets: int = BUCKETS) -> None:
-    rows = usage.select(*USAGE_COLS).withColumn("bucket", bucket_of(F.col("user_id"), buckets))
-    write_snapshot(rows.repartition("bucket"), base, version, ["bucket"])
-
-
-def read_bucketed(spark: SparkSession, base: str, below: int | None = None, touched: DataFrame | None = None) -> DataFrame:
-    """Current rows (of the ``touched`` buckets): the newest complete version of each bucket."""
-    versions = [v for v in complete_versions(spark, base) if below is None or v < below]
-    rows = spark.read.option("basePath", base).parquet(*[f"{base}/v={v}" for v in versions])
-    if touched is not None:
-        rows = rows.join(touched, "bucket", "left_semi")
-    newest = rows.groupBy("bucket").agg(F.max("v").alias("v"))
-    return rows.join(newest, ["bucket", "v"], "left_semi").select(*USAGE_COLS)
-
-
-def signup_batch_writer(base: str, admins: DataFrame, testers: DataFrame, as_of: Column, buckets: int = BUCKETS):
+def signup_batch_writer(table: BucketTable, admins: DataFrame, testers: DataFrame, as_of: Column):
     def apply(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select(bucket_of(F.col("id"), buckets).alias("bucket")).distinct()
-        current = read_bucketed(batch.sparkSession, base, batch_id + 1, touched)
-        write_bucketed(signup_upsert(current, batch, admins, testers, as_of), base, batch_id + 1, buckets)
+        if table.done(STREAM, batch_id):
+            return
+        signups = stored(batch.select("id", "email"), f"signups_{batch_id}")
+        table.update(lambda rows: signup_upsert(rows, signups, admins, testers, as_of), signups, "id", STREAM, batch_id)
     return apply

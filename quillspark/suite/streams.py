@@ -7,17 +7,16 @@ holds as a batch DataFrame.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from quillspark.registry import _ORACLES, query
 from quillspark.session import shared_path
+from quillspark.sinks.bucketed import BucketTable
 from quillspark.sources import fixtures as fx
 from quillspark.sources.fixture_sql import with_views
 from quillspark.sources.tables import Tables
 from quillspark.streaming import chunks as CH
 from quillspark.streaming import quota as QS
-from quillspark.streaming.runner import read_files, run_to_completion, stage_files
-from quillspark.streaming.signup import read_bucketed, signup_batch_writer, write_bucketed
+from quillspark.streaming.runner import read_files, run_to_completion, stage_files, stage_in_order
+from quillspark.streaming.signup import signup_batch_writer
 from quillspark.suite.usage import USAGE_OUT
 
 BATCHES = 4        # micro-batches per stream; their files grow with the shuffle parallelism
@@ -38,10 +37,9 @@ def _chunk_stream(spark, sf):
     ckpt = shared_path(spark, "stream-ckpt", "chunks")
 
     def on_batch(batch, batch_id):
-        # T1 sink: every running-text update; T2: finished answers saved once.
+        # T1 sink: every update, written once; T2 reads the finished answers back.
         batch.write.mode("overwrite").parquet(f"{updates}/batch={batch_id}")
-        done = batch.filter("done").select("request_id", F.col("text").alias("content"), "n_chunks")
-        done.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        CH.save_finished(spark, updates, log, batch_id)
 
     stream = CH.assemble_stream(read_files(spark, src, CH.CHUNK_SCHEMA, BATCHES))
     run_to_completion(spark, stream.writeStream.option("checkpointLocation", ckpt)
@@ -52,7 +50,7 @@ def _chunk_stream(spark, sf):
 @query("stream_chunk_assemble", "SELECT doc_id AS request_id, text FROM documents")
 def stream_chunk_assemble(spark, sf):
     updates, _ = _chunk_stream(spark, sf)
-    return spark.read.parquet(updates).filter("done").select("request_id", "text")
+    return CH.joined_text(CH.update_log(spark, updates)).select("request_id", "text")
 
 
 @query("stream_result_append", f"""
@@ -64,6 +62,19 @@ def stream_result_append(spark, sf):
     return spark.read.parquet(log).select("request_id", "content", "n_chunks")
 
 
+def _quota_stream(spark, sf):
+    """Run T3; return (decisions path, usage table). Requests arrive in time order."""
+    t = Tables(spark, sf)
+    req = fx.requests(t).select("request_id", "user_id", "ts")
+    src = stage_in_order(req, "requests", "ts")
+    out, base = shared_path(spark, "stream-out", "quota"), shared_path(spark, "tables", "quota_usage")
+    ckpt = shared_path(spark, "stream-ckpt", "quota")
+    table = QS.start_usage(fx.usage(t), base)
+    stream = read_files(spark, src, req.schema, BATCHES)
+    run_to_completion(spark, stream.writeStream.option("checkpointLocation", ckpt).foreachBatch(QS.quota_batch_writer(table, out)))
+    return out, table
+
+
 @query("stream_quota", with_views("requests_v", "usage_v") + """
 SELECT request_id, user_id, usage_before, (coalesce(is_premium, false) OR usage_before < max_usage) AS admitted
 FROM (SELECT q.request_id, q.user_id, u.max_usage, u.is_premium,
@@ -72,32 +83,31 @@ FROM (SELECT q.request_id, q.user_id, u.max_usage, u.is_premium,
       FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, request_id) AS rn FROM requests_v) q
       JOIN usage_v u ON u.user_id = q.user_id)""")
 def stream_quota(spark, sf):
-    t = Tables(spark, sf)
-    req = fx.requests(t).select("request_id", "user_id", "ts")
-    src = shared_path(spark, "stream-in", "requests")
-    out, base = shared_path(spark, "stream-out", "quota"), shared_path(spark, "tables", "quota_usage")
-    ckpt = shared_path(spark, "stream-ckpt", "quota")
-    QS.start_usage(fx.usage(t), base)
-    # Requests arrive week by week; all files of a week are one micro-batch.
-    week = F.date_trunc("week", F.col("ts"))
-    for (start,) in req.select(week.alias("w")).distinct().orderBy("w").collect():      # one row per week
-        req.filter(week == F.lit(start)).write.mode("append").parquet(src)
-        run_to_completion(spark, read_files(spark, src, req.schema).writeStream.option("checkpointLocation", ckpt)
-                          .foreachBatch(QS.quota_batch_writer(base, out)))
+    """The decisions of the stream."""
+    out, _ = _quota_stream(spark, sf)
     return spark.read.parquet(out).select("request_id", "user_id", "usage_before", "admitted")
 
 
+# The table after the stream is the batch's snapshot.
+@query("stream_quota_table", _ORACLES["usage_increment"])
+def stream_quota_table(spark, sf):
+    """The usage table that the stream leaves, rows and deltas added up."""
+    _, table = _quota_stream(spark, sf)
+    return QS.current(table).select(*USAGE_OUT)
+
+
 # Same final snapshot as the batch upsert over all signups at once: each
 # account signs up once, so applying the batches in turn changes nothing.
 @query("stream_signup_upsert", _ORACLES["usage_signup_upsert"])
 def stream_signup_upsert(spark, sf):
     """T4: signups streamed in batches through the upsert; final snapshot."""
     t = Tables(spark, sf)
-    base = shared_path(spark, "tables", "user_usage")
-    write_bucketed(fx.usage(t), base)
+    usage = fx.usage(t).select(*USAGE_OUT)
+    table = BucketTable(spark, shared_path(spark, "tables", "user_usage"), "user_id", usage.schema)
+    table.create(usage)
     src = stage_files(fx.signups(t), "signups", "id")
     ckpt = shared_path(spark, "stream-ckpt", "signups")
-    writer = signup_batch_writer(base, fx.admin_emails(t), fx.test_emails(t), fx.request_start())
+    writer = signup_batch_writer(table, fx.admin_emails(t), fx.test_emails(t), fx.request_start())
     stream = read_files(spark, src, fx.signups(t).schema, BATCHES)
     run_to_completion(spark, stream.writeStream.option("checkpointLocation", ckpt).foreachBatch(writer))
-    return read_bucketed(spark, base).select(*USAGE_OUT)
+    return table.rows().select(*USAGE_OUT)

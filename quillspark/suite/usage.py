@@ -10,6 +10,7 @@ from quillspark.functions.templates import sql_literal
 from quillspark.operators import usage as U
 from quillspark.registry import query
 from quillspark.session import shared_path
+from quillspark.sinks.bucketed import BucketTable
 from quillspark.sinks.snapshots import latest_version, materialize, write_snapshot
 from quillspark.sources import fixtures as fx
 from quillspark.sources.fixture_sql import with_views
@@ -312,3 +313,34 @@ def usage_backfill_ignore(spark, sf):
     t = Tables(spark, sf)
     return U.backfill(fx.usage(t), fx.users(t), fx.admin_emails(t), fx.test_emails(t),
                       _start(), ignore_conflicts=True).select(*USAGE_OUT)
+
+
+_EDITS_CTE = {
+    "u1": """SELECT u.user_id, u.email, u.usage_count,
+                    CAST(CASE WHEN c.user_id IS NOT NULL THEN c.max_usage ELSE u.max_usage END AS INTEGER) AS max_usage,
+                    CASE WHEN c.user_id IS NOT NULL THEN c.is_premium ELSE u.is_premium END AS is_premium, u.created_at, u.last_used_at
+             FROM usage_v u LEFT JOIN (
+               SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, change_id DESC) AS rn
+                              FROM limit_changes_v WHERE max_usage BETWEEN -2147483648 AND 2147483647) WHERE rn = 1) c ON c.user_id = u.user_id""",
+    "u2": """SELECT * REPLACE (CASE WHEN user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') THEN 0
+                                    ELSE usage_count END AS usage_count) FROM u1""",
+    "hit": "SELECT email FROM users_v WHERE id % 13 = 0",
+}
+
+
+@query("usage_table_edits", with_views("usage_v", "users_v", "limit_changes_v", extra=_EDITS_CTE) + f"""
+SELECT user_id, email, usage_count, CAST(CASE WHEN email IN (SELECT email FROM hit) THEN 999999 ELSE max_usage END AS INTEGER) AS max_usage,
+       CASE WHEN email IN (SELECT email FROM hit) THEN true ELSE is_premium END AS is_premium, created_at, last_used_at
+FROM u2""")
+def usage_table_edits(spark, sf):
+    """D6, D7 and D8 in turn on the stored table: each rewrites the buckets of its users only."""
+    t = Tables(spark, sf)
+    usage = fx.usage(t).select(*USAGE_OUT)
+    table = BucketTable(spark, shared_path(spark, "tables", "usage_edits"), "user_id", usage.schema)
+    table.create(usage)
+    changes, chosen = materialize(fx.limit_changes(t), "limit_changes"), materialize(fx.signup_user_ids(t), "chosen")
+    emails = fx.users(t).filter(F.col("id") % 13 == 0).select("email")
+    table.update(lambda rows: U.set_limits(rows, changes), changes)
+    table.update(lambda rows: U.reset(rows, chosen), chosen)
+    table.update(lambda rows: U.upgrade(rows, emails), table.rows().join(emails, "email", "left_semi"))
+    return table.rows().select(*USAGE_OUT)
