@@ -36,6 +36,20 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """``name``, with underscores in front as long as ``rows`` has such a column."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def row_hash(rows: DataFrame) -> Column:
+    """Hash of all columns but maps: an order of rows that agree in their keys."""
+    plain = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*plain)
+
+
 def prefix_sums(rows: DataFrame, order: list[Column], size: Column, name: str) -> DataFrame:
     """Adds ``_start`` (sum of ``size`` before the row), ``_rank`` (rows before it)
     and ``_total`` (sum over all rows) in the global order of ``order``.

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import prefix_sums, text_or_empty
+from quillspark.llm.common import free_name, prefix_sums, row_hash, text_or_empty
 from quillspark.sinks.snapshots import materialize
 
 
@@ -40,17 +40,20 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16, id_col: str = "doc_id",
                  text_col: str = "text") -> None:
-    """Writes whole rows as ``path/shard=<n>/`` in slot order. Rows that share
-    id, size and checksum are written once per input row, in the first one's shard."""
-    place = (shard_documents(docs, n_shards, id_col, text_col)
-             .groupBy("doc_id", "size", "text_crc32").agg(F.min("shard").alias("shard"), F.min("slot").alias("slot"))
-             .select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"),
-                     F.col("text_crc32").alias("_crc"), "shard", "slot"))
-    text = text_or_empty(text_col)
-    keep = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select(*keep, F.col(id_col).alias("_i"), (F.octet_length(text) + 1).cast("long").alias("_s"),
-                       F.crc32(text.cast("binary")).alias("_c"))
-    (rows.join(place, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_size"))
-               & (F.col("_c") == F.col("_crc")))
-     .select(*keep, "shard", "slot").repartitionByRange("shard", "slot")
-     .sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path))
+    """Writes whole rows as ``path/shard=<n>/`` in slot order, every column of ``docs``
+    as it is. A column of ``docs`` that is called shard or slot keeps its name;
+    the shard's own then has underscores in front. Rows that share id, size and
+    checksum (repeated rows; null and empty texts count alike) get one slot each,
+    in the order of a hash of their columns. Null ids come first; an empty table
+    writes no shard."""
+    shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
+    text = text_or_empty(F.col(f"doc.{text_col}"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_hash(docs).alias("order"))
+    rows = rows.withColumn("key", F.struct(F.col(f"doc.{id_col}").alias("i"), (F.octet_length(text) + 1).cast("long").alias("s"),
+                                           F.crc32(text.cast("binary")).alias("c")))
+    place = shard_documents(docs, n_shards, id_col, text_col).select(
+        F.struct(F.col("doc_id").alias("i"), F.col("size").alias("s"), F.col("text_crc32").alias("c")).alias("key"), "shard", "slot")
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("order")))
+    placed = place.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("shard", "slot")))
+    (numbered.join(placed, ["key", "n"]).select("doc.*", F.col("shard").alias(shard), F.col("slot").alias(slot))
+     .repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).mode("overwrite").parquet(path))

@@ -55,6 +55,19 @@ def test_shards_written(spark, tmp_path):
     assert back.shard.nunique() == 4
 
 
+def test_shards_keep_columns_and_repeats(spark, tmp_path):
+    rows = [(i, t, 5, 6, 7) for i, t, _ in ROWS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, slot int, _i int").repartition(3)
+    sharding.write_shards(docs, str(tmp_path / "s"), 4)
+    back = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert Counter(map(str, [(r.doc_id, r.text, r.shard, r.slot, r._i) for r in back])) == Counter(map(str, rows))
+    slots = defaultdict(list)
+    for r in back:
+        slots[r._shard].append(r._slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    sharding.write_shards(docs.limit(0), str(tmp_path / "none"), 4)
+
+
 def test_empty_tables(spark):
     empty = table(spark, []).limit(0)
     assert sharding.shard_documents(empty).count() == 0

@@ -1,5 +1,6 @@
 """Tokenizer, licence, quality, toxicity and the pipeline."""
 
+from collections import Counter
 import base64
 import hashlib
 import re
@@ -232,3 +233,38 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in cp.STAGES:
         at = stage(spark, at, SMALL)
         assert at.count() == 0
+
+
+def test_pipeline_keeps_columns_and_defined_rows(spark, tmp_path):
+    """Extra columns with the names that operators use; null ids and texts, repeats, a long text."""
+    import corpus_pipeline as cp
+    extra = ["copies", "_id", "_th", "_h", "_n", "_nth", "slot", "key", "doc", "order", "kept", "text_hash", "row"]
+    words = [f"word{i}" for i in range(400)]
+    texts = [(1, " ".join(words[:50]), "a"), (2, " ".join(words[:50]), "a"), (3, " ".join(words[50:150]), "b"),
+             (4, " ".join(words[50:150]) + " more", "b"), (None, " ".join(words[150:200]), "b"), (None, " ".join(words[150:200]), "b"),
+             (5, None, "a"), (6, "", None), (7, " ".join(words * 200), None), (8, " ".join(words[200:300]), None),
+             (8, " ".join(words[200:300]), None), (9, "one two three", "a")]
+    rows = [(i, t, s, *[k * 100 + n for n in range(len(extra))]) for k, (i, t, s) in enumerate(texts)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in extra)
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    whole = {r[3:]: r for r in rows}
+    at = {}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs if not at else at["docs"], str(tmp_path))
+        assert out.columns == docs.columns
+        at = {"docs": cp.materialize(out, "test_stage")}
+        kept = [tuple(r) for r in at["docs"].collect()]
+        assert all(whole[r[3:]] == r for r in kept)                     # no value was touched
+        if name == "toxicity":
+            assert sorted(kept, key=str) == sorted(rows, key=str)
+        if name == "exact_dedup":
+            assert sorted((r[0] or 0) for r in kept) == [0, 1, 3, 4, 5, 7, 8, 9]
+        if name == "near_dedup":
+            assert sorted((r[0] or 0) for r in kept) == [0, 1, 3, 5, 7, 8, 9]
+        if name == "mixing":
+            assert {r[0] for r in kept} <= {None, 1, 3, 7, 8, 9}
+    again = cp.staying(docs, spark.createDataFrame([(8, True), (8, False), (9, False)], "doc_id long, kept boolean").join(
+        docs.select("doc_id", F.xxhash64("text").alias("text_hash")).distinct(), "doc_id")).collect()
+    assert Counter(r.doc_id for r in again) == Counter([1, 2, 3, 4, None, None, 5, 6, 7, 8])
+    assert at["docs"].count() and cp.STAGES[-1][1](spark, at["docs"], str(tmp_path)).count() == at["docs"].count()
