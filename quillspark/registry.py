@@ -25,6 +25,7 @@ _SUITE_MODULES = (
     "quillspark.suite.plans",
     "quillspark.suite.dml",
     "quillspark.suite.streams",
+    "quillspark.suite.policies",
 )
 
 
