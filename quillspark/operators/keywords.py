@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from quillspark import schemas as S
 from quillspark.functions.ids import key_uuid
 from quillspark.functions.strings import js_is_blank, js_trim, utf16_length
-from quillspark.operators.scan import global_row_number
+from quillspark.operators.scan import global_row_number, keyed_row_number
 
 
 # --------------------------------------------------------------------- sources
@@ -37,6 +37,42 @@ def read_keyword_file(spark: SparkSession, path: str, fmt: str = "csv",
     return keyword_list(ranked.select(column, (F.col("pos") - 1).alias("pos")), column, "pos")
 
 
+# A comma outside of double quotes.
+CELL = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def read_keyword_files(spark: SparkSession, base: str, wanted: DataFrame, owner: str = "owner", path: str = "path",
+                       column: str = "Keyword") -> DataFrame:
+    """SRC1 and SRC2 over many files: (owner, pos, keyword, status) for ``wanted`` (owner, path).
+
+    A list is a folder below ``base`` whose CSV files each begin with a header row; the
+    cells of ``column`` are kept in file order, falsy ones dropped. A wanted path without
+    any file gives the sentinel row; one whose files are empty or lack the column gives no
+    row, so that ``with_fallback`` takes over, and fails no other list. Which files
+    exist comes from a listing joined to ``wanted``, not from a look at each path."""
+    def folder(c: str) -> Column:
+        return F.regexp_replace(F.regexp_replace(c, "/[^/]*$", ""), "^file:/+", "/")
+    present = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+               .select(folder("path").alias(path)).distinct())
+    asked = wanted.select(owner, F.regexp_replace(path, "^file:/+", "/").alias(path))
+    missing = asked.join(present, path, "left_anti").select(
+        owner, F.lit(0).cast("long").alias("pos"), F.lit(S.MISSING_FILE_SENTINEL).alias("keyword"), F.lit("missing").alias("status"))
+    lines = (spark.read.option("recursiveFileLookup", "true").text(base)
+             .select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
+             .withColumn("_row", F.monotonically_increasing_id()).withColumn(path, folder("_file")))
+    place = F.struct("_at", "_row")
+
+    def cells(c: str) -> Column:
+        return F.transform(F.split(c, CELL, -1), lambda x: F.replace(F.regexp_replace(x, '^\\s*"|"\\s*$', ""), F.lit('""'), F.lit('"')))
+    header = lines.groupBy("_file").agg(F.min(place).alias("_first"), F.min_by("value", place).alias("_header"))
+    at = F.array_position(cells("_header"), column)
+    found = (lines.join(header, "_file").where((place != F.col("_first")) & (at > 0)).join(asked, path)
+             .select(owner, "_file", "_at", "_row", F.get(cells("value"), (at - 1).cast("int")).alias("keyword")))
+    ranked = keyed_row_number(found, [owner], [F.col("_file"), F.col("_at"), F.col("_row")], "pos")
+    return missing.unionByName(ranked.where("keyword is not null and keyword <> ''")
+                               .select(owner, (F.col("pos") - 1).alias("pos"), "keyword", F.lit("file").alias("status")))
+
+
 def keyword_list(df: DataFrame, column: str = "Keyword", pos: str = "pos") -> DataFrame:
     """SRC1: (pos, keyword), falsy cells dropped (NULL, '', numeric 0); no trim, no dedup."""
     c = F.col(column)

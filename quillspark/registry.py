@@ -26,6 +26,7 @@ _SUITE_MODULES = (
     "quillspark.suite.dml",
     "quillspark.suite.streams",
     "quillspark.suite.policies",
+    "quillspark.suite.files",
 )
 
 
