@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from quillspark.operators import results as R
-from quillspark.registry import query
+from quillspark.registry import _ORACLES, query
+from quillspark.session import shared_path
+from quillspark.sinks.daylog import DayLog
 from quillspark.sources import fixtures as fx
 from quillspark.sources.fixture_sql import with_views
 from quillspark.sources.tables import Tables
@@ -115,3 +119,27 @@ def result_merge(spark, sf):
     cur = R.latest_per_key(fx.snapshot_full(t)).select(*cols)
     inc = R.latest_per_key(fx.results_full(t).filter(F.col("created_at") >= fx.request_start())).select(*cols)
     return R.merge_result_maps(cur, inc)
+
+
+def _day_log(spark, sf):
+    """The result log by days, appended in two parts."""
+    rows = fx.results(Tables(spark, sf)).select("id", "keyword", "created_at")
+    log = DayLog(spark, shared_path(spark, "tables", "day_log"), rows.schema)
+    for part in (0, 1):
+        log.append(rows.where(F.coalesce(F.col("id") % 2, F.lit(0)) == part))
+    return log
+
+
+# The log by days gives what the delete and the report over the whole log give.
+@query("retention_day_log", _ORACLES["retention_delete"])
+def retention_day_log(spark, sf):
+    """Whole days are dropped, the cut day is rewritten."""
+    log = _day_log(spark, sf)
+    log.retain(datetime.fromisoformat(RETENTION_AS_OF), 30)
+    return log.rows().select("id", "keyword", "created_at")
+
+
+@query("daily_rollup", _ORACLES["daily_analysis"])
+def daily_rollup(spark, sf):
+    """A4: whole days from the rollup, the cut day from its folder of the log."""
+    return _day_log(spark, sf).daily_counts(datetime.fromisoformat(DAILY_AS_OF), 7)
