@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark import schemas as S
 from quillspark.functions.timefmt import newer_than
 from quillspark.functions.strings import prefix
+from quillspark.operators.hotkeys import hot_join
 from quillspark.operators.scan import asof_last_id
 
 
@@ -94,13 +95,14 @@ def retain(results: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
 
 
 def paa_chart(keyword_list: DataFrame, result_map: DataFrame) -> DataFrame:
-    """One bar per list entry; count = #questions of a successful result, else 0."""
-    m = result_map.select("keyword", F.col("status").alias("_st"), F.col("paa").alias("_paa"))
-    j = keyword_list.join(m, "keyword", "left")
+    """One bar per list entry; count = #questions of a successful result, else 0.
+    Only the number of questions goes through the join; a keyword that much of the
+    list asks for is dealt over tasks."""
+    m = result_map.select("keyword", F.col("status").alias("_st"), F.size(F.coalesce("paa", empty_list())).alias("_n"))
+    j = hot_join(keyword_list, m, ["keyword"], "left")
     return j.select(
         *keyword_list.columns,
-        F.when(F.col("_st") == "success", F.size(F.coalesce("_paa", empty_list())))
-         .otherwise(F.lit(0)).alias("paa_count"),
+        F.when(F.col("_st") == "success", F.col("_n")).otherwise(F.lit(0)).alias("paa_count"),
         F.coalesce(F.col("_st"), F.lit("pending")).alias("status"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillspark import schemas as S
 from quillspark.functions.strings import ratio_label
 from quillspark.functions.timefmt import display_or_never
+from quillspark.operators.hotkeys import hot_join
 from quillspark.operators.scan import keyed_row_number
 
 USAGE_COLS = ["user_id", "email", "usage_count", "max_usage", "is_premium", "created_at", "last_used_at"]
@@ -93,9 +94,10 @@ def single(keys: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame
 
 
 def entitle(requests: DataFrame, usage: DataFrame) -> DataFrame:
-    """Each request with its user's usage row (left join on user_id)."""
+    """Each request with its user's usage row (left join on user_id); a user with much
+    of the requests, and requests without a user, are dealt over tasks."""
     u = usage.select("user_id", "usage_count", "max_usage", "is_premium")
-    j = requests.join(u, "user_id", "left")
+    j = hot_join(requests, u, ["user_id"], "left")
     return j.withColumn("has_usage", F.col("max_usage").isNotNull()).withColumn(
         "exceeded", F.coalesce(exceeded(F.col("usage_count"), F.col("max_usage"), F.col("is_premium")),
                                F.lit(False)))
