@@ -27,6 +27,7 @@ _SUITE_MODULES = (
     "quillspark.suite.streams",
     "quillspark.suite.policies",
     "quillspark.suite.files",
+    "quillspark.suite.checked",
 )
 
 
