@@ -27,6 +27,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_buckets(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+    """``materialize`` with the rows in hash buckets of ``by``: later windows and
+    aggregates by it (and more) and joins on it need no exchange. ``df`` comes with
+    one bucket per task. Only a catalog table tells the reader of its buckets; the
+    entry goes once the plan has them, the files stay.
+    """
+    spark = df.sparkSession
+    if buckets > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
+        return materialize(df, name)
+    path = shared_path(spark, "stage", name)
+    table = "quillspark_stage_" + path.rsplit("/", 1)[1]
+    df.write.format("parquet").option("path", path).bucketBy(buckets, by).saveAsTable(table)
+    back = spark.read.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return back.select(*df.columns)
+
+
 def write_snapshot(df: DataFrame, base: str, version: int, partition_by: list[str] | None = None) -> str:
     """Store the next snapshot of a table at ``base/v=<version>`` (overwrite is
     idempotent, so a retried job writes the same version)."""

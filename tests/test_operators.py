@@ -57,6 +57,54 @@ def test_keyed_row_number_equals_window(spark):
         assert groups.agg(F.max("count")).first()[0] <= 0.5 * case.count()      # the hot user is cut
 
 
+def _exchanges(df):
+    """Shuffles of the plan without adaptive re-planning and broadcasts of measured sides."""
+    spark = df.sparkSession
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return [line.split("Exchange ")[1] for line in plan.splitlines() if "- Exchange " in line]
+
+
+def test_scans_move_rows_once(spark):
+    """After the ranges are stored, only one row per range moves."""
+    t = Tables(spark, SF_SMALL)
+    req = _hot_requests(t).select("request_id", "keyword", "user_id", "ts")
+    numbered = keyed_row_number(req, ["user_id"], [F.col("ts"), F.col("request_id")], "rn")
+    looked_up = asof_last_id(req, _hot_results(t).select("keyword", "created_at", "id"), ["keyword"], "ts", "created_at", "id", "hit")
+    for df in (numbered, looked_up):
+        moved = _exchanges(df)
+        assert len(moved) == 2 and moved[0].startswith("SinglePartition") and moved[1].startswith("hashpartitioning(_last#"), moved
+
+
+def test_ranges_lie_in_own_buckets(spark):
+    rows = spark.range(0, 5000, 1, 3).withColumn("k", F.col("id") % 7)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = placed(rows, ["k"], [F.col("id")], "t")
+    per_task = got.groupBy(F.pmod(F.hash("_slot"), F.lit(n)).alias("b")).agg(F.count_distinct("_part").alias("ranges"),
+                                                                             F.min("_part").alias("lo"))
+    assert {(r.b, r.ranges, r.lo) for r in per_task.collect()} == {(p, 1, p) for p in range(n)}
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("quillspark_stage_")]
+
+
+def test_scans_of_empty_one_row_and_two_keys(spark):
+    rows = spark.createDataFrame([(1, "a", 5), (1, None, 6), (None, "a", 7), (None, None, 8), (1, None, 9), (None, None, 10)],
+                                 "k long, j string, i long")
+    for case in (rows.limit(0), rows.where("i = 8"), rows, rows.crossJoin(spark.range(300)).select("k", "j", F.col("id").alias("i"))
+                 .withColumn("i", F.monotonically_increasing_id())):
+        w = Window.partitionBy("k", "j").orderBy("i")
+        got = keyed_row_number(case, ["k", "j"], [F.col("i")], "rn")
+        assert got.columns == ["k", "j", "i", "rn"]
+        want = case.withColumn("rn", F.row_number().over(w))
+        assert {(r.i, r.rn) for r in got.collect()} == {(r.i, r.rn) for r in want.collect()}
+
+
 def test_not_in_null_rules(spark):
     users = spark.createDataFrame([(1,), (2,), (None,)], "id long")
     no_null = spark.createDataFrame([(1,)], "user_id long")
