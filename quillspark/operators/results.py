@@ -13,6 +13,7 @@ from quillspark.functions.timefmt import newer_than
 from quillspark.functions.strings import prefix
 from quillspark.operators.hotkeys import hot_join
 from quillspark.operators.scan import asof_last_id
+from quillspark.sinks.snapshots import materialize
 
 
 def empty_list() -> Column:
@@ -71,11 +72,11 @@ def cache_lookup(requests: DataFrame, results: DataFrame, ts: str = "ts") -> Dat
 
 def attach_hit(looked_up: DataFrame, results: DataFrame, cols: list[str]) -> DataFrame:
     """Join the payload of the matched result back by id (ids are unique).
-    Misses match nothing; a salt keeps them from meeting in one task."""
-    salt = F.when(F.col("hit_id").isNull(), F.monotonically_increasing_id())
-    r = results.select(F.struct(F.col("id").alias("i"), F.lit(None).cast("long").alias("s")).alias("_hit"), *cols)
-    keyed = looked_up.withColumn("_hit", F.struct(F.col("hit_id").alias("i"), salt.alias("s")))
-    return keyed.join(r, "_hit", "left").drop("_hit")
+    The looked-up rows are stored once; those of a result that many requests
+    hit, or of none, are dealt over tasks."""
+    r = results.select(F.col("id").alias("hit_id"), *cols)
+    j = hot_join(materialize(looked_up, "looked_up"), r, ["hit_id"], "left")
+    return j.select(*looked_up.columns, *r.columns[1:])
 
 
 def daily_counts(results: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
