@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import partitions, text_or_empty
 from quillspark.session import ship_package
+from quillspark.sinks.snapshots import materialize
 
 CHUNK = 32768       # characters between chunk starts
 OVERLAP = 1024      # characters that a chunk shares with the next one
@@ -91,15 +92,16 @@ def _encode_batches(shared: Broadcast, carry: list[str]):
     return run
 
 
-def _mark_batches(shared: Broadcast, step: int, overlap: int):
+def _mark_batches(shared: Broadcast, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = shared.value[1]
         for batch in batches:
-            ends = [chunk_ends(t, pattern, s, step, overlap)
-                    for t, s in zip(batch.column("_chunk").to_pylist(), batch.column("_start").to_pylist())]
+            ends = [chunk_ends(t, pattern, n * chunk, (to + 1 - n) * chunk, overlap)
+                    for t, n, to in zip(*(batch.column(c).to_pylist() for c in ("_text", "_n", "_to")))]
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([e[0] for e in ends], kind), pa.array([e[1] for e in ends], kind)],
-                                             names=[*batch.schema.names, "_head", "_tail"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row", "_n", "_to", "_len")]
+                                             + [pa.array([e[0] for e in ends], kind), pa.array([e[1] for e in ends], kind)],
+                                             names=["row", "_n", "_to", "_len", "_head", "_tail"])
     return run
 
 
@@ -108,14 +110,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """One row per document: doc_id, row, ids (array of int).
 
     A text longer than ``chunk`` + ``overlap`` characters becomes overlapping
-    chunks that any task may pre-tokenise. Two neighbours are stitched at the
+    chunks that any task may pre-tokenise; they are stored once, and only their
+    boundaries come together by document. Two neighbours are stitched at the
     first place in their overlap where both have a pre-token boundary: matching
     goes on from a boundary without memory, so from there on they agree. The
-    pieces between stitches hold whole pre-tokens and are encoded apart, again
-    by any task, then joined in order. A text whose chunks never meet (one
-    pre-token longer than the overlap) is encoded in one piece. Shorter texts
-    are one chunk. Null counts as empty, an empty text has no ids. Repeated rows
-    and ids stay apart by ``row``.
+    pieces between stitches hold whole pre-tokens; they are dealt out by document
+    and piece, encoded apart, then joined in order. Neighbours that never meet
+    (one pre-token longer than the overlap) are put together and marked again
+    from their common start, until all meet; the other chunks of the text stay
+    apart. Shorter texts are one chunk. Null counts as empty, an empty text has no
+    ids. Repeated rows and ids stay apart by ``row``.
     """
     shared = _share(docs, vocabulary)
     short, whole = _split(docs, id_col, text_col, shared, chunk, overlap)
@@ -144,28 +148,52 @@ def _split(docs: DataFrame, id_col: str, text_col: str, shared: Broadcast, chunk
               .select("doc_id", "row", "_n", "_len", (F.col("_n") * chunk).alias("_start"),
                       F.substring("_text", F.col("_n") * chunk + 1, F.lit(chunk + overlap)).alias("_chunk"))
               .repartition(partitions(spark), "row", "_n"))
-    marked = chunks.mapInArrow(_mark_batches(shared, chunk, overlap), f"doc_id {id_type}, row long, _n int, _len int, "
-                               "_start int, _chunk string, _head array<int>, _tail array<int>")
-    of_doc = Window.partitionBy("row")
-    in_order = of_doc.orderBy("_n")
-    meet = F.array_min(F.array_intersect("_tail", F.lead("_head").over(in_order)))
-    stitched = (marked.withColumn("_end", F.when(F.lead("_n").over(in_order).isNull(), F.col("_len")).otherwise(meet))
-                .withColumn("_begin", F.coalesce(F.lag("_end").over(in_order), F.lit(0)))
-                .withColumn("_whole", F.max(F.col("_end").isNull()).over(of_doc)))
-    # Chunks that never meet give their own part of the text, which is put together again.
-    piece = F.when(F.col("_whole"), F.substring("_chunk", F.lit(1), F.when(F.lead("_n").over(in_order).isNull(),
-                                                                          F.lit(chunk + overlap)).otherwise(F.lit(chunk)))
-                   ).otherwise(_slice("_chunk", F.col("_begin") - F.col("_start"), F.col("_end") - F.col("_start")))
-    pieces = stitched.select("doc_id", "row", F.when(F.col("_whole"), 0).otherwise(F.col("_n")).alias("_n"),
-                             F.col("_n").alias("_m"), piece.alias("_text"))
-    joined = (pieces.groupBy("doc_id", "row", "_n").agg(F.array_sort(F.collect_list(F.struct("_m", "_text"))).alias("_p"))
-              .select("doc_id", "row", "_n", F.array_join(F.col("_p._text"), "").alias("_text")))
+    chunks = materialize(chunks, "bpe_chunks")
+    joined = _texts(chunks, _pieces(chunks, shared, chunk, overlap), chunk)         # any task may encode a piece
     parts = joined.mapInArrow(_encode_batches(shared, ["doc_id", "row", "_n"]), f"doc_id {id_type}, row long, _n int, ids array<int>")
     whole = (parts.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("_n", "ids"))).alias("_p"))
              .select("doc_id", "row", F.flatten(F.col("_p.ids")).alias("ids")))
     return short, whole
 
 
+def _texts(chunks: DataFrame, spans: DataFrame, chunk: int) -> DataFrame:
+    """The texts from ``_begin`` to ``_end`` of runs of chunks ``_n`` to ``_to``, dealt out by document and run."""
+    of_chunk = spans.select("row", F.explode(F.sequence("_n", "_to")).alias("_m"), "_n", "_to", "_begin", "_end")
+    parts = chunks.withColumnRenamed("_n", "_m").join(of_chunk, ["row", "_m"])
+    begin = F.greatest(F.col("_begin"), F.col("_start")) - F.col("_start")
+    end = F.when(F.col("_m") == F.col("_to"), F.col("_end") - F.col("_start")).otherwise(chunk)
+    return (parts.select("doc_id", "row", "_n", "_to", "_len", "_m", _slice("_chunk", begin, end).alias("_text"))
+            .groupBy("doc_id", "row", "_n", "_to", "_len").agg(F.array_sort(F.collect_list(F.struct("_m", "_text"))).alias("_p"))
+            .select("doc_id", "row", "_n", "_to", "_len", F.array_join(F.col("_p._text"), "").alias("_text")))
+
+
+def _pieces(chunks: DataFrame, shared: Broadcast, chunk: int, overlap: int) -> DataFrame:
+    """row, _n, _to, _begin, _end: the pieces between stitches, with their first and
+    last chunk. Boundaries come together by document, texts don't.
+
+    A boundary of a chunk is sure only from where it meets its neighbour on the
+    left, so runs of neighbours that miss are marked again as one text before
+    their right end may be stitched."""
+    marks = "row long, _n int, _to int, _len int, _head array<int>, _tail array<int>"
+
+    def mark(texts: DataFrame) -> DataFrame:
+        return texts.select("row", "_n", "_to", "_len", "_text").mapInArrow(_mark_batches(shared, chunk, overlap), marks)
+    marked = materialize(mark(chunks.withColumns({"_to": F.col("_n"), "_text": F.col("_chunk")})), "bpe_marks")
+    in_order = Window.partitionBy("row").orderBy("_n")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        meet = F.array_min(F.array_intersect("_tail", F.lead("_head").over(in_order)))
+        seams = marked.withColumn("_seam", F.when(F.lead("_n").over(in_order).isNull(), F.col("_len")).otherwise(meet))
+        if seams.where(F.col("_seam").isNull()).isEmpty():
+            return seams.select("row", "_n", "_to", F.coalesce(F.lag("_seam").over(in_order), F.lit(0)).alias("_begin"),
+                                F.col("_seam").alias("_end"))
+        numbered = seams.withColumn("_run", F.count("_seam").over(before)).drop("_seam")
+        runs = (numbered.groupBy("row", "_run").agg(F.min("_n").alias("_n"), F.max("_to").alias("_to"), F.count("*").alias("_many"))
+                .withColumns({"_begin": F.col("_n") * chunk, "_end": (F.col("_to") + 1) * chunk + overlap}))
+        kept = numbered.join(runs.where("_many = 1").select("row", "_run"), ["row", "_run"], "left_semi").drop("_run")
+        marked = materialize(kept.unionByName(mark(_texts(chunks, runs.where("_many > 1"), chunk))), "bpe_marks")
+
+
 def _slice(col: str, start: Column, end: Column) -> Column:
     return F.substring(F.col(col), start + 1, end - start)
 

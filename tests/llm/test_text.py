@@ -56,6 +56,49 @@ def test_long_texts_resynchronise(spark, encoder):
     assert out[2].decoded_sha256 == hashlib.sha256(b"a" * 70_000 + b" b").hexdigest()
 
 
+def test_a_missed_seam_joins_its_neighbours_only(spark, encoder):
+    """One pre-token over several chunks: the other chunks of the text stay pieces of their own."""
+    rng = np.random.default_rng(5)
+
+    def words(n):
+        return "".join(rng.choice(["word ", "don't ", "42 ", "é! "], n))
+    rows = [(1, words(100) + " " + "x" * 700 + " " + words(100)), (2, words(100) + "7" * 230 + words(50) + "y" * 130 + words(30)),
+            (3, "z" * 2000), (None, words(300)), (3, "z" * 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = bpe._share(docs, None)
+    chunks = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text", F.char_length("text").alias("_len")) \
+        .withColumn("_n", F.explode(F.sequence(F.lit(0), F.ceil((F.col("_len") - 20) / 100).cast("int") - 1))) \
+        .select("doc_id", "row", "_n", "_len", (F.col("_n") * 100).alias("_start"), F.substring("text", F.col("_n") * 100 + 1, F.lit(120)).alias("_chunk"))
+    pieces = bpe._pieces(chunks, shared, 100, 20)
+    sizes = {r.row: sorted(p[0] for p in r.p) for r in pieces.groupBy("row").agg(
+        F.collect_list(F.struct(F.col("_to") - F.col("_n") + 1)).alias("p")).collect()}
+    first = sizes[docs.select(F.monotonically_increasing_id().alias("r"), "doc_id").where("doc_id = 1").first().r]
+    assert first[-1] in (7, 8, 9) and set(first[:-1]) == {1} and len(first) > 5
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.ids) for r in bpe.encode(docs, chunk=100, overlap=20).collect())
+    assert got == sorted((i is None, i or 0, encoder.encode_ordinary(t)) for i, t in rows)
+
+
+def test_false_boundaries_are_not_stitched(spark, tmp_path):
+    """Digits in threes: chunks of 99 digits agree with each other, not with where the run began."""
+    ranks = tmp_path / "bytes.tiktoken"
+    ranks.write_bytes(b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256))
+                      + b"\n" + b"\n".join(base64.b64encode(b) + b" %d" % (256 + k) for k, b in enumerate((b"12", b"123", b"31", b"23"))))
+    pattern = r"\p{N}{1,3}|[^\p{N}]+"
+    text = "ab" + "123" * 300 + "c" + "231" * 100 + "12"
+    docs = spark.createDataFrame([(1, text), (2, "x" + text)], "doc_id long, text string")
+    plain = tiktoken.Encoding("own", pat_str=pattern, special_tokens={}, mergeable_ranks=bpe.load_ranks(ranks.read_bytes()))
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, vocabulary=(str(ranks), pattern), chunk=99, overlap=20).collect()}
+    assert got == {1: plain.encode_ordinary(text), 2: plain.encode_ordinary("x" + text)}
+
+
+def test_pieces_are_dealt_out_before_encoding(spark):
+    docs = spark.createDataFrame([(1, "word " * 20_000)], "doc_id long, text string")
+    plan = bpe.encode(docs)._jdf.queryExecution().executedPlan().toString().splitlines()
+    encoder = max(i for i, line in enumerate(plan) if "MapInArrow" in line)           # the branch of long texts comes last
+    below = "\n".join(plan[encoder:])
+    assert re.search(r"Exchange hashpartitioning\(doc_id#\d+L?, row#\d+L, _n#\d+", below)
+
+
 def test_encoding_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode_digests(empty).count() == 0
