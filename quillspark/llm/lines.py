@@ -19,14 +19,17 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, slic
 
     A line's key is the stripped line with A-Z in lower case. Hashes (128 bits)
     are range-partitioned together with a slice of the document id, so that a
-    line in a third of all documents is spread over ``slices`` ranges. Each
+    line in a third of all documents is spread over ``slices`` (1 to 64) ranges. Each
     range is sorted by hash, document (largest first) and position; windows
     stream over it to find the slice's first document and count its documents.
     Slices of a key are then added up, one row each.
     Documents are told apart by id and text hash; rows without an id count as
     one document that stands behind all others. Null and empty texts have one
-    empty line, which is never dropped.
+    empty line, which is never dropped. Other columns are not read; repeated rows
+    of an id and text are one document; an empty table gives an empty result.
     """
+    if not 1 <= slices <= 64:
+        raise ValueError("slices must be 1 to 64: a long holds a bit for each")
     n = partitions(docs.sparkSession)
     text = text_or_empty(text_col)
     key = F.translate(F.btrim(F.col("line"), F.lit(STRIP)), UPPER, LOWER)
@@ -42,11 +45,15 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, slic
                                         F.first("doc_id").over(in_slice).alias("top"),
                                         F.dense_rank().over(Window.partitionBy("h1", "h2", "slice").orderBy(
                                             F.desc_nulls_last("doc_id"))).alias("nth_doc")), "line_stream")
-    # One row per slice leaves the stream; keys in too few documents end here.
+    # One row per slice leaves the stream; keys in too few documents end here. A bit of ``in_slices``
+    # says that a slice holds the key: rows meet their key's row by slice, so a hot key stays spread.
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slice"))
     keys = (streamed.groupBy("h1", "h2", "slice").agg(F.max("nth_doc").alias("docs"), F.first("top").alias("top"))
-            .groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("top").alias("top"))
-            .where(F.col("docs") >= min_docs).select("h1", "h2", F.col("top").alias("keeper")))
-    return (streamed.join(keys, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+            .groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("top").alias("keeper"), F.bit_or(bit).alias("in_slices"))
+            .where(F.col("docs") >= min_docs)
+            .select("h1", "h2", "keeper", F.explode(F.filter(
+                F.sequence(F.lit(0), F.lit(slices - 1)), lambda k: F.getbit("in_slices", k) == 1)).alias("slice")))
+    return (streamed.join(keys, ["h1", "h2", "slice"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
             .select("doc_id", "text_hash", "pos"))
 
 
