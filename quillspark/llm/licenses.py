@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +63,6 @@ PERFORMANCE OF THIS SOFTWARE."""),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
-# The SQL check's rule: it drops every line that begins with a mark. Equal to NOTICE_LINE where all such lines are notices.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*((copyright|\(c\)|©)[^\n]*|all rights reserved\.?[ \t]*)"
-
 # A notice: marks followed by a year or a holder's placeholder, "copyright" and a sign together, or a line that ends
 # in "all rights reserved". Other lines that begin with a mark are text ("copyright notice ...", a clause "(c) You ...").
 _YEAR = r"[\[<{(]?(19|20)[0-9]{2}(?![0-9])"
@@ -99,9 +99,15 @@ def canonical(text: Column) -> Column:
     return _finish(_marked(text))
 
 
+# The same lines for an engine without lookahead: what must not follow is read to the end of the line instead.
+NOTICE_LINE_RE2 = (NOTICE_LINE.replace(_YEAR + "|" + _HOLDER + r")[^\n]*",
+                                       _YEAR.replace("(?![0-9])", r"([^0-9\n][^\n]*)?(?m:$)") + "|" + _HOLDER + r"[^\n]*)")
+                   .replace(r"(?![^\n])", "(?m:$)"))
+
+
 def canonical_sql(text: str) -> tuple[str, str]:
     """The rule for the SQL check: text -> marked, and marked -> canonical."""
-    marked = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{COPYRIGHT_LINE}', chr(10), 'g')"
+    marked = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{NOTICE_LINE_RE2}', chr(10), 'g')"
     marked = f"' ' || replace(regexp_replace({marked}, '[^a-z0-9\n]+', '  ', 'g'), chr(10), '  ' || chr(10) || '  ') || ' '"
     for word, same in EQUIVALENTS:
         if " " not in word:
@@ -113,15 +119,40 @@ def canonical_sql(text: str) -> tuple[str, str]:
     return marked, f"trim(replace({done}, '  ', ' '))"
 
 
+def plain_canonical(text: str) -> str:
+    """The rule of ``canonical`` on one text without Spark."""
+    text = re.sub(NOTICE_LINE, "\n", text.translate(str.maketrans(UPPER, LOWER)))
+    words = re.findall("[a-z0-9]+", text)
+    single = {a: b for a, b in EQUIVALENTS if " " not in a}
+    out = "  ".join(single.get(w, w) for w in words)
+    for a, b in EQUIVALENTS:
+        if " " in a:
+            out = f" {out} ".replace(f" {a.replace(' ', '  ')} ", f" {b.replace(' ', '  ')} ")[1:-1]
+    return out.replace("  ", " ")
+
+
+def _known(texts=None) -> list[tuple[str, list[str], str]]:
+    given = [(a, [""], b) for a, b in (KNOWN_TEXTS if texts is None else texts)]
+    return given + whole_texts(KNOWN_TEXTS[:3]) if texts is None else given
+
+
+def plain_digests() -> dict[str, str]:
+    """Digest -> identifier of the default texts without Spark, for the SQL check."""
+    out: dict[str, str] = {}
+    for license_id, titles, text in _known():
+        body = plain_canonical(text)
+        for title in titles:
+            digest = sha256(f"{plain_canonical(title)} {body}".strip().encode()).hexdigest()
+            out[digest] = min(license_id, out.get(digest, license_id))
+    return out
+
+
 def known_digests(spark: SparkSession, texts=None) -> DataFrame:
     """(digest, license_id): one row per canonical text; the first identifier by name counts.
 
     ``texts`` are pairs (license_id, text); by default ``KNOWN_TEXTS`` and the
     whole texts of ``license_texts``, each with and without its titles."""
-    given = [(a, [""], b) for a, b in (KNOWN_TEXTS if texts is None else texts)]
-    if texts is None:
-        given += whole_texts(KNOWN_TEXTS[:3])
-    rows = spark.createDataFrame(given, "license_id string, titles array<string>, text string").select(
+    rows = spark.createDataFrame(_known(texts), "license_id string, titles array<string>, text string").select(
         "license_id", canonical(F.col("text")).alias("text"), F.explode("titles").alias("title"))
     whole = F.trim(F.concat_ws(" ", canonical(F.col("title")), F.col("text")))
     return rows.groupBy(F.sha2(whole, 256).alias("digest")).agg(F.min("license_id").alias("license_id"))

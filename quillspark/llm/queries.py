@@ -139,14 +139,11 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op2_sql() -> str:
-    from quillspark.llm.licenses import KNOWN_TEXTS, canonical_sql
+    from quillspark.llm.licenses import canonical_sql, plain_digests
     marked, done = canonical_sql("text")
-    known = ", ".join("('%s', '%s')" % (i, t.replace("'", "''")) for i, t in KNOWN_TEXTS)
+    known = ", ".join(f"('{digest}', '{license_id}')" for digest, license_id in sorted(plain_digests().items()))
     return f"""
-with known as (select sha256(k) as digest, min(license_id) as license_id
-               from (select license_id, {done.format("m")} as k
-                     from (select license_id, {marked} as m from (values {known}) as v(license_id, text)))
-               group by 1),
+with known as (select digest, license_id from (values {known}) as v(digest, license_id)),
 m as (select doc_id, {marked} as m from (select doc_id, coalesce(text, '') as text from documents)),
 t as (select doc_id, sha256({done.format("m")}) as text_digest from m),
 l as (select doc_id, sha256({done.format("line")}) as digest

@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,6 +143,12 @@ def _with_features(rows: DataFrame, lexicon: Broadcast) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(wide)
 
 
+def calibration(rows: DataFrame) -> IsotonicRegressionModel:
+    """The rising curve from ``margin`` to the weighted share of label 1."""
+    return IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight").fit(
+        rows.select("margin", "weight", F.col("label").cast("double").alias("label")))
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5,
                     per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, text_hash.
@@ -150,9 +156,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
     Fits on a sample of at most ``per_class`` rows of each label outside the
     held-out fifth: four folds teach the lexicon and the trees, the fifth the
     isotonic curve from tree margin to share of label 1 (weighted back to the
-    classes' true shares). Every whole text is then scored, in one pass. Without
-    rows of both labels every score is 0. Null, empty and blank texts have zero
-    features. Repeated rows get equal scores.
+    classes' true shares). Every whole text, however long, is then scored, in one
+    pass. Without rows of both labels every score is 0. Null, empty and blank texts
+    have zero features. Repeated rows get equal scores, a null id is never held
+    out, other columns are not read, and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -171,8 +178,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
 
     def margin(df: DataFrame) -> DataFrame:
         return trees.transform(df).withColumn("margin", vector_to_array("rawPrediction")[1])
-    curve = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight").fit(
-        margin(seen.where(fold)).select("margin", "weight", F.col("label").cast("double").alias("label")))
+    curve = calibration(margin(seen.where(fold)))
     scored = curve.setPredictionCol("score").transform(margin(_with_features(rows, lexicon)).drop("prediction"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
     return scored.select("doc_id", "held_out", score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "text_hash")
