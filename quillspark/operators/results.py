@@ -5,6 +5,8 @@ cache lookup (J6), history (P2/O2, P5), cached projection (P4), daily rollup
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,17 +28,18 @@ def newest_first(ts: str = "created_at", tiebreak: str = "id") -> list[Column]:
 
 
 def latest_per_key(results: DataFrame, key: str = "keyword", ts: str = "created_at",
-                   tiebreak: str = "id") -> DataFrame:
+                   tiebreak: str = "id", fetch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Newest row per key (NULL time counts as newest, as in a DESC sort).
 
     The winners' ids come from an aggregate over (key, time, id) alone, which
     combines map-side; the payload is fetched by a semi join on the unique id,
-    so no content passes through the aggregate.
+    so no content passes through the aggregate.  ``fetch(ids)`` gives the rows of
+    ``results`` with these ids where a source finds them before it reads their payload.
     """
     order = F.struct(F.col(ts).isNull().alias("n"), F.col(ts).alias("t"), F.col(tiebreak).alias("i"))
     win = results.groupBy(key).agg(F.max(order).alias("_m")).select(F.col("_m.i").alias("_win"))
-    return results.join(win, results[tiebreak] == F.col("_win"), "left_semi").select(
-        key, *[c for c in results.columns if c != key])
+    rows = fetch(win) if fetch else results.join(win, results[tiebreak] == F.col("_win"), "left_semi")
+    return rows.select(key, *[c for c in results.columns if c != key])
 
 
 def history(results: DataFrame, k: int = S.HISTORY_LIMIT) -> DataFrame:

@@ -87,13 +87,28 @@ def keywords(t: Tables) -> DataFrame:
             .agg(F.min("o_orderdate").alias("created_at")))
 
 
-def results(t: Tables) -> DataFrame:
-    """Append log of analysis results (no user column, keyword not unique)."""
+def result_log(t: Tables) -> DataFrame:
+    """The result log without its texts: (id, keyword, doc_id, paa_conv_id, created_at)."""
     e = t.events.select("event_id", "event_type", "user_id", "ts")
     # Results take their texts from all documents, their questions from all runs.
-    e = e.withColumns({"doc_id": F.col("event_id") % doc_count(t), "paa_conv_id": F.col("event_id") % run_count(t)})
-    j = e.join(t.documents.select("doc_id", "text", "source"), "doc_id", "left")
-    m8, m4 = F.col("event_id") % 8, F.col("event_id") % 4
+    return e.select(
+        F.col("event_id").alias("id"),
+        result_keyword(t).alias("keyword"),
+        (F.col("event_id") % doc_count(t)).alias("doc_id"),
+        (F.col("event_id") % run_count(t)).alias("paa_conv_id"),
+        F.col("ts").alias("created_at"))
+
+
+def _wanted(t: Tables, ids: DataFrame | None) -> DataFrame:
+    """The log's rows, or those whose id is in ``ids`` (one column): texts are joined to them only."""
+    log = result_log(t)
+    return log if ids is None else log.join(ids.select(F.col(ids.columns[0]).alias("_wanted")), F.col("id") == F.col("_wanted"), "left_semi")
+
+
+def _with_content(t: Tables, log: DataFrame) -> DataFrame:
+    """``content`` in place of ``doc_id``."""
+    j = log.join(t.documents.select("doc_id", "text", "source"), "doc_id", "left")
+    m8, m4 = F.col("id") % 8, F.col("id") % 4
     nl = F.lit("\n")
     content = (F.when(m8 == 6, F.lit(None).cast("string"))
                .when(m8 == 2, F.lit(""))
@@ -101,12 +116,30 @@ def results(t: Tables) -> DataFrame:
                                        F.lit("| --- | --- |"), nl, F.col("text")))
                .when(m4 == 1, F.concat(F.lit("# "), F.col("text")))
                .otherwise(F.col("text")))
-    return j.select(
-        F.col("event_id").alias("id"),
-        result_keyword(t).alias("keyword"),
-        content.alias("content"),
-        "paa_conv_id",
-        F.col("ts").alias("created_at"))
+    return j.withColumn("content", content).drop("doc_id", "text", "source")
+
+
+def _with_questions(t: Tables, log: DataFrame) -> DataFrame:
+    """``paa_questions`` in place of ``paa_conv_id`` (NULL when the run does not exist)."""
+    p = paa_runs(t).select(F.col("conv_id").alias("paa_conv_id"), F.col("paa").alias("paa_questions"))
+    return log.join(p, "paa_conv_id", "left").drop("paa_conv_id")
+
+
+def results(t: Tables, ids: DataFrame | None = None) -> DataFrame:
+    """Append log of analysis results (no user column, keyword not unique); with
+    ``ids``, the rows that have one of these ids."""
+    return _with_content(t, _wanted(t, ids)).select("id", "keyword", "content", "paa_conv_id", "created_at")
+
+
+def join_results(t: Tables, rows: DataFrame, on: str, how: str = "inner", cols: tuple[str, ...] = ("content",)) -> DataFrame:
+    """``rows`` joined with the ``cols`` (content, paa_questions) of ``results_full`` by
+    its id: as ``rows.join(results_full(t)..., on, how)``, but rows and log meet before
+    any text is joined, so a text moves for the rows that get it and no further."""
+    log = result_log(t).select(F.col("id").alias("_id"), "doc_id", "paa_conv_id")
+    j = rows.join(log, F.col(on) == F.col("_id"), how).withColumnRenamed("_id", "id")
+    j = _with_questions(t, j) if "paa_questions" in cols else j.drop("paa_conv_id")
+    j = _with_content(t, j) if "content" in cols else j.drop("doc_id")
+    return j.select(*rows.columns, *cols)
 
 
 def serp_items(t: Tables) -> DataFrame:
@@ -138,9 +171,9 @@ def requests(t: Tables) -> DataFrame:
         (eid % 5 == 0).alias("force_refresh"))
 
 
-def result_snapshot(t: Tables) -> DataFrame:
+def result_snapshot(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     """Results written before the snapshot date."""
-    return results(t).filter(F.col("created_at") < request_start())
+    return results(t, ids).filter(F.col("created_at") < request_start())
 
 
 def chunks(t: Tables, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -160,16 +193,14 @@ def paa_runs(t: Tables) -> DataFrame:
     return extract_paa(serp_documents(serp_items(t))).select("conv_id", "paa")
 
 
-def results_full(t: Tables) -> DataFrame:
+def results_full(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     """results_v with its question list (NULL when the run does not exist)."""
-    r = results(t)
-    p = paa_runs(t)
-    j = r.join(p, r.paa_conv_id == p.conv_id, "left")
-    return j.select("id", "keyword", F.col("paa").alias("paa_questions"), "content", "created_at")
+    return _with_content(t, _with_questions(t, _wanted(t, ids))).select(
+        "id", "keyword", "paa_questions", "content", "created_at")
 
 
-def snapshot_full(t: Tables) -> DataFrame:
-    return results_full(t).filter(F.col("created_at") < request_start())
+def snapshot_full(t: Tables, ids: DataFrame | None = None) -> DataFrame:
+    return results_full(t, ids).filter(F.col("created_at") < request_start())
 
 
 def keyword_adds(t: Tables) -> DataFrame:

@@ -28,10 +28,16 @@ def _latest_sql(src: str, cols: str = "*") -> str:
             f"ORDER BY created_at DESC NULLS FIRST, id DESC) AS _rn FROM {src}) WHERE _rn = 1")
 
 
+def newest_snapshot(t: Tables):
+    """The snapshot's newest result of every keyword."""
+    return R.latest_per_key(fx.snapshot_full(t), fetch=lambda ids: fx.snapshot_full(t, ids))
+
+
 @query("latest_result_per_keyword", with_views("results_v") + _latest_sql(
     "results_v", "keyword, id, content, paa_conv_id, created_at"))
 def latest_result_per_keyword(spark, sf):
-    return R.latest_per_key(fx.results(Tables(spark, sf)))
+    t = Tables(spark, sf)
+    return R.latest_per_key(fx.results(t), fetch=lambda ids: fx.results(t, ids))
 
 
 @query("cache_point_lookup", with_views("snapshot_v", "requests_v") + _latest_sql(
@@ -40,7 +46,8 @@ def latest_result_per_keyword(spark, sf):
 def cache_point_lookup(spark, sf):
     t = Tables(spark, sf)
     wanted = fx.requests(t).select("keyword")
-    return R.latest_per_key(fx.result_snapshot(t)).join(wanted, "keyword", "left_semi")
+    newest = R.latest_per_key(fx.result_snapshot(t), fetch=lambda ids: fx.result_snapshot(t, ids))
+    return newest.join(wanted, "keyword", "left_semi")
 
 
 @query("cache_asof_lookup", with_views("requests_v", "results_v") + """
@@ -66,7 +73,7 @@ SELECT keyword, coalesce(paa_questions, []::VARCHAR[]) AS paa, coalesce(content,
        coalesce(content, '') AS draft_content, 'success' AS status, 'cached' AS used_model
 FROM ({_latest_sql("snapshot_full_v")})""")
 def cached_result_project(spark, sf):
-    return R.to_cached_result(R.latest_per_key(fx.snapshot_full(Tables(spark, sf))))
+    return R.to_cached_result(newest_snapshot(Tables(spark, sf)))
 
 
 @query("daily_analysis", with_views("results_v") + f"""
@@ -95,7 +102,7 @@ SELECT q.request_id, q.keyword,
 FROM requests_v q LEFT JOIN latest l ON l.keyword = q.keyword""")
 def paa_chart(spark, sf):
     t = Tables(spark, sf)
-    result_map = R.to_cached_result(R.latest_per_key(fx.snapshot_full(t)))
+    result_map = R.to_cached_result(newest_snapshot(t))
     return R.paa_chart(fx.requests(t).select("request_id", "keyword"), result_map)
 
 
@@ -116,8 +123,11 @@ FROM cur c FULL OUTER JOIN inc i ON c.keyword = i.keyword""")
 def result_merge(spark, sf):
     t = Tables(spark, sf)
     cols = ["keyword", "id", "content", "created_at"]
-    cur = R.latest_per_key(fx.snapshot_full(t)).select(*cols)
-    inc = R.latest_per_key(fx.results_full(t).filter(F.col("created_at") >= fx.request_start())).select(*cols)
+
+    def incoming(ids=None):
+        return fx.results_full(t, ids).filter(F.col("created_at") >= fx.request_start())
+    cur = newest_snapshot(t).select(*cols)
+    inc = R.latest_per_key(incoming(), fetch=incoming).select(*cols)
     return R.merge_result_maps(cur, inc)
 
 
