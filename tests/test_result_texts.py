@@ -56,3 +56,29 @@ def test_rows_fetched_by_id_are_those_of_the_semi_join(spark, odd):
         assert _rows(R.latest_per_key(view(odd), fetch=lambda ids: view(odd, ids))) == _rows(R.latest_per_key(view(odd)))
         ids = spark.createDataFrame([(3,), (5,), (3,), (99,), (None,)], "i long")
         assert _rows(view(odd, ids)) == _rows(view(odd).join(ids.withColumnRenamed("i", "id"), "id", "left_semi"))
+
+
+def test_rows_and_log_meet_before_texts(spark, odd):
+    rows = spark.createDataFrame([(3, "a"), (8, "b"), (3, "c"), (99, "d"), (None, "e")], "hit long, tag string")
+    full = fx.results_full(odd).select(F.col("id").alias("hit"), "paa_questions", "content")
+    for how in ("inner", "left"):
+        got = fx.join_results(odd, rows, "hit", how, ("paa_questions", "content"))
+        assert _rows(got) == _rows(rows.join(full, "hit", how))
+    joins = _joins(fx.join_results(odd, rows, "hit", "left", ("paa_questions", "content")))
+    assert "doc_id" in joins[0] and "paa_conv_id" in joins[1]           # nothing is moved after the texts
+
+
+def test_appended_results_read_no_stored_texts(spark):
+    from quillspark.suite.plans import pipeline_records
+    records = pipeline_records(Tables(spark, SF_SMALL)).filter((F.col("status") == "success") & (F.col("action") == "generate"))
+    assert records.count() > 0
+    assert not [x for x in _joins(records.select("request_id", "paa", "content")) if "doc_id" in x]
+
+
+def test_cached_records_of_a_repeated_request(spark):
+    from quillspark.plans.requests import _cached_records
+    plan = spark.createDataFrame([(1, 7), (1, 7), (None, 7), (2, 8)], "request_id long, hit_id long").selectExpr(
+        "request_id", "hit_id", "'u' AS user_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "'k' AS keyword")
+    results = spark.createDataFrame([(7, ["q"], "seven"), (8, None, None)], "id long, paa_questions array<string>, content string")
+    got = Counter((r.request_id, r.content, tuple(r.paa)) for r in _cached_records(plan, results).collect())
+    assert got == {(1, "seven", ("q",)): 4, (None, "", ()): 1, (2, "", ()): 1}
