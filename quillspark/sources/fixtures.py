@@ -15,6 +15,7 @@ from quillspark.sources.tables import Tables
 # Fixed fixture constants (FIXTURES.md §3).
 REQUEST_START = "2024-01-16 00:00:00"   # date of the cache snapshot
 CHUNK_BYTES = 256        # streaming chunks are cut from UTF-8 bytes
+ROWS_PER_TASK = 1_000_000    # narrow rows that one task sorts or groups
 
 
 def request_start() -> Column:
@@ -78,12 +79,21 @@ def usage(t: Tables) -> DataFrame:
         F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("last_at")).alias("last_used_at"))
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for a step over ``df``: one per ROWS_PER_TASK rows, the shuffle parallelism at least.
+    A number given outright is not merged again into tasks of a size in compressed bytes."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_TASK))
+
+
 def keywords(t: Tables) -> DataFrame:
-    li = t.lineitem.select("l_orderkey", "l_partkey")
+    """Lies in tasks by user, so the group by (user, keyword) and joins by user move no rows."""
+    n = _tasks(t.lineitem)
+    li = t.lineitem.select("l_orderkey", "l_partkey").repartition(n, "l_orderkey")
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     p = t.part.select("p_partkey", "p_name")
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
-    return (j.groupBy(F.col("o_custkey").alias("user_id"), F.col("p_name").alias("keyword"))
+    j = li.join(o, li.l_orderkey == o.o_orderkey).select("l_partkey", "o_custkey", "o_orderdate").repartition(n, "l_partkey")
+    named = j.join(p, j.l_partkey == p.p_partkey).select("o_custkey", "o_orderdate", "p_name").repartition(n, "o_custkey")
+    return (named.groupBy(F.col("o_custkey").alias("user_id"), F.col("p_name").alias("keyword"))
             .agg(F.min("o_orderdate").alias("created_at")))
 
 

@@ -82,3 +82,13 @@ def test_cached_records_of_a_repeated_request(spark):
     results = spark.createDataFrame([(7, ["q"], "seven"), (8, None, None)], "id long, paa_questions array<string>, content string")
     got = Counter((r.request_id, r.content, tuple(r.paa)) for r in _cached_records(plan, results).collect())
     assert got == {(1, "seven", ("q",)): 4, (None, "", ()): 1, (2, "", ()): 1}
+
+
+def test_keyword_tasks_grow_with_the_rows(spark, monkeypatch):
+    t = Tables(spark, SF_SMALL)
+    want = _rows(fx.keywords(t))
+    few = fx.keywords(t).rdd.getNumPartitions()
+    monkeypatch.setattr(fx, "ROWS_PER_TASK", 100)
+    many = fx.keywords(t)
+    assert many.rdd.getNumPartitions() == -(-t.lineitem.count() // 100) > few
+    assert _rows(many) == want
