@@ -36,14 +36,11 @@ def _chunk_stream(spark, sf):
     log = shared_path(spark, "stream-out", "results_log")
     ckpt = shared_path(spark, "stream-ckpt", "chunks")
 
-    def on_batch(batch, batch_id):
-        # T1 sink: every update, written once; T2 reads the finished answers back.
-        batch.write.mode("overwrite").parquet(f"{updates}/batch={batch_id}")
-        CH.save_finished(spark, updates, log, batch_id)
-
-    stream = CH.assemble_stream(read_files(spark, src, CH.CHUNK_SCHEMA, BATCHES))
-    run_to_completion(spark, stream.writeStream.option("checkpointLocation", ckpt)
-                      .outputMode("update").foreachBatch(on_batch))
+    # T1 stores every update once; T2 reads the finished answers back.
+    table = CH.answer_table(spark, shared_path(spark, "tables", "answers"))
+    stream = CH.assemble_stream(read_files(spark, src, CH.CHUNK_SCHEMA, BATCHES), table, updates,
+                                lambda batch_id: CH.save_finished(spark, updates, log, batch_id))
+    run_to_completion(spark, stream.option("checkpointLocation", ckpt))
     return updates, log
 
 
