@@ -200,10 +200,10 @@ def running_text(updates: DataFrame) -> DataFrame:
     return updates.withColumn("text", F.array_join(F.collect_list("added").over(so_far), ""))
 
 
-def joined_text(updates: DataFrame) -> DataFrame:
+def joined_text(updates: DataFrame, *by: str) -> DataFrame:
     """(request_id, text, n_chunks) of finished answers: the pieces of one answer, in order;
     without a text when no piece has one."""
-    pieces = updates.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("batch", "added"))).alias("_p"), F.count("added").alias("_n"),
+    pieces = updates.groupBy(*by or ["request_id"]).agg(F.sort_array(F.collect_list(F.struct("batch", "added"))).alias("_p"), F.count("added").alias("_n"),
                                                F.max("n_chunks").alias("n_chunks"), F.bool_or("done").alias("_done"))
     return pieces.where("_done").select("request_id", F.when(F.col("_n") > 0, F.array_join(F.col("_p.added"), "")).alias("text"), "n_chunks")
 
@@ -211,17 +211,15 @@ def joined_text(updates: DataFrame) -> DataFrame:
 def save_finished(spark: SparkSession, updates: str, log: str, batch_id: int) -> None:
     """The answers that a stored micro-batch finished, saved once. Those it began
     as well are whole; the earlier pieces of the others lie between the first micro-batch of the
-    oldest of them and this one, in updates that finished nothing."""
+    oldest of them and this one, in updates that finished nothing. They meet in one grouping."""
     stored = update_log(spark, updates)
     finished = stored.where((F.col("batch") == batch_id) & F.col("done"))
     whole = finished.where(F.col("first_batch") == batch_id).select("request_id", F.col("added").alias("text"), "n_chunks")
     oldest = finished.agg(F.min("first_batch")).first()[0]
     if oldest is not None and oldest < batch_id:
-        longer = finished.where(F.col("first_batch") < batch_id)
-        began = longer.select(F.col("request_id").alias("_id"), F.col("first_batch").alias("_first"))
-        before = (stored.where(F.col("batch").between(oldest, batch_id - 1) & ~F.col("done"))
-                  .join(began, F.col("request_id").eqNullSafe(F.col("_id")) & (F.col("batch") >= F.col("_first"))).drop("_id", "_first"))
-        whole = whole.unionByName(joined_text(before.unionByName(longer)))
+        before = stored.where(F.col("batch").between(oldest, batch_id - 1) & ~F.col("done"))
+        # An update knows its answer's first micro-batch: pieces of an earlier answer with the same id stay apart.
+        whole = whole.unionByName(joined_text(before.unionByName(finished.where(F.col("first_batch") < batch_id)), "request_id", "first_batch"))
     (whole.select("request_id", F.col("text").alias("content"), "n_chunks").write.mode("overwrite").parquet(f"{log}/batch={batch_id}"))
 
 

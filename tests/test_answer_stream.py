@@ -96,6 +96,19 @@ def test_replays_marks_and_folds(spark, stream):
     assert table.rows().count() > 0                                                  # deltas were folded on the way
 
 
+def test_pieces_of_an_earlier_answer_stay_apart(spark):
+    updates, log = shared_path(spark, "test", "updates"), shared_path(spark, "test", "log")
+    # Request 1 began in 0 and was given up; it began anew in 1. Request 2 spans 0 to 2; 3 is not finished; no id is an id too.
+    for batch, rows in enumerate([[(1, 0, 1, "old", False), (2, 0, 1, "a", False), (None, 0, 1, "n", False)],
+                                  [(1, 1, 1, "x", False), (2, 0, 2, "b", False), (3, 1, 1, "z", False)],
+                                  [(1, 1, 2, "y", True), (2, 0, 3, "c", True), (None, 0, 2, None, True), (4, 2, 1, "w", True)]]):
+        spark.createDataFrame([(*r, False) for r in rows], CH.T.StructType([*CH.OUT_SCHEMA.fields, CH.T.StructField("again", CH.T.BooleanType())])
+                              ).write.parquet(f"{updates}/batch={batch}")
+    CH.save_finished(spark, updates, log, 2)
+    got = {r.request_id: (r.content, r.n_chunks) for r in spark.read.parquet(log).collect()}
+    assert got == {1: ("xy", 2), 2: ("abc", 3), None: ("n", 2), 4: ("w", 1)}
+
+
 def test_stream_keeps_rows_without_text(spark):
     from quillspark.suite.streams import stream_chunk_assemble, stream_result_append
     docs = [(1, "a" * 600), (2, None), (3, ""), (4, "貓" * 200), (4, "貓" * 200)]
