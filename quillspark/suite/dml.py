@@ -38,7 +38,7 @@ FROM g3 WHERE crawl_ok AND NOT starts_with(keyword, 'error-')""")
 def result_append(spark, sf):
     """Successful new results of the pipeline, appended and read back."""
     t = Tables(spark, sf)
-    rec = pipeline_records(t)
+    rec = pipeline_records(t, cached=False, carry=("ts", "keyword"))
     path = shared_path(spark, "tables", "analysis_results_log")
     append_results(rec, path)
     return spark.read.parquet(path)

@@ -92,3 +92,47 @@ def test_keyword_tasks_grow_with_the_rows(spark, monkeypatch):
     many = fx.keywords(t)
     assert many.rdd.getNumPartitions() == -(-t.lineitem.count() // 100) > few
     assert _rows(many) == want
+
+
+def test_question_lists_are_not_stored_per_request(spark):
+    """Nor do tables stay that only the plan was built on."""
+    from quillspark.sinks.snapshots import written_stages
+    from quillspark.suite.plans import pipeline_records
+    with written_stages() as paths:
+        records = pipeline_records(Tables(spark, SF_SMALL))
+    names = {p.split("/")[-2]: p for p in paths}
+    assert {"pipeline_plan", "crawled", "generated", "pair_rows"} <= set(names)
+    for name in ("pipeline_plan", "crawled", "pair_rows"):
+        assert "array" not in str(spark.read.parquet(names[name]).dtypes)
+    assert records.filter("size(paa) > 0 AND action = 'generate'").count() > 0
+
+
+def test_stages_that_nothing_reads_go(spark, monkeypatch):
+    from quillspark.sinks import snapshots
+    from quillspark.suite import plans
+    gone = []
+    monkeypatch.setattr(plans, "drop_stages", lambda s, paths: (gone.extend(paths), snapshots.drop_stages(s, paths)))
+    assert plans.pipeline_records(Tables(spark, SF_SMALL), carry=()).count() == 1000
+    assert {p.split("/")[-2] for p in gone} >= {"asof", "row_number"}
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    left = [p for p in gone if fs.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs.Path(p))]
+    assert not left
+
+
+def test_a_stage_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from quillspark.sinks.snapshots import SHUFFLE_CLEANUP, materialize, materialize_buckets
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before, setting = shuffles(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    rows = spark.range(10_000).withColumn("k", F.col("id") % 7).repartition(8, "k")
+    tables = [materialize(rows, "kept"), materialize_buckets(rows, "kept", "k", 8)]
+    end = time.time() + 10
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert [t.count() for t in tables] == [10_000, 10_000]
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == setting
